@@ -149,3 +149,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         return spark.createDataFrame([], "node long, component long")
     least = labels.groupBy("cur").agg(F.min("node").alias("component"))
     return labels.join(least, "cur").select("node", "component")
+
+
+def with_fields(df: DataFrame, more: str):
+    """Schema of ``df`` followed by ``name type`` fields."""
+    from pyspark.sql import types as T
+
+    kinds = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
+    return T.StructType([*df.schema.fields, *(T.StructField(n, kinds[k]) for n, k in (item.split(" ") for item in more.split(", ")))])

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, with_fields
 
 MAX_LEN = 2048
 SEPARATOR = 0
@@ -348,7 +348,7 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
     n_part = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     others = [c for c in pieces.columns if c != "ids"]
     spread = pieces.repartitionByRange(n_part, F.col(length_col), F.xxhash64(*others))
-    schema = spread.schema.add("__lf_part", "int").add("__lf_rank", "long")
+    schema = with_fields(spread, "__lf_part int, __lf_rank long")
 
     def number(batches):
         from pyspark import TaskContext
@@ -381,7 +381,7 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
     key = per["part"].to_numpy(np.int64) * (max_len + 1) + per["size"].to_numpy(np.int64)
     order = np.argsort(key)
     shared = spark.sparkContext.broadcast((key[order], per["base"].to_numpy(np.int64)[order], _segments(plan, max_len)))
-    out = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    out = with_fields(pieces, "sequence_id long, offset long")
 
     def place(batches):
         keys, bases, segs = shared.value

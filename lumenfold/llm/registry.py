@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import minhash, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op5_sharding": sharding.op5_sharding,
+    "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
