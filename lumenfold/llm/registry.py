@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, sharding
+from . import decontam, minhash, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op5_sharding": sharding.op5_sharding,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+    "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
