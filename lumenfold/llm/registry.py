@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, packing, sharding
+from . import decontam, lines, minhash, packing, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_substring_dedup": substring.op2_substring_dedup,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": lines.OP4_SQL,
+}
