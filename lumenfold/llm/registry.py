@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, minhash, packing, sharding, substring
+from . import ann, decontam, lines, minhash, packing, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+    "op8_nearest_neighbours": ann.op8_nearest_neighbours,
     "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
 }
 
