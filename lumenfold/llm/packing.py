@@ -344,7 +344,8 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
     import pyarrow as pa
 
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset", "__lf_part", "__lf_rank")
+    # Written first: range partitioning reads its input twice, for the bounds and for the rows.
+    pieces = materialize(pieces.drop("sequence_id", "offset", "__lf_part", "__lf_rank"), "tokenized")
     n_part = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     others = [c for c in pieces.columns if c != "ids"]
     spread = pieces.repartitionByRange(n_part, F.col(length_col), F.xxhash64(*others))
