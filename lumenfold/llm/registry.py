@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, lines, minhash, packing, sharding, substring
+from . import ann, decontam, lines, minhash, packing, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_substring_dedup": substring.op2_substring_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
