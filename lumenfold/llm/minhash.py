@@ -11,10 +11,10 @@ Pairs further apart are found too unless every single chunk has more errors: wit
 million, and it falls quickly above.
 
 Links are confirmed on the full shingle sets. Documents with equal sets are one class from the
-start. A bucket links its members to its least member first; only what is then still in
-different components of one bucket is compared pair by pair, large buckets after a second,
-nested index. Copies are thus never expanded into all pairs, and no link that could join two
-components is lost.
+start. A bucket links its members to its least one first; members that are then still in different
+components are compared inside the bucket, large buckets in pairs of bounded blocks, and only
+links that join components leave the task. Copies are thus never expanded into all pairs, and no
+link that could join two components is lost.
 
 Defined results: a text without words (or null) has no shingles and links with nothing; fewer
 words than a shingle are one shingle; rows that share a ``doc_id`` are one document; an empty
@@ -39,8 +39,9 @@ COMPONENTS = CHUNKS * WIDTH
 # Candidates further apart are not confirmed: at J = 0.75 the distance is 12 on average with a
 # deviation of 3, and exceeds this with a chance of about 1e-8.
 FAR = 30
-# Cross-component pairs of a bucket of at most this many members are compared directly.
-SMALL_BUCKET = 48
+# Bounds of a block of a bucket whose members are compared with each other.
+BLOCK_ROWS = 2_048
+BLOCK_BYTES = 16_000_000
 
 _POWERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -137,13 +138,7 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame, far: int = FAR) -> DataFrame
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of ``(a, b)`` those with 100 * |A and B| >= percent * |A or B| on the full shingle sets."""
     pairs = materialize(pairs, "pairs")
-    need = materialize(
-        pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "need"
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(maybe_broadcast(need), "doc_id", "left_semi")
-    # One text for an id: ids are unique unless rows repeat.
-    texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = materialize(_texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "texts")
 
     def run(batches):
         import pyarrow as pa
@@ -176,38 +171,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = materialize(classes, "classes")
     nodes = classes.groupBy("node").agg(F.first("sig").alias("sig")) if _clash(classes) else classes.select("node", "sig")
+    members = materialize(_members(nodes), "members")
 
-    members = materialize(
-        _keys(nodes, ["node"]).transform(lambda k: _shared(k, "node")), "members"
-    )
-    first = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(close_pairs(first, nodes), "first")
-    links = materialize(confirm(first, docs), "links")
-    found = connected_components(links)
-
-    # What is still apart within a bucket.
-    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, "placed")
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .where("lo < hi")
-        .select("key", "n")
-    )
-    apart = materialize(placed.join(mixed, "key"), "apart")
-    small = _cross(apart.where(F.col("n") <= SMALL_BUCKET))
-    big = apart.where(F.col("n") > SMALL_BUCKET)
-    if not big.isEmpty():
-        # A second index inside each large bucket; a pair within the distance shares a key there too.
-        inner = _keys(big.join(nodes, "node"), ["key", "component", "node"], outer="key")
-        small = small.union(_cross(inner.transform(lambda k: _shared(k, "component")).select("key", "node", "component")))
-    rest = small.distinct().join(first, ["a", "b"], "left_anti")
-    rest = materialize(close_pairs(rest, nodes), "rest")
-    more = confirm(rest, docs)
+    # First each bucket's members against its least one, then what is still apart in a bucket.
+    hubs = members.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = members.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    links = materialize(confirm(close_pairs(pairs, nodes), docs), "links")
+    placed = members.join(connected_components(links), "node", "left")
+    placed = materialize(placed.select("key", "mask", "node", F.coalesce("component", "node").alias("component")), "placed")
+    links = links.unionByName(materialize(_links_apart(placed, nodes, docs), "apart"))
 
     alias = rows.where("n_shingles > 0").join(classes.select("set_hash", "node"), "set_hash").select("doc_id", "node")
     same = alias.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    whole = connected_components(links.union(more).union(same))
+    whole = connected_components(links.unionByName(same))
     out = rows.select("doc_id", "n_shingles").join(
         whole.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left"
     )
@@ -219,36 +195,124 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _clash(classes: DataFrame) -> bool:
-    return not classes.groupBy("node").count().where("count > 1").isEmpty()
+def _members(nodes: DataFrame) -> DataFrame:
+    """(key, mask, node) of every bucket that two or more nodes share. Keys are counted with a combine
+    before the shuffle and only shared ones are joined back."""
+    keys = nodes.select("node", F.posexplode(F.array(*chunk_keys())).alias("mask", "key"))
+    many = (
+        keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    )
+    return keys.join(many, "key").select("key", "mask", "node")
+
+
+def _first_masks() -> np.ndarray:
+    """For each byte of agreement bits (two chunks of four components) its first agreeing mask, 0 to 7,
+    or 255."""
+    out = np.full(256, 255, dtype=np.uint8)
+    per = list(combinations(range(WIDTH), WIDTH - ERRORS))
+    for byte in range(256):
+        bits = [byte >> (7 - k) & 1 for k in range(8)]
+        for c in range(2):
+            for m, kept in enumerate(per):
+                if out[byte] == 255 and all(bits[c * WIDTH + k] for k in kept):
+                    out[byte] = c * len(per) + m
+    return out
+
 
+def link_group(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, texts: list[bytes], left: np.ndarray, right: np.ndarray, mask: int, far: int, percent: int, memo: WordHashes):
+    """Confirmed links between members ``left`` and ``right`` (row numbers) of one bucket, leaving out
+    links between members that are connected already. A pair is looked at only in the first bucket,
+    in the order of masks, that its signatures share."""
+    comp = comp.copy()
+    table = _first_masks()
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingle_hashes(texts[k], memo)
+        return sets[k]
+
+    out = []
+    for p in left:
+        cand = right[comp[right] != comp[p]]
+        same = sig[cand] == sig[p]
+        near = COMPONENTS - same.sum(axis=1) <= far
+        cand, same = cand[near], same[near]
+        if len(cand) == 0:
+            continue
+        first = table[np.packbits(same, axis=1)]
+        at = (first != 255).argmax(axis=1)
+        cand = cand[at * 8 + first[np.arange(len(cand)), at] == mask]
+        if len(cand) == 0:
+            continue
+        own = shingles(p)
+        for lo in range(0, len(cand), 256):
+            part = cand[lo : lo + 256]
+            part = part[comp[part] != comp[p]]
+            if len(part) == 0:
+                continue
+            others = [shingles(k) for k in part]
+            sizes = np.array([len(o) for o in others])
+            flat = np.concatenate(others)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            for k in part[100 * both >= percent * (len(own) + sizes - both)]:
+                if comp[k] != comp[p]:
+                    out.append((min(node[p], node[k]), max(node[p], node[k])))
+                    comp[comp == comp[k]] = comp[p]
+    return out
 
-def _keys(nodes: DataFrame, carry: list[str], outer: str | None = None) -> DataFrame:
-    """Rows (key, carried columns without ``outer``) for every index key of each node's signature."""
-    rest = [c for c in carry if c != outer]
-    out = nodes.select(*carry, F.explode(F.array(*chunk_keys())).alias("__k"))
-    key = F.xxhash64(outer, "__k") if outer else F.col("__k")
-    return out.select(key.alias("key"), *rest)
 
+def _links_apart(placed: DataFrame, nodes: DataFrame, docs: DataFrame, far: int = FAR, percent: int = PERCENT) -> DataFrame:
+    """Links between different components within buckets. A bucket is cut into hash blocks of bounded
+    size and each pair of blocks is one group; a group reports at most one link less than members."""
+    import pyarrow as pa
 
-def _shared(keys: DataFrame, what: str) -> DataFrame:
-    """Members of buckets that hold different values of ``what``, with the least of them. The
-    counts are combined before the shuffle; only keys that two or more share are joined back."""
+    # The size of what a group holds: its texts.
     many = (
-        keys.groupBy("key")
-        .agg(F.min(what).alias("least"), F.max(what).alias("most"))
-        .where("least < most")
-        .select("key", "least")
+        placed.groupBy("key")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .where("lo < hi")
+        .select("key", "n")
+    )
+    mixed = materialize(placed.join(many, "key").select("key", "mask", "node", "component", "n"), "mixed")
+    texts = _texts(docs, mixed.select(F.col("node").alias("doc_id")).distinct())
+    known = materialize(nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "sig", "text"), "known")
+    bytes_ = known.select("node", F.octet_length("text").alias("size"))
+    heavy = (
+        mixed.join(bytes_, "node").groupBy("key", "n").agg(F.sum("size").alias("size"))
+        .select("key", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    )
+    rows = mixed.join(heavy, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(known, "node").select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mask", "node", "component", "sig", "text"
     )
-    return keys.join(many, "key")
 
+    def run(key, table):
+        own, node, comp = (table.column(c).to_numpy() for c in ("own", "node", "component"))
+        i, j = int(key[1].as_py()), int(key[2].as_py())
+        out = []
+        if len(np.unique(comp)) > 1:
+            sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COMPONENTS)
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            out = link_group(
+                node, comp, sig, text_bytes(table.column("text")), left, right, table.column("mask")[0].as_py(), far, percent, WordHashes()
+            )
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-def _cross(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that are in different components."""
-    a = members.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = members.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = a.join(b, "key").where("ca < cb")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """One text for each needed id: ids are unique unless rows repeat."""
+    need = materialize(need, "need")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(maybe_broadcast(need), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def _clash(classes: DataFrame) -> bool:
+    return not classes.groupBy("node").count().where("count > 1").isEmpty()
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
