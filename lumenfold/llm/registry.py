@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, lines, minhash, packing, sharding, substring, toxicity
+from . import ann, decontam, langid, lines, minhash, packing, pii, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,8 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
-    "op8_nearest_neighbours": ann.op8_nearest_neighbours,
     "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
+    "op8_nearest_neighbours": ann.op8_nearest_neighbours,
+    "op9_language_id": langid.op9_language_id,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
