@@ -11,9 +11,9 @@ Pairs further apart are found too unless every single chunk has more errors: wit
 million, and it falls quickly above.
 
 Links are confirmed on the full shingle sets. Documents with equal sets are one class from the
-start. A bucket links its members to its least one first; members that are then still in different
-components are compared inside the bucket, large buckets in pairs of bounded blocks, and only
-links that join components leave the task. Copies are thus never expanded into all pairs, and no
+start. A bucket's members are linked to its least one, the hub, first; members around a hub that are
+then still in different components are compared with each other, large groups in pairs of bounded
+blocks, and only links that join components leave the task. Copies are thus never expanded into all pairs, and no
 link that could join two components is lost.
 
 Defined results: a text without words (or null) has no shingles and links with nothing; fewer
@@ -39,9 +39,10 @@ COMPONENTS = CHUNKS * WIDTH
 # Candidates further apart are not confirmed: at J = 0.75 the distance is 12 on average with a
 # deviation of 3, and exceeds this with a chance of about 1e-8.
 FAR = 30
-# Bounds of a block of a bucket whose members are compared with each other.
+# Bounds of a block of what shares a hub, and rows of a group of small hubs.
 BLOCK_ROWS = 2_048
 BLOCK_BYTES = 16_000_000
+GROUP_ROWS = 1_000
 
 _POWERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -115,10 +116,10 @@ def chunk_keys(sig: str = "sig") -> list:
     return keys
 
 
-def close_pairs(pairs: DataFrame, nodes: DataFrame, far: int = FAR) -> DataFrame:
-    """Of ``(a, b)`` those whose signatures differ in at most ``far`` components."""
-    sig_a = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    sig_b = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+def close_pairs(pairs: DataFrame, nodes: DataFrame, far: int = FAR, percent: int = PERCENT) -> DataFrame:
+    """Of ``(a, b)`` those whose signatures differ in at most ``far`` components and whose set sizes
+    allow the similarity."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
 
     def run(batches):
         import pyarrow as pa
@@ -131,8 +132,8 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame, far: int = FAR) -> DataFrame
             ok = pa.array((a != b).sum(axis=1) <= far)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    joined = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -167,19 +168,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(signatures(docs), "signatures")
     # Equal sets are one class, and rows of one id are one node.
     classes = (
-        rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+        rows.where("n_shingles > 0")
+        .groupBy("set_hash")
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
     )
     classes = materialize(classes, "classes")
-    nodes = classes.groupBy("node").agg(F.first("sig").alias("sig")) if _clash(classes) else classes.select("node", "sig")
-    members = materialize(_members(nodes), "members")
-
-    # First each bucket's members against its least one, then what is still apart in a bucket.
-    hubs = members.groupBy("key").agg(F.min("node").alias("a"))
-    pairs = members.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = materialize(confirm(close_pairs(pairs, nodes), docs), "links")
-    placed = members.join(connected_components(links), "node", "left")
-    placed = materialize(placed.select("key", "mask", "node", F.coalesce("component", "node").alias("component")), "placed")
-    links = links.unionByName(materialize(_links_apart(placed, nodes, docs), "apart"))
+    nodes = classes.select("node", "size", "sig")
+    if _clash(classes):
+        # Rows of one id with different texts: the node stands for its first set, in the order of hashes.
+        first = F.min(F.struct("set_hash", "size", "sig")).alias("f")
+        nodes = materialize(classes.groupBy("node").agg(first).select("node", "f.size", "f.sig"), "nodes")
+    # Each bucket's members next to its least one, its hub.
+    shares = materialize(_hubs(nodes), "shares")
+
+    # First members against their hubs, then what is still apart around a hub.
+    pairs = close_pairs(shares.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes)
+    links = materialize(confirm(pairs, docs), "links")
+    links = links.unionByName(materialize(_links_apart(shares, connected_components(links), nodes, docs), "apart"))
 
     alias = rows.where("n_shingles > 0").join(classes.select("set_hash", "node"), "set_hash").select("doc_id", "node")
     same = alias.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
@@ -195,54 +200,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """(key, mask, node) of every bucket that two or more nodes share. Keys are counted with a combine
-    before the shuffle and only shared ones are joined back."""
-    keys = nodes.select("node", F.posexplode(F.array(*chunk_keys())).alias("mask", "key"))
+def _hubs(nodes: DataFrame) -> DataFrame:
+    """Distinct (hub, node) over the buckets that two or more nodes share, the hub being the bucket's
+    least node and among its own. Keys are counted with a combine before the shuffle and only
+    shared ones are joined back."""
+    keys = nodes.select("node", F.explode(F.array(*chunk_keys())).alias("key"))
     many = (
-        keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+        keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("key", "hub")
     )
-    return keys.join(many, "key").select("key", "mask", "node")
-
-
-def _first_masks() -> np.ndarray:
-    """For each byte of agreement bits (two chunks of four components) its first agreeing mask, 0 to 7,
-    or 255."""
-    out = np.full(256, 255, dtype=np.uint8)
-    per = list(combinations(range(WIDTH), WIDTH - ERRORS))
-    for byte in range(256):
-        bits = [byte >> (7 - k) & 1 for k in range(8)]
-        for c in range(2):
-            for m, kept in enumerate(per):
-                if out[byte] == 255 and all(bits[c * WIDTH + k] for k in kept):
-                    out[byte] = c * len(per) + m
-    return out
+    return keys.join(many, "key").select("hub", "node").distinct()
+
 
+def _agreeing() -> np.ndarray:
+    """For each byte of agreement bits (two chunks of four components) whether a chunk is in reach."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, -1, WIDTH)
+    return (bits.sum(axis=2) >= WIDTH - ERRORS).any(axis=1)
 
-def link_group(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, texts: list[bytes], left: np.ndarray, right: np.ndarray, mask: int, far: int, percent: int, memo: WordHashes):
-    """Confirmed links between members ``left`` and ``right`` (row numbers) of one bucket, leaving out
-    links between members that are connected already. A pair is looked at only in the first bucket,
-    in the order of masks, that its signatures share."""
+
+def link_group(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray, texts, left: np.ndarray, right: np.ndarray, far: int, percent: int, memo: WordHashes):
+    """Confirmed links between members ``left`` and ``right`` (row numbers) around one hub, but none
+    between members that are connected already. Looked at are pairs that share an index key, are at
+    most ``far`` apart and have sizes that allow the similarity."""
     comp = comp.copy()
-    table = _first_masks()
+    table = _agreeing()
     sets: dict[int, np.ndarray] = {}
 
     def shingles(k: int) -> np.ndarray:
         if k not in sets:
-            sets[k] = shingle_hashes(texts[k], memo)
+            sets[k] = shingle_hashes(texts[k].as_py() or b"", memo)
         return sets[k]
 
     out = []
     for p in left:
-        cand = right[comp[right] != comp[p]]
+        apart = comp[right] != comp[p]
+        apart &= 100 * np.minimum(size[right], size[p]) >= percent * np.maximum(size[right], size[p])
+        cand = right[apart]
+        if len(cand) == 0:
+            continue
         same = sig[cand] == sig[p]
         near = COMPONENTS - same.sum(axis=1) <= far
         cand, same = cand[near], same[near]
-        if len(cand) == 0:
-            continue
-        first = table[np.packbits(same, axis=1)]
-        at = (first != 255).argmax(axis=1)
-        cand = cand[at * 8 + first[np.arange(len(cand)), at] == mask]
+        cand = cand[table[np.packbits(same, axis=1)].any(axis=1)]
         if len(cand) == 0:
             continue
         own = shingles(p)
@@ -263,45 +261,47 @@ def link_group(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, texts: list[
     return out
 
 
-def _links_apart(placed: DataFrame, nodes: DataFrame, docs: DataFrame, far: int = FAR, percent: int = PERCENT) -> DataFrame:
-    """Links between different components within buckets. A bucket is cut into hash blocks of bounded
-    size and each pair of blocks is one group; a group reports at most one link less than members."""
+def _links_apart(shares: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, far: int = FAR, percent: int = PERCENT) -> DataFrame:
+    """Links between different components around the hubs. What shares a hub is cut into hash blocks of
+    bounded size and each pair of blocks is one group; several small hubs make one group. A group
+    reports at most one link less than members."""
     import pyarrow as pa
 
-    # The size of what a group holds: its texts.
-    many = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .where("lo < hi")
-        .select("key", "n")
-    )
-    mixed = materialize(placed.join(many, "key").select("key", "mask", "node", "component", "n"), "mixed")
+    placed = shares.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    placed = materialize(placed, "placed")
+    many = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub")
+    mixed = materialize(placed.join(many, "hub"), "mixed")
     texts = _texts(docs, mixed.select(F.col("node").alias("doc_id")).distinct())
-    known = materialize(nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "sig", "text"), "known")
-    bytes_ = known.select("node", F.octet_length("text").alias("size"))
-    heavy = (
-        mixed.join(bytes_, "node").groupBy("key", "n").agg(F.sum("size").alias("size"))
-        .select("key", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    known = materialize(
+        nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "size", "sig", F.col("text").cast("binary").alias("text")), "known"
+    )
+    weighed = mixed.join(known.select("node", F.octet_length("text").alias("bytes")), "node")
+    blocks = (
+        weighed.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+        .select("hub", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     )
-    rows = mixed.join(heavy, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    bins = max(1, mixed.count() // GROUP_ROWS)
+    rows = mixed.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.when(F.col("blocks") > 1, F.col("hub")).otherwise(-1 - F.pmod(F.xxhash64("hub"), F.lit(bins)))
     rows = rows.join(known, "node").select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mask", "node", "component", "sig", "text"
+        group.alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "hub", "own", "node", "component", "size", "sig", "text"
     )
 
     def run(key, table):
-        own, node, comp = (table.column(c).to_numpy() for c in ("own", "node", "component"))
         i, j = int(key[1].as_py()), int(key[2].as_py())
-        out = []
-        if len(np.unique(comp)) > 1:
-            sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COMPONENTS)
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            out = link_group(
-                node, comp, sig, text_bytes(table.column("text")), left, right, table.column("mask")[0].as_py(), far, percent, WordHashes()
-            )
+        table = table.sort_by("hub").combine_chunks()
+        hub, own, node, comp, size = (table.column(c).to_numpy() for c in ("hub", "own", "node", "component", "size"))
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), COMPONENTS)
+        text, memo, out = table.column("text"), WordHashes(), []
+        edges = np.flatnonzero(np.r_[True, hub[1:] != hub[:-1], True])
+        for a, b in zip(edges[:-1], edges[1:]):
+            if len(np.unique(comp[a:b])) > 1:
+                left, right = np.flatnonzero(own[a:b] == i), np.flatnonzero(own[a:b] == j)
+                out += link_group(node[a:b], comp[a:b], size[a:b], sig[a:b], text[a:b], left, right, far, percent, memo)
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("g", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
