@@ -1,6 +1,11 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL, by subject."""
 
 from __future__ import annotations
 
+from . import q_cloud, q_frames, q_geometry, q_metrics, q_surface
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (q_frames, q_surface, q_metrics, q_cloud, q_geometry):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
