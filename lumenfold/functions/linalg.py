@@ -164,3 +164,17 @@ def quaternion_unit(q: Sequence) -> tuple[Column, ...]:
 
 def heading(dx: Column, dy: Column) -> Column:
     return F.atan2(dy, dx)
+
+
+def with_alignment(df, a: Sequence, b: Sequence, out: str = "r", parallel: str = "cosine"):
+    """``df`` with the nine elements of :func:`align_rotation` as columns ``{out}00`` to ``{out}22``. Directions
+    become columns first, so that the planner computes each once instead of nesting copies of them."""
+    names = [f"__{out}{s}{k}" for s in "ab" for k in range(3)]
+    df = df.withColumns(dict(zip(names, [_c(x) for x in (*a, *b)])))
+    m = align_rotation([F.col(n) for n in names[:3]], [F.col(n) for n in names[3:]], parallel)
+    df = df.withColumns({f"{out}{i}{j}": m[i][j] for i in range(3) for j in range(3)})
+    return df.drop(*names)
+
+
+def columns_matrix(out: str = "r") -> list[list[Column]]:
+    return [[F.col(f"{out}{i}{j}") for j in range(3)] for i in range(3)]
