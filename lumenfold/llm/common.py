@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 # Tables of at most this many rows of two longs may be broadcast; beyond it they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
-_UPPER = bytes(range(65, 91))
-_LOWER = bytes(range(97, 123))
+# Bounds of a batch of texts on its way to a Python worker.
+TEXT_ROWS = 1_000
+TEXT_BYTES = 8_000_000
+
 _WORD_BYTES = set(range(48, 58)) | set(range(97, 123)) | set(range(128, 256))
 # Byte map of the alphanumeric word rule: A-Z folded, every ASCII non-word byte a space.
 WORD_MAP = bytes(
@@ -58,6 +60,15 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, limit) else df
 
 
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Bound the Arrow batches of this session to ``rows`` texts and ``TEXT_BYTES`` bytes: several copies of
+    a batch live in the JVM, in Arrow's buffers and in the worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{TEXT_BYTES}b")
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     import pyarrow as pa

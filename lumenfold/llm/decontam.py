@@ -25,10 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_MAP, read, text_bytes
+from .common import WORD_MAP, read, text_batches, text_bytes
 
 WINDOW = 10
-SHARD_WORDS = 1_500_000
+SHARD_BYTES = 8_000_000
 BLOCK_WORDS = 2_000_000
 SAMPLE = 16
 
@@ -235,46 +235,52 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
 FOUND = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def find_phrases(docs: DataFrame, items: list, window: int = WINDOW, shard_words: int = SHARD_WORDS, keep: list[str] = ()) -> DataFrame:
+def find_phrases(docs: DataFrame, items: list, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep: list[str] = ()) -> DataFrame:
     """One row per document: its word count, merged hit spans in words, and items that occur; with
     ``keep`` the document's own columns as well."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    carry = [c for c in keep if c != "doc_id"]
+    text_batches(docs.sparkSession)
+    carry = [c for c in keep if c not in ("doc_id", "text")]
     src = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__lf_text"), *(F.col(c).alias(f"__in_{c}") for c in carry)
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__in_text"), *(F.col(c).alias(f"__in_{c}") for c in carry)
     )
+    passed = [1 + ("text" not in keep) + k for k in range(len(carry) + ("text" in keep))]
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    def shard(held: list, phrases: Phrases) -> Iterator:
+        """One index over the texts of several batches."""
+        found = iter(search_shard([t for _, texts in held for t in texts], phrases))
+        for batch, texts in held:
+            rows = [next(found) for _ in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([f[0] for f in rows], pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in f[1]] for f in rows], span_type),
+                    pa.array([sorted(map(str, f[2])) for f in rows], pa.list_(pa.string())),
+                    *(batch.column(k) for k in passed),
+                ],
+                ["doc_id", "n_words", "spans", "items", *(batch.schema.names[k] for k in passed)],
+            )
+
     def run(batches) -> Iterator:
         phrases = Phrases(shared.value, window)
+        held, size = [], 0
         for batch in batches:
             texts = text_bytes(batch.column(1))
-            lo = 0
-            while lo < len(texts):
-                hi, held = lo, 0
-                while hi < len(texts) and (hi == lo or held < shard_words * 6):
-                    held += len(texts[hi])
-                    hi += 1
-                found = search_shard(texts[lo:hi], phrases)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([f[0] for f in found], pa.int64()),
-                        pa.array([[{"start": a, "end": b} for a, b in f[1]] for f in found], span_type),
-                        pa.array([sorted(map(str, f[2])) for f in found], pa.list_(pa.string())),
-                        *(part.column(2 + k) for k in range(len(carry))),
-                    ],
-                    ["doc_id", "n_words", "spans", "items", *(f"__in_{c}" for c in carry)],
-                )
-                lo = hi
+            held.append((batch, texts))
+            size += sum(map(len, texts))
+            if size >= shard_bytes:
+                yield from shard(held, phrases)
+                held, size = [], 0
+        yield from shard(held, phrases)
 
     from pyspark.sql import types as T
 
     schema = T.StructType.fromDDL(FOUND)
-    for f in src.schema.fields[2:]:
+    for f in (src.schema.fields[k] for k in passed):
         schema = schema.add(f)
     return src.mapInArrow(run, schema)
 

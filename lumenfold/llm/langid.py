@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, text_bytes
+from .common import read, text_batches, text_bytes
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -278,6 +278,7 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
+    text_batches(docs.sparkSession)
     def run(batches) -> Iterator:
         import pyarrow as pa
 

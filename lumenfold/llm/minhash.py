@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, materialize, maybe_broadcast, mix64, read, text_bytes
+from .common import WordHashes, connected_components, materialize, maybe_broadcast, mix64, read, text_batches, text_bytes
 
 SHINGLE = 5
 PERCENT = 75
@@ -80,6 +80,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_hash`` (128 bits) and ``sig`` (array of ints, null without shingles)."""
 
+    text_batches(docs.sparkSession)
     def run(batches) -> Iterator:
         import pyarrow as pa
         import xxhash

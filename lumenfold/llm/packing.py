@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, with_fields
+from .common import materialize, read, text_batches, with_fields
 
 MAX_LEN = 2048
 SEPARATOR = 0
@@ -81,6 +81,7 @@ def tokenize_pieces(
     ``max_len`` ids are cut."""
     path = tokenizer or default_tokenizer()
 
+    text_batches(docs.sparkSession)
     def run(batches) -> Iterator:
         import zlib
 

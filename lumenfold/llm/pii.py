@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -194,6 +194,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     names = [f.name for f in occ]
 
+    text_batches(docs.sparkSession)
     def run(batches) -> Iterator:
         for batch in batches:
             base, found = [], []

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHashes, materialize, mix64, read
+from .common import BROADCAST_ROWS, WordHashes, materialize, mix64, read, text_batches
 
 RUN = 3
 MIN_WORDS = 10
@@ -122,6 +122,7 @@ def _normal(piece: str) -> bytes:
 def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """``h, doc_id, first, last``: every run of every document."""
 
+    text_batches(docs.sparkSession)
     def go(batches) -> Iterator:
         import pyarrow as pa
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_MAP, WordHashes, materialize, mix64, read, text_bytes, with_fields
+from .common import WORD_MAP, WordHashes, materialize, mix64, read, text_batches, text_bytes, with_fields
 
 FIT_ROWS = 20_000
 VOCABULARY = 4_096
@@ -145,6 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     import pyarrow as pa
 
     spark = docs.sparkSession
+    text_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     chosen = materialize(chosen, "labelled")
@@ -237,7 +238,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     ``__toxic`` (the chance reaches the model's cut)."""
     import pyarrow as pa
 
-    docs = docs.drop("__severity", "__grade", "__toxic_chance", "__toxic", "__lf_text")
+    docs = docs.drop("__severity", "__grade", "__toxic_chance", "__toxic")
+    text_batches(docs.sparkSession)
+    at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator:
@@ -245,7 +248,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         memo = WordFeatures(model.words if model else {})
         for batch in batches:
             s = np.zeros(batch.num_rows)
-            for k, t in enumerate(text_bytes(batch.column(batch.num_columns - 1))):
+            for k, t in enumerate(text_bytes(batch.column(at))):
                 if model:
                     index, values, _ = document_features(t, memo)
                     s[k] = float(np.dot(model.weights[index], values)) if index else 0.0
@@ -255,12 +258,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 tail = np.zeros((batch.num_rows, GRADES - 1))
             each = -np.diff(np.concatenate([np.ones((len(s), 1)), tail, np.zeros((len(s), 1))], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(tail.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(tail[:, 0].copy()), pa.array(tail[:, 0] >= (model.cut if model else 2))],
-                [*batch.schema.names[:-1], "__severity", "__grade", "__toxic_chance", "__toxic"],
+                [*batch.columns, pa.array(tail.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(tail[:, 0].copy()), pa.array(tail[:, 0] >= (model.cut if model else 2))],
+                [*batch.schema.names, "__severity", "__grade", "__toxic_chance", "__toxic"],
             )
 
-    src = docs.withColumn("__lf_text", F.col("text").cast("string"))
-    return src.mapInArrow(run, with_fields(docs, "__severity double, __grade int, __toxic_chance double, __toxic boolean"))
+    return docs.mapInArrow(run, with_fields(docs, "__severity double, __grade int, __toxic_chance double, __toxic boolean"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
