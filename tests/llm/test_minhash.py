@@ -1,0 +1,126 @@
+import collections
+import random
+import re
+
+import numpy as np
+import pytest
+
+from lumenfold.llm import minhash as M
+from lumenfold.llm.common import WordHashes, connected_components
+
+from .helpers import WORDS, awkward, frame, prose
+
+
+def brute(texts):
+    """(shingles, least id of the component) of each row, by all pairs."""
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.setdefault(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    ids, parent = sorted(sets), {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for p, a in enumerate(ids):
+        for b in ids[p + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def edit(rng, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = rng.choice(WORDS) + "x"
+    return " ".join(w)
+
+
+def check(spark, texts):
+    got = M.near_duplicates(frame(spark, texts)).toPandas()
+    want = brute(texts)
+    assert len(got) == len(texts)
+    for r in got.itertuples():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = list(awkward(rng).items())
+    for base in range(12):
+        t = prose(rng, 12)
+        texts += [(1000 + 50 * base + k, edit(rng, t, rng.randrange(0, 6))) for k in range(8)]
+    texts += [(1, "Same words here"), (2, "same WORDS here"), (2, "same WORDS here"), (5, "same words"), (6, prose(rng, 9))]
+    rng.shuffle(texts)
+    check(spark, texts)
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_large_group_of_near_copies(spark, monkeypatch, block):
+    """Copies around the threshold: many hubs, chains and blocks."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", block)
+    rng = random.Random(4)
+    base = prose(rng, 10)
+    texts = [(i, edit(rng, base, rng.randrange(1, 4))) for i in range(60)]
+    passage = prose(rng, 5)
+    texts += [(100 + i, prose(rng, 4) + " " + passage + " " + prose(rng, 3)) for i in range(40)]
+    check(spark, texts)
+
+
+def test_empty_and_alone(spark):
+    assert M.near_duplicates(frame(spark, {})).count() == 0
+    check(spark, [(1, None)])
+    check(spark, [(7, "a b c d e f"), (8, "g h i j k l")])
+
+
+def test_pairs_within_the_distance_share_a_key():
+    rng = np.random.default_rng(0)
+    limit = M.CHUNKS * (M.ERRORS + 1) - 1
+    table = M._agreeing()
+    for _ in range(300):
+        same = np.ones(M.COMPONENTS, dtype=bool)
+        same[rng.choice(M.COMPONENTS, limit, replace=False)] = False
+        assert table[np.packbits(same)].any()
+
+
+def test_signature_estimates_jaccard():
+    memo = WordHashes()
+    words = [f"w{i}" for i in range(400)]
+    a, b = " ".join(words[:300]).encode(), " ".join(words[100:]).encode()
+    sa, sb = M.shingle_hashes(a, memo), M.shingle_hashes(b, memo)
+    j = len(np.intersect1d(sa, sb)) / len(np.union1d(sa, sb))
+    assert abs((M.signature(sa) == M.signature(sb)).mean() - j) < 0.25
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(500, 500), (None, 3)]
+    edges += [(600, 601 + i) for i in range(50)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+
+
+def test_stage_keeps_one_of_each(spark):
+    rng = random.Random(6)
+    t = prose(rng, 8)
+    texts = [(1, t), (1, t), (2, edit(rng, t, 1)), (3, prose(rng, 8)), (4, None), (5, "")]
+    docs = frame(spark, texts)
+    kept = M.keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in kept.collect()) == {1: 1, 3: 1, 4: 1, 5: 1}
