@@ -69,6 +69,33 @@ def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{TEXT_BYTES}b")
 
 
+def tidied(run):
+    """``run`` as a batch function that hands freed memory back to the system at its end: Python workers
+    live on between tasks, and what their allocators keep adds up beside the JVM."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     import pyarrow as pa
@@ -90,7 +117,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Memo of 64-bit word hashes; emptied when it holds ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_MAP, read, text_batches, text_bytes
+from .common import WORD_MAP, read, text_batches, text_bytes, tidied
 
 WINDOW = 10
 SHARD_BYTES = 8_000_000
@@ -282,7 +282,7 @@ def find_phrases(docs: DataFrame, items: list, window: int = WINDOW, shard_bytes
     schema = T.StructType.fromDDL(FOUND)
     for f in (src.schema.fields[k] for k in passed):
         schema = schema.add(f)
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -364,7 +364,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
         from pyspark.sql import types as T
 
         schema = T.StructType([f for f in src.schema.fields if f.name != "spans"])
-        out = src.mapInArrow(cut, schema)
+        out = src.mapInArrow(tidied(cut), schema)
         chars = [F.when(F.col("__hit"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if n == "n_chars" else F.col(n) for n in names]
         out = out.select(*chars)
     return out
@@ -381,4 +381,3 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
-

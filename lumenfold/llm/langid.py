@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, text_batches, text_bytes
+from .common import read, text_batches, text_bytes, tidied
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -269,7 +269,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Net | None:
                     lang.append(lab)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(lang, pa.string())], ["t", "lang"])
 
-    rows = training_rows(docs, per_language).mapInArrow(crops, "t binary, lang string").toPandas()
+    rows = training_rows(docs, per_language).mapInArrow(tidied(crops), "t binary, lang string").toPandas()
     rows = rows.sort_values(["lang", "t"])
     return train([bytes(t) for t in rows["t"]], rows["lang"].tolist())
 
@@ -302,7 +302,7 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
 
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return src.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

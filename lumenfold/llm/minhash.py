@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, materialize, maybe_broadcast, mix64, read, text_batches, text_bytes
+from .common import WordHashes, connected_components, materialize, maybe_broadcast, mix64, read, text_batches, text_bytes, tidied
 
 SHINGLE = 5
 PERCENT = 75
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig array<int>")
+    return src.mapInArrow(tidied(run), "doc_id long, n_shingles long, set_hash binary, sig array<int>")
 
 
 def chunk_keys(sig: str = "sig") -> list:
@@ -134,7 +134,7 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame, far: int = FAR, percent: int
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -161,7 +161,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     side_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     side_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(side_b, "b").join(side_a, "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tidied(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

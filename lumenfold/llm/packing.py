@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_batches, with_fields
+from .common import materialize, read, text_batches, tidied, with_fields
 
 MAX_LEN = 2048
 SEPARATOR = 0
@@ -107,7 +107,7 @@ def tokenize_pieces(
                 yield pa.RecordBatch.from_arrays(arrays[:keep], names[:keep])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return src.mapInArrow(tidied(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 # ---------------------------------------------------------------- the search
@@ -371,7 +371,7 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
                 [*batch.schema.names, "__lf_part", "__lf_rank"],
             )
 
-    numbered = materialize(spread.mapInArrow(number, schema), "pieces")
+    numbered = materialize(spread.mapInArrow(tidied(number), schema), "pieces")
     per = numbered.groupBy("__lf_part", length_col).count().toPandas()
     per.columns = ["part", "size", "n"]
     per = per.sort_values(["size", "part"])
@@ -403,7 +403,7 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
             names = [n for n in batch.schema.names if not n.startswith("__lf_")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, out)
+    return numbered.mapInArrow(tidied(place), out)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, with_ids: bool = False) -> DataFrame:

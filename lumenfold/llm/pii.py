@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_batches
+from .common import materialize, read, text_batches, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -210,7 +210,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     text = F.col("text").cast("string")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("uid"), text.alias("text"))
-    return src.mapInArrow(run, SCANNED)
+    return src.mapInArrow(tidied(run), SCANNED)
 
 
 def bootstrap(occ: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, pattern_confidence: float = PATTERN_CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
@@ -277,4 +277,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     found = find_identifiers(read(spark, sf_dir, "documents"))
-    return found.mapInArrow(digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(tidied(digest), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

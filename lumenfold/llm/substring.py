@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHashes, materialize, mix64, read, text_batches
+from .common import BROADCAST_ROWS, WordHashes, materialize, mix64, read, text_batches, tidied
 
 RUN = 3
 MIN_WORDS = 10
@@ -126,7 +126,7 @@ def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> D
     def go(batches) -> Iterator:
         import pyarrow as pa
 
-        memo = WordHashes(200_000)
+        memo = WordHashes()
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             valid = batch.column(0).is_valid().to_pylist()
@@ -157,7 +157,7 @@ def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> D
                 yield flush()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(go, "h long, doc_id long, first int, last int")
+    return src.mapInArrow(tidied(go), "h long, doc_id long, first int, last int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     grouped = covered.groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct("first", (F.col("last") + 1).alias("end")))).alias("spans")
     )
-    return grouped.mapInArrow(_merge, "doc_id long, spans array<struct<first:int,end:int>>")
+    return grouped.mapInArrow(tidied(_merge), "doc_id long, spans array<struct<first:int,end:int>>")
 
 
 def _merge(batches) -> Iterator:
@@ -240,7 +240,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_units", "n_removed", "removed", "text"],
             )
 
-    return joined.mapInArrow(cut, "doc_id long, n_units long, n_removed long, removed array<struct<start:int,end:int>>, text string")
+    return joined.mapInArrow(tidied(cut), "doc_id long, n_units long, n_removed long, removed array<struct<start:int,end:int>>, text string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

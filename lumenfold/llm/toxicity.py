@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_MAP, WordHashes, materialize, mix64, read, text_batches, text_bytes, with_fields
+from .common import WORD_MAP, WordHashes, materialize, mix64, read, text_batches, text_bytes, tidied, with_fields
 
 FIT_ROWS = 20_000
 VOCABULARY = 4_096
@@ -58,7 +58,7 @@ def features_of(word: bytes) -> list[bytes]:
 class WordFeatures(dict):
     """Memo of the indexes of each word's selected features, None without any; emptied when full."""
 
-    def __init__(self, vocabulary: dict[bytes, int], most: int = 400_000):
+    def __init__(self, vocabulary: dict[bytes, int], most: int = 100_000):
         super().__init__()
         self.vocabulary, self.most = vocabulary, most
 
@@ -126,7 +126,7 @@ def sketch(batches) -> Iterator:
     """Add the least hash of each text's word 5-grams, which near copies mostly share."""
     import pyarrow as pa
 
-    memo = WordHashes(200_000)
+    memo = WordHashes()
     for batch in batches:
         least = []
         for t in text_bytes(batch.column(0)):
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     joined = text.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     # Copies of one text would make its every word typical: of documents with the same sketch one stays.
     train = materialize(
-        joined.mapInArrow(sketch, "sketch long, text string, toxic int").groupBy("sketch").agg(F.max(F.struct("toxic", "text")).alias("d")).select("d.text", "d.toxic"),
+        joined.mapInArrow(tidied(sketch), "sketch long, text string, toxic int").groupBy("sketch").agg(F.max(F.struct("toxic", "text")).alias("d")).select("d.text", "d.toxic"),
         "train",
     )
 
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
             for t, toxic in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 for w in {f for w in set(t.translate(WORD_MAP).split()) for f in features_of(w)}:
                     total.setdefault(w, [0, 0])[1 if toxic else 0] += 1
-                if len(total) > 400_000:
+                if len(total) > 200_000:
                     yield from flush(total)
         yield from flush(total)
 
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     n1, n0 = size.get(True, 0), size.get(False, 0)
     if not n1 or not n0:
         return None
-    words = train.mapInArrow(count, "w binary, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    words = train.mapInArrow(tidied(count), "w binary, clean long, toxic long").groupBy("w").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     # Root of the log-likelihood ratio of the feature's toxic documents against the base rate: unlike
     # a z score it stays honest for features of few documents.
     base = n1 / (n0 + n1)
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
                 [pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64())), pa.array(hits, pa.int32()), batch.column(1)], ["i", "v", "hits", "toxic"]
             )
 
-    found = train.mapInArrow(features, "i array<int>, v array<double>, hits int, toxic int").toPandas()
+    found = train.mapInArrow(tidied(features), "i array<int>, v array<double>, hits int, toxic int").toPandas()
     rows = [(np.asarray(i, np.int64), np.asarray(v, float)) for i, v in zip(found["i"], found["v"])]
     hits, toxic = found["hits"].to_numpy(), found["toxic"].to_numpy() > 0
     edges = np.quantile(hits[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 [*batch.schema.names, "__severity", "__grade", "__toxic_chance", "__toxic"],
             )
 
-    return docs.mapInArrow(run, with_fields(docs, "__severity double, __grade int, __toxic_chance double, __toxic boolean"))
+    return docs.mapInArrow(tidied(run), with_fields(docs, "__severity double, __grade int, __toxic_chance double, __toxic boolean"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
