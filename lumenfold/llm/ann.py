@@ -5,8 +5,9 @@ left after subtracting the centroid is rotated by one random orthogonal matrix a
 signs of its coordinates, packed 64 to a word. With two correction scalars a code (its residual's
 norm and the product of the unit residual with the code's own direction) the inner product with a
 rotated query is estimated without bias, and the estimate's error exceeds ``EPSILON`` deviations
-only rarely. A query scans the codes of its nearest lists; a vector is reranked exactly, on the
-original components, if its upper bound reaches the k-th best lower bound.
+only rarely. A query scans the codes of its nearest lists, as many as hold ``FOUND_IN`` of the true
+neighbours of sample queries (all lists, where vectors have no clusters); a vector is reranked
+exactly, on the original components, if its upper bound reaches the k-th best lower bound.
 
 Every vector is indexed. A list is stored in blocks of at most ``BLOCK`` rows and each block is
 scanned by a task of its own, so a list that holds a third of all rows is no single task's work;
@@ -36,8 +37,9 @@ LIST_ROWS = 4_000  # rows of a list on average; the number of lists grows with t
 MAX_LISTS = 65_536
 BLOCK = 8_192
 QUERY_BLOCK = 1_024
-PROBE = 0.5  # share of the lists that a query scans, where there are few lists
-MAX_PROBES = 64
+FOUND_IN = 0.99  # share of true neighbours in the scanned lists, measured on the sample
+SAMPLE_QUERIES = 256
+CHUNK = 64  # queries whose estimates are held at once
 EPSILON = 2.4  # deviations of the estimate's error bound
 SEED = 7
 
@@ -121,11 +123,34 @@ def estimate(codes: Codes, queries: np.ndarray, centroid: np.ndarray, rotation:
     with_code = width * shared + low * ones[None, :]
     total = width * level.sum(axis=1, keepdims=True) + low * dim
     product = (2 * with_code - total) / np.sqrt(dim)
-    est = codes.norm * product / codes.align + (queries @ centroid)[:, None]
+    est = (codes.norm / codes.align).astype(np.float32) * product.astype(np.float32) + (queries @ centroid)[:, None].astype(np.float32)
     q_norm = np.linalg.norm(q, axis=1, keepdims=True)
     rounding = width * np.sqrt(dim / 12.0)
     spread = np.sqrt(np.maximum(1 - codes.align**2, 0)) / codes.align / np.sqrt(max(dim - 1, 1))
-    return est, epsilon * codes.norm * (spread * q_norm + rounding / np.sqrt(dim) / codes.align)
+    return est, (epsilon * codes.norm * (spread * q_norm + rounding / np.sqrt(dim) / codes.align)).astype(np.float32)
+
+
+def calibrate(index: Index, sample: np.ndarray, k: int, share: float = FOUND_IN, queries: int = SAMPLE_QUERIES) -> int:
+    """The number of lists, in a query's order, that hold ``share`` of the sample queries' true neighbours in
+    the sample. Neighbours are farther in a sample than in the whole table, so this errs upward."""
+    if len(index.centroids) == 1 or len(sample) < 2:
+        return len(index.centroids)
+    place = nearest_list(sample, index.centroids)
+    near = min(k, len(sample) - 1)
+    ranks = []
+    for i in range(min(queries, len(sample))):
+        score = sample @ sample[i]
+        score[i] = -np.inf
+        best = np.argpartition(-score, near - 1)[:near]
+        order = np.empty(len(index.centroids), dtype=np.int64)
+        order[list_order(sample[i : i + 1], index)[0]] = np.arange(len(index.centroids))
+        ranks.append(order[place[best]])
+    return int(np.quantile(np.concatenate(ranks), share, method="higher")) + 1
+
+
+def list_order(q: np.ndarray, index: Index) -> np.ndarray:
+    """Lists of each query, those of largest inner product between query and centroid first."""
+    return np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -139,12 +164,11 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: Codes, q_ids: np.ndarray
     est, err = estimate(codes, q, centroid, index.rotation)
     low, high = est - err, est + err
     n = low.shape[1]
+    # One more than k: the query itself may be among them.
+    bar = np.partition(low, n - k - 1, axis=1)[:, n - k - 1] if n > k + 1 else np.full(len(q), -np.inf)
+    reach = high >= bar[:, None]
     for i in range(len(q)):
-        if n > k + 1:
-            bar = -np.partition(-low[i], k)[k]  # one more than k: the query itself may be among them
-            pick = np.flatnonzero(high[i] >= bar)
-        else:
-            pick = np.arange(n)
+        pick = np.flatnonzero(reach[i])
         score = exact(x[pick], q[i])
         if len(pick) > k + 1:
             bar = -np.partition(-score, k)[k]
@@ -168,7 +192,7 @@ def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     return rows.where(F.size("v") == (usual[0] if usual else 0))
 
 
-def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, probe: float = PROBE) -> DataFrame:
+def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, found_in: float = FOUND_IN) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every`` its ``k``
     nearest others by inner product."""
     import pyarrow as pa
@@ -184,7 +208,7 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, prob
     lists = min(MAX_LISTS, max(1, total // LIST_ROWS))
     index = fit(sample, lists)
     lists = len(index.centroids)
-    probes = min(lists, max(min(lists, 8), min(MAX_PROBES, int(np.ceil(lists * probe)))))
+    probes = calibrate(index, sample, k, found_in)
     shared = spark.sparkContext.broadcast(index)
 
     def vectors(batch, at: int) -> np.ndarray:
@@ -200,18 +224,16 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, prob
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], ["vec_id", "v", "list"])
 
     def route(batches) -> Iterator:
-        """Each query once for every list it probes: the nearest by inner product with the centroid
-        and norm, whichever of the two orders puts it first."""
+        """Each query once for every list it scans."""
         index = shared.value
-        half = 0.5 * (index.centroids**2).sum(axis=1)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             q = vectors(batch, 1)
-            by_distance = np.argsort(half - q @ index.centroids.T, axis=1, kind="stable")[:, :probes]
+            first = list_order(q, index)[:, :probes]
             which = np.repeat(np.arange(len(q)), probes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(by_distance.ravel().astype(np.int32))],
+                [batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(first.ravel().astype(np.int32))],
                 ["query_id", "q", "list"],
             )
 
@@ -255,8 +277,8 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, prob
         codes = Codes.of(x, centroid, index.rotation)
         q_ids, q = b.column("vec_id").to_numpy(), as_matrix(b)
         out_q, out_v, out_s = [], [], []
-        for lo in range(0, len(q), 256):
-            for qi, cand, score in search_block(groups, x, codes, q_ids[lo : lo + 256], q[lo : lo + 256], index, centroid, k):
+        for lo in range(0, len(q), CHUNK):
+            for qi, cand, score in search_block(groups, x, codes, q_ids[lo : lo + CHUNK], q[lo : lo + CHUNK], index, centroid, k):
                 out_q.append(np.full(len(cand), qi, dtype=np.int64))
                 out_v.append(cand)
                 out_s.append(score)
