@@ -101,33 +101,45 @@ def as_array(m: Mat) -> Column:
     return F.array(*(F.array(*(_c(x) for x in row)) for row in m))
 
 
-def align_rotation(a: Sequence, b: Sequence, parallel: str = "cosine") -> list[list[Column]]:
-    """Rotation that takes direction ``a`` to direction ``b`` by the shortest arc.
+def with_alignment(df, a: Sequence, b: Sequence, out: str = "r", parallel: str = "cosine"):
+    """``df`` with the nine elements, ``{out}00`` to ``{out}22``, of the rotation that takes direction ``a`` to
+    direction ``b`` by the shortest arc.
 
     ``parallel`` picks the test for directions on one line: ``"cosine"`` treats a cosine below
-    -0.999999 as opposite and turns half way about the first axis not along ``a``; ``"cross"`` looks
-    at a cross product shorter than 1e-8, giving the identity for equal directions and a half turn
-    for opposite ones.
+    -0.999999 as opposite and turns half way about an axis across ``a``; ``"cross"`` looks at a cross
+    product shorter than 1e-8, giving the identity for equal directions and a half turn for opposite
+    ones. Directions, their cross product and the half-turn axis become columns one after the other,
+    so that the planner computes each once instead of nesting copies of them.
     """
-    a, b = unit(a), unit(b)
-    v, c = cross(a, b), dot(a, b)
-    k = [[F.lit(0.0), -v[2], v[1]], [v[2], F.lit(0.0), -v[0]], [-v[1], v[0], F.lit(0.0)]]
-    kk = matmul(k, k)
-    opposite = c < -0.999999 if parallel == "cosine" else (norm(v) < 1e-8) & (c < 0)
-    same = F.lit(False) if parallel == "cosine" else (norm(v) < 1e-8) & (c >= 0)
-    # Half turn about a unit axis w across a: 2 w w' - 1.
-    along_x = F.abs(a[0]) > 0.9
+    n = lambda s: [F.col(f"__{out}{s}{k}") for k in range(3)]
+    put = lambda df, s, v: df.withColumns({f"__{out}{s}{k}": c for k, c in enumerate(v)})
+    df = put(put(df, "p", [_c(x) for x in a]), "q", [_c(x) for x in b])
+    df = put(put(df, "a", unit(n("p"))), "b", unit(n("q")))
+    df = put(df, "v", cross(n("a"), n("b"))).withColumn(f"__{out}c", dot(n("a"), n("b")))
+    along_x = F.abs(n("a")[0]) > 0.9
     helper = (F.when(along_x, 0.0).otherwise(1.0), F.when(along_x, 1.0).otherwise(0.0), F.lit(0.0))
-    w = unit(cross(a, helper))
-    out = []
+    df = put(df, "h", cross(n("a"), helper))
+    df = put(df, "w", unit(n("h")))
+    v, w, c = n("v"), n("w"), F.col(f"__{out}c")
+    short = norm(v) < 1e-8
+    df = df.withColumn(f"__{out}o", c < -0.999999 if parallel == "cosine" else short & (c < 0))
+    df = df.withColumn(f"__{out}s", F.lit(False) if parallel == "cosine" else short & (c >= 0))
+    # Cross-product matrix and its square.
+    k = [[F.lit(0.0), -v[2], v[1]], [v[2], F.lit(0.0), -v[0]], [-v[1], v[0], F.lit(0.0)]]
+    vv = dot(v, v)
+    cells = {}
     for i in range(3):
-        row = []
         for j in range(3):
             one = F.lit(1.0 if i == j else 0.0)
-            arc = one + k[i][j] + kk[i][j] / (F.lit(1.0) + c)
-            row.append(F.when(same, one).when(opposite, 2 * w[i] * w[j] - one).otherwise(arc))
-        out.append(row)
-    return out
+            square = v[i] * v[j] - (vv if i == j else F.lit(0.0))
+            arc = one + k[i][j] + square / (F.lit(1.0) + c)
+            cells[f"{out}{i}{j}"] = F.when(F.col(f"__{out}s"), one).when(F.col(f"__{out}o"), 2 * w[i] * w[j] - one).otherwise(arc)
+    df = df.withColumns(cells)
+    return df.drop(*(c for c in df.columns if c.startswith(f"__{out}")))
+
+
+def columns_matrix(out: str = "r") -> list[list[Column]]:
+    return [[F.col(f"{out}{i}{j}") for j in range(3)] for i in range(3)]
 
 
 def quaternion_of(m: Mat) -> tuple[Column, Column, Column, Column]:
@@ -164,17 +176,3 @@ def quaternion_unit(q: Sequence) -> tuple[Column, ...]:
 
 def heading(dx: Column, dy: Column) -> Column:
     return F.atan2(dy, dx)
-
-
-def with_alignment(df, a: Sequence, b: Sequence, out: str = "r", parallel: str = "cosine"):
-    """``df`` with the nine elements of :func:`align_rotation` as columns ``{out}00`` to ``{out}22``. Directions
-    become columns first, so that the planner computes each once instead of nesting copies of them."""
-    names = [f"__{out}{s}{k}" for s in "ab" for k in range(3)]
-    df = df.withColumns(dict(zip(names, [_c(x) for x in (*a, *b)])))
-    m = align_rotation([F.col(n) for n in names[:3]], [F.col(n) for n in names[3:]], parallel)
-    df = df.withColumns({f"{out}{i}{j}": m[i][j] for i in range(3) for j in range(3)})
-    return df.drop(*names)
-
-
-def columns_matrix(out: str = "r") -> list[list[Column]]:
-    return [[F.col(f"{out}{i}{j}") for j in range(3)] for i in range(3)]

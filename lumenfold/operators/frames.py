@@ -148,3 +148,8 @@ def keyframe_sources(labelled: DataFrame) -> DataFrame:
     """``video, ordinal, frame_idx`` of the selected frames in order."""
     w = W.partitionBy("video").orderBy("frame_idx")
     return labelled.where("selected").select("video", (F.row_number().over(w) - 1).cast("long").alias("ordinal"), "frame_idx")
+
+
+def take_selected(frames: DataFrame, selected: DataFrame, *keys: str) -> DataFrame:
+    """Full rows of the selected frames only: the second pass over a clip reads no other frame."""
+    return frames.join(selected.select(*(keys or ("video", "frame_idx"))).distinct(), list(keys or ("video", "frame_idx")), "left_semi")

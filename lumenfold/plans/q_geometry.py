@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.functions import camera, linalg
-from lumenfold.operators import cloud, trajectory, volume
+from lumenfold.operators import cloud, fit, trajectory, volume
 
 from .tables import POINTS_SQL, points, read
 
@@ -232,7 +232,21 @@ UNION ALL SELECT 'inside', CAST(e AS INTEGER), round((lx + hx) / 2 + sx * {D(0.4
 FROM b, (VALUES (0, 1, 1), (1, 1, -1), (2, -1, 1), (3, -1, -1)) t(e, sx, sz)
 """
 
+
+
+def floor_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cloud levelled by the main plane of its low band."""
+    return fit.align_floor(points(spark, sf_dir).select("pid", *XYZ)).select("pid", *(F.round(c, 6).alias(c) for c in XYZ))
+
+
+def normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = fit.estimate_normals(points(spark, sf_dir).select("pid", *XYZ), 16)
+    return n.select("pid", *(F.round(c, 6).alias(c) for c in ("nx", "ny", "nz")))
+
+
 QUERIES = {
+    "q35_floor_plane": floor_plane,
+    "q36_point_normals": normals,
     "q21_rigid_transform": rigid,
     "q22_up_floor": up_floor,
     "q24_backproject": backproject,

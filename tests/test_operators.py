@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenfold.functions import camera, color, linalg, names
-from lumenfold.operators import cloud, frames, graph, image, mesh, metrics, nn, trajectory, volume
+from lumenfold.operators import cloud, fit, frames, graph, image, mesh, metrics, nn, trajectory, volume
 
 SLOW = dict(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -369,3 +369,48 @@ def test_macro_average(spark):
     assert np.isclose(avg["one", "NC"], 0.45) and avg["two", "Acc"] == 0.0
     text = metrics.markdown(metrics.collate_table(table))
     assert "| AVG | one |" in text and "—" in text and "2.00" in text
+
+
+# ---------------------------------------------------------------- fits
+
+
+def test_planes_and_floor(spark):
+    rng = np.random.default_rng(9)
+    turn = np.array([[1, 0, 0], [0, np.cos(0.1), -np.sin(0.1)], [0, np.sin(0.1), np.cos(0.1)]])
+    floor = np.column_stack([rng.random((600, 2)) * 4, rng.normal(0, 0.004, 600)])
+    walls = rng.random((200, 3)) * [4, 4, 2.5] + [0, 0, 0.4]
+    p = cloud_of(spark, np.vstack([floor, walls]) @ turn.T + [1, 2, 3])
+    n, d, votes = fit.ransac_plane(p, iterations=300, up=(0, 0, 1))
+    assert np.allclose(n, turn[:, 2], atol=0.01) and votes >= 590
+    level = fit.align_floor(p).orderBy("pid").toPandas()
+    assert np.abs(level.z[:600]).max() < 0.05 and level.z[600:].min() > 0.2
+    with pytest.raises(ValueError):
+        fit.ransac_plane(cloud_of(spark, [[0, 0, 0], [1, 1, 1]]))
+    with pytest.raises(ValueError):
+        fit.ransac_plane(cloud_of(spark, [[k, k, k] for k in range(9)]))
+
+
+def test_gravity(spark):
+    a = np.array([[0.0, -1, 0], [0, 0, -1], [1, 0, 0]])
+    cams = spark.createDataFrame([([[float(x) for x in row] + [0.0] for row in a],)], "c2w array<array<double>>")
+    out = fit.gravity_align(cloud_of(spark, [[0, 0, 0], [0, 0, 1], [1, 0, 0], [0, 1, 0]]), cams).toPandas()
+    up = -a[:, 1]
+    want = np.array([[0, 0, 0], [0, 0, 1], [1, 0, 0], [0, 1, 0]]) @ up
+    assert np.allclose(out.sort_values("pid").y - out.sort_values("pid").y.iloc[0], want, atol=1e-9)
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
+def test_normals(spark, strategy):
+    rng = np.random.default_rng(10)
+    xyz = np.column_stack([rng.random((150, 2)), np.zeros(150)]) @ np.array([[1, 0, 0], [0, 0.6, 0.8], [0, -0.8, 0.6]])
+    got = fit.estimate_normals(cloud_of(spark, xyz), 12, strategy, toward=(0, -10, 10)).toPandas()
+    assert np.allclose(got[["nx", "ny", "nz"]], [0, -0.8, 0.6], atol=1e-6)
+
+
+def test_work_list_and_second_pass(spark):
+    assert fit.work_list(["a"], ["b"], [5], spark).first().target == 5
+    with pytest.raises(ValueError):
+        fit.work_list(["a"], [], [5], spark)
+    df = spark.createDataFrame([(0, i, b"x") for i in range(5)], "video long, frame_idx long, pixels binary")
+    chosen = spark.createDataFrame([(0, 1), (0, 3), (0, 3)], "video long, frame_idx long")
+    assert [r.frame_idx for r in frames.take_selected(df, chosen).orderBy("frame_idx").collect()] == [1, 3]
