@@ -169,6 +169,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("h", F.col("best.doc_id").alias("d0"), F.col("best.first").alias("f0"))
     )
+    # Written, so that the join shuffles both sides itself and adaptive execution can split a hot run.
+    firsts = materialize(firsts, "firsts")
     covered = spans.join(firsts, "h").where("not (doc_id = d0 and first = f0)").select("doc_id", "first", "last")
     # Bounded by the document's own number of units.
     grouped = covered.groupBy("doc_id").agg(
