@@ -185,7 +185,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
     if labels is None:
         return spark.createDataFrame([], "node long, component long")
-    least = labels.groupBy("cur").agg(F.min("node").alias("component"))
+    least = materialize(labels.groupBy("cur").agg(F.min("node").alias("component")), "least")
     return labels.join(least, "cur").select("node", "component")
 
 

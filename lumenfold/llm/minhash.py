@@ -209,7 +209,8 @@ def _hubs(nodes: DataFrame) -> DataFrame:
     many = (
         keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("key", "hub")
     )
-    return keys.join(many, "key").select("hub", "node").distinct()
+    # Written, so that the join shuffles both sides itself and a hot bucket can be split.
+    return keys.join(materialize(many, "buckets"), "key").select("hub", "node").distinct()
 
 
 def _agreeing() -> np.ndarray:
@@ -271,7 +272,7 @@ def _links_apart(shares: DataFrame, found: DataFrame, nodes: DataFrame, docs: Da
     placed = shares.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
     placed = materialize(placed, "placed")
     many = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub")
-    mixed = materialize(placed.join(many, "hub"), "mixed")
+    mixed = materialize(placed.join(materialize(many, "open"), "hub"), "mixed")
     texts = _texts(docs, mixed.select(F.col("node").alias("doc_id")).distinct())
     known = materialize(
         nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "size", "sig", F.col("text").cast("binary").alias("text")), "known"
@@ -281,6 +282,7 @@ def _links_apart(shares: DataFrame, found: DataFrame, nodes: DataFrame, docs: Da
         weighed.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
         .select("hub", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     )
+    blocks = materialize(blocks, "blocks")
     bins = max(1, mixed.count() // GROUP_ROWS)
     rows = mixed.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
