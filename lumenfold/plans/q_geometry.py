@@ -101,9 +101,9 @@ SELECT pid, round(x0 + 1, 6) AS x, round(-depth + 2, 6) AS y, round(y0 + 3, 6) A
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path per user: positions from event values and ids in time order."""
-    e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    i = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")
-    return e.select(F.col("user_id").alias("traj"), i.alias("step"), F.col("value").alias("x"), (F.col("event_id") % 17).cast("double").alias("y"), (F.col("value") * 0.5).alias("z"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("traj"), "ts", "event_id", "value")
+    i = (F.row_number().over(W.partitionBy("traj").orderBy("ts", "event_id")) - 1).cast("long")
+    return e.select("traj", i.alias("step"), F.col("value").alias("x"), (F.col("event_id") % 17).cast("double").alias("y"), (F.col("value") * 0.5).alias("z"))
 
 
 _PATH = """

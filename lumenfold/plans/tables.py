@@ -13,9 +13,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A video per user, its frames in time order; sharpness and signal are the event's value."""
-    e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    i = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("user_id").alias("video"), i.cast("long").alias("frame_idx"), F.col("value").alias("sharpness"), F.col("value").alias("signal"))
+    # Renamed before the window, so that later windows by video find the rows already dealt by it.
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("video"), "ts", "event_id", "value")
+    i = F.row_number().over(W.partitionBy("video").orderBy("ts", "event_id")) - 1
+    return e.select("video", i.cast("long").alias("frame_idx"), F.col("value").alias("sharpness"), F.col("value").alias("signal"))
 
 
 FRAMES_SQL = """
