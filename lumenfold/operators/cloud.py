@@ -13,6 +13,7 @@ from lumenfold import scratch
 from . import nn
 
 XYZ = ("x", "y", "z")
+PART_ROWS = 2_000_000  # rows of a range partition on average
 
 
 def _with_row(df: DataFrame, aggs: Sequence[Column]) -> DataFrame:
@@ -160,7 +161,7 @@ def sample_exact(df: DataFrame, n: int, key: str = "pid", seed: int = 0) -> Data
 def ordinal(df: DataFrame, *order: str) -> DataFrame:
     """Add ``ord`` from 0 in a global order, without gathering the rows: counts per range partition give
     each partition its base."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS), 1)
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # Written, so that both passes see the same partitions; the partition's number rides along.
     kept = scratch.table(ranged.withColumn("__p", F.spark_partition_id()), "ranged")
