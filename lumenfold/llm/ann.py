@@ -114,20 +114,28 @@ def estimate(codes: Codes, queries: np.ndarray, centroid: np.ndarray, rotation:
     width = np.maximum((q.max(axis=1, keepdims=True) - low) / 15, 1e-12)
     level = np.rint((q - low) / width).astype(np.uint8)
     planes = [pack_signs((level >> p) & 1) for p in range(4)]
-    shared = np.zeros((len(q), len(codes.norm)), dtype=np.int32)
+    shared = np.zeros((len(q), len(codes.norm)), dtype=np.uint32 if dim > 4_000 else np.uint16)
     for w in range(codes.bits.shape[1]):
         for p in range(4):
-            shared += np.bitwise_count(planes[p][:, w, None] & codes.bits[None, :, w]).astype(np.int32) << p
-    ones = np.bitwise_count(codes.bits).sum(axis=1)
-    # <q, sign vector> with components +-1/sqrt(dim), from the products with the 0/1 code.
-    with_code = width * shared + low * ones[None, :]
+            shared += np.multiply(np.bitwise_count(planes[p][:, w, None] & codes.bits[None, :, w]), 1 << p, dtype=shared.dtype)
+    f = np.float32
+    ones = np.bitwise_count(codes.bits).sum(axis=1).astype(f)
     total = width * level.sum(axis=1, keepdims=True) + low * dim
-    product = (2 * with_code - total) / np.sqrt(dim)
-    est = (codes.norm / codes.align).astype(np.float32) * product.astype(np.float32) + (queries @ centroid)[:, None].astype(np.float32)
+    # <q, sign vector> with components +-1/sqrt(dim), from the products with the 0/1 code; then scaled by
+    # the residual's norm over its alignment, and the centroid's share added.
+    root = np.sqrt(dim)
+    est = shared.astype(f)
+    est *= (2 * width / root).astype(f)
+    est += (2 * low / root).astype(f) * ones[None, :]
+    est -= (total / root).astype(f)
+    est *= (codes.norm / codes.align).astype(f)
+    est += (queries @ centroid)[:, None].astype(f)
     q_norm = np.linalg.norm(q, axis=1, keepdims=True)
-    rounding = width * np.sqrt(dim / 12.0)
+    rounding = width * np.sqrt(dim / 12.0) / root
     spread = np.sqrt(np.maximum(1 - codes.align**2, 0)) / codes.align / np.sqrt(max(dim - 1, 1))
-    return est, (epsilon * codes.norm * (spread * q_norm + rounding / np.sqrt(dim) / codes.align)).astype(np.float32)
+    err = (epsilon * codes.norm * spread).astype(f) * q_norm.astype(f)
+    err += (epsilon * codes.norm / codes.align).astype(f) * rounding.astype(f)
+    return est, err
 
 
 def calibrate(index: Index, sample: np.ndarray, k: int, share: float = FOUND_IN, queries: int = SAMPLE_QUERIES) -> int:
