@@ -81,6 +81,28 @@ def communication_matrix(rows: np.ndarray, columns: np.ndarray, seed: int) -> np
     return out
 
 
+class Deal:
+    """The matrix of many partitions, held as one row per group of ``GROUP`` partitions; a group's own rows
+    are drawn again, from the same seed, by the tasks that need them. What is broadcast is thus a size
+    per partition and a ``GROUP``-th of the matrix."""
+
+    def __init__(self, rows: np.ndarray, quota: np.ndarray, seed: int):
+        self.rows, self.seed, self.group = rows, seed, GROUP
+        starts = np.arange(0, len(rows), GROUP)
+        sums = np.add.reduceat(rows, starts) if len(rows) else np.zeros(0, np.int64)
+        self.groups = communication_matrix(sums, quota, seed + 1)
+        self.before = np.cumsum(self.groups, axis=0) - self.groups  # rows a shard has from earlier groups
+        self.open: tuple[int, np.ndarray, np.ndarray] | None = None
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of partition ``i`` for each shard, rows each shard has from earlier partitions)."""
+        g = i // self.group
+        if self.open is None or self.open[0] != g:
+            part = communication_matrix(self.rows[g * self.group : (g + 1) * self.group], self.groups[g], self.seed + 2 + g)
+            self.open = (g, part, np.cumsum(part, axis=0) - part + self.before[g])
+        return self.open[1][i % self.group], self.open[2][i % self.group]
+
+
 def permute_index(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Pseudo-random permutation of ``0..size-1``, evaluated at single indexes: a six-round Feistel
     network on the next even power of two, walked until the value is in range. No list of the
@@ -129,12 +151,10 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED,
     total = int(rows.sum())
     quota = np.full(n_shards, total // n_shards, dtype=np.int64)
     quota[np.random.default_rng(seed).permutation(n_shards)[: total % n_shards]] += 1
-    matrix = communication_matrix(rows, quota, seed) if len(rows) else np.zeros((0, n_shards), np.int64)
-    arrived = np.cumsum(matrix, axis=0) - matrix  # rows a shard has from earlier partitions
-    shared = spark.sparkContext.broadcast((parts, rows, matrix, arrived))
+    shared = spark.sparkContext.broadcast((parts, rows, Deal(rows, quota, seed)))
 
     def deal(batches):
-        parts, rows, matrix, arrived = shared.value
+        parts, rows, matrix = shared.value
         orders: dict[int, np.ndarray] = {}
         for batch in batches:
             names = batch.schema.names
@@ -148,10 +168,11 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED,
                     orders[p] = np.random.default_rng([seed, 7, int(p)]).permutation(rows[i])
                 at = np.flatnonzero(part == p)
                 dealt = orders[p][row[at]]
-                ends = np.cumsum(matrix[i])
+                own, arrived = matrix.of(i)
+                ends = np.cumsum(own)
                 s = np.searchsorted(ends, dealt, side="right")
                 shard[at] = s
-                place[at] = dealt - (ends - matrix[i])[s] + arrived[i][s]
+                place[at] = dealt - (ends - own)[s] + arrived[s]
             slot = permute_index(place, quota[shard], mix64(shard + np.int64(seed)))
             keep = [k for k, n in enumerate(names) if not n.startswith("__lf_")]
             yield pa.RecordBatch.from_arrays(

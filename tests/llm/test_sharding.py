@@ -26,6 +26,23 @@ def test_matrix_in_groups(monkeypatch):
     assert (m.sum(axis=1) == rows).all() and (m.sum(axis=0) == cols).all()
 
 
+def test_deal_equals_a_whole_matrix(monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 3)
+    rows, quota = np.arange(11), np.array([20, 20, 15])
+    d = S.Deal(rows, quota, 5)
+    own = np.array([d.of(i)[0] for i in range(11)])
+    assert (own.sum(axis=1) == rows).all() and (own.sum(axis=0) == quota).all()
+    assert (np.array([d.of(i)[1] for i in (9, 0, 5, 2)]) == (np.cumsum(own, axis=0) - own)[[9, 0, 5, 2]]).all()
+
+
+def test_shards_with_groups(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 2)
+    rows = S.shuffle_into_shards(spark.range(0, 300, 1, 7).withColumnRenamed("id", "doc_id"), 40).toPandas()
+    assert sorted(rows.doc_id) == list(range(300))
+    assert rows.groupby("shard").size().isin([7, 8]).all()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
+
+
 def test_huge_populations():
     rng = np.random.default_rng(0)
     for good, bad, n in ((10**10, 3 * 10**10, 10**9), (1, 10**10, 5), (10**10, 1, 10**10)):
