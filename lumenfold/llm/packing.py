@@ -23,6 +23,8 @@ from .common import materialize, read, text_batches, tidied, with_fields
 MAX_LEN = 2048
 SEPARATOR = 0
 
+PART_ROWS = 2_000_000  # pieces of a range partition on average
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -347,7 +349,7 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
     spark = pieces.sparkSession
     # Written first: range partitioning reads its input twice, for the bounds and for the rows.
     pieces = materialize(pieces.drop("sequence_id", "offset", "__lf_part", "__lf_rank"), "tokenized")
-    n_part = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_part = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // PART_ROWS), 1)
     others = [c for c in pieces.columns if c != "ids"]
     spread = pieces.repartitionByRange(n_part, F.col(length_col), F.xxhash64(*others))
     schema = with_fields(spread, "__lf_part int, __lf_rank long")
