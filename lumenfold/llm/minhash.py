@@ -17,8 +17,10 @@ blocks, and only links that join components leave the task. Copies are thus neve
 link that could join two components is lost.
 
 Defined results: a text without words (or null) has no shingles and links with nothing; fewer
-words than a shingle are one shingle; rows that share a ``doc_id`` are one document; an empty
-table gives no rows; extra columns are ignored.
+words than a shingle are one shingle; rows that share a ``doc_id`` are one document, whose set is the
+union of its texts' (they are put together in one task, like one long text); rows without a ``doc_id``
+are documents of their own and link with nothing; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +49,15 @@ GROUP_ROWS = 1_000
 _POWERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
+# Between the texts of one document: a byte that UTF-8 never holds.
+PART = b"\xff"
+
+
 def shingle_hashes(text: bytes, memo: WordHashes, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word ``k``-grams of a UTF-8 text."""
+    """Sorted distinct 64-bit hashes of the word ``k``-grams of a UTF-8 text, or of several with ``PART``
+    between them."""
+    if PART in text:
+        return np.unique(np.concatenate([shingle_hashes(t, memo, k) for t in text.split(PART)]))
     words = text.lower().split()
     n = len(words)
     if n == 0:
@@ -103,8 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "set_hash", "sig"],
             )
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(tidied(run), "doc_id long, n_shingles long, set_hash binary, sig array<int>")
+    return _bytes(docs).mapInArrow(tidied(run), "doc_id long, n_shingles long, set_hash binary, sig array<int>")
 
 
 def chunk_keys(sig: str = "sig") -> list:
@@ -166,19 +174,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
-    rows = materialize(signatures(docs), "signatures")
-    # Equal sets are one class, and rows of one id are one node.
+    rows, docs = _one_set_each(materialize(signatures(docs), "signatures"), _bytes(docs))
+    # Equal sets are one class; an id has one set and so is in one class.
     classes = (
-        rows.where("n_shingles > 0")
+        rows.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_hash")
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
     )
     classes = materialize(classes, "classes")
     nodes = classes.select("node", "size", "sig")
-    if _clash(classes):
-        # Rows of one id with different texts: the node stands for its first set, in the order of hashes.
-        first = F.min(F.struct("set_hash", "size", "sig")).alias("f")
-        nodes = materialize(classes.groupBy("node").agg(first).select("node", "f.size", "f.sig"), "nodes")
     # Each bucket's members next to its least one, its hub.
     shares = materialize(_hubs(nodes), "shares")
 
@@ -275,7 +279,7 @@ def _links_apart(shares: DataFrame, found: DataFrame, nodes: DataFrame, docs: Da
     mixed = materialize(placed.join(materialize(many, "open"), "hub"), "mixed")
     texts = _texts(docs, mixed.select(F.col("node").alias("doc_id")).distinct())
     known = materialize(
-        nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "size", "sig", F.col("text").cast("binary").alias("text")), "known"
+        nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "size", "sig", "text"), "known"
     )
     weighed = mixed.join(known.select("node", F.octet_length("text").alias("bytes")), "node")
     blocks = (
@@ -307,15 +311,31 @@ def _links_apart(shares: DataFrame, found: DataFrame, nodes: DataFrame, docs: Da
     return rows.groupBy("g", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """One text for each needed id: ids are unique unless rows repeat."""
-    need = materialize(need, "need")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(maybe_broadcast(need), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+def _bytes(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, the text as UTF-8."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def _clash(classes: DataFrame) -> bool:
-    return not classes.groupBy("node").count().where("count > 1").isEmpty()
+def _one_set_each(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of signatures and ``docs``, where rows of one id with different sets all have the union."""
+    own = F.xxhash64("set_hash")
+    mixed = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    mixed = materialize(mixed.where("lo <> hi").select("doc_id"), "mixed_ids")
+    if mixed.isEmpty():
+        return rows, docs
+    ids = maybe_broadcast(mixed)
+    glue = lambda acc, t: F.when(F.octet_length(acc) == 0, t).otherwise(F.concat(acc, F.lit(PART), t))
+    whole = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("text")).alias("parts"))
+    whole = materialize(whole.select("doc_id", F.aggregate("parts", F.lit(b""), glue).alias("text")), "whole")
+    signed = materialize(signatures(whole), "signatures")
+    rows = rows.join(ids, "doc_id", "left_anti").unionByName(rows.select("doc_id").join(signed, "doc_id"))
+    return materialize(rows, "signatures"), docs.join(ids, "doc_id", "left_anti").unionByName(whole)
+
+
+def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """One text for each needed id: texts of one id have the same shingles here."""
+    need = materialize(need, "need")
+    return docs.join(maybe_broadcast(need), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -324,7 +344,8 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     drop = materialize(result.where("not kept").select("doc_id").distinct(), "drop")
     out = docs.join(maybe_broadcast(drop), "doc_id", "left_anti")
     if not result.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+        # Rows without an id are no copies of one another.
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out
 
 

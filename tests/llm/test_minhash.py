@@ -124,3 +124,30 @@ def test_stage_keeps_one_of_each(spark):
     kept = M.keep_one_of_each_group(docs)
     assert kept.columns == docs.columns
     assert collections.Counter(r.doc_id for r in kept.collect()) == {1: 1, 3: 1, 4: 1, 5: 1}
+
+
+def test_rows_without_an_id_stay_beside_a_repeated_id(spark):
+    rng = random.Random(11)
+    t, lone = prose(rng, 8), [prose(rng, 6) for _ in range(3)]
+    docs = frame(spark, [(1, t), (1, t), (2, edit(rng, t, 1)), *((None, x) for x in lone)])
+    kept = M.keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == {(1, t): 1} | {(None, x): 1 for x in lone}
+
+
+def test_different_texts_of_one_id_are_one_set(spark):
+    """As in the SQL, a document's set is the union of its rows', in signature and confirmation alike."""
+    rng = random.Random(12)
+    sets = lambda *ts: {tuple(w[k : k + 5]) for t in ts for w in [t.lower().split()] for k in range(len(w) - 4)}
+    texts, want = [], {}
+    for i in range(0, 80, 10):
+        a, b = prose(rng, 8), prose(rng, 8)
+        texts += [(i, a), (i, b), (i, None), (i + 1, b), (i + 1, a), (i + 2, a), (i + 3, edit(rng, b, 1)), (i + 4, a.upper())]
+        want |= {i: (len(sets(a, b)), i), i + 1: (len(sets(a, b)), i), i + 2: (len(sets(a)), i + 2), i + 3: (len(sets(texts[-2][1])), i + 3), i + 4: (len(sets(a)), i + 2)}
+        c, d = prose(rng, 9), prose(rng, 9)
+        texts += [(i + 5, c), (i + 5, d), (i + 6, edit(rng, c, 1)), (i + 6, edit(rng, d, 1))]
+        want |= {i + 5: (len(sets(c, d)), i + 5), i + 6: (len(sets(texts[-2][1], texts[-1][1])), i + 5)}
+    rng.shuffle(texts)
+    got = M.near_duplicates(frame(spark, texts)).collect()
+    assert len(got) == len(texts)
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got if (r.n_shingles, r.component_id) != want[r.doc_id]] == []
