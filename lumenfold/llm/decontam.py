@@ -325,6 +325,17 @@ def _merge_spans(col: str):
     return F.aggregate(col, empty, step)
 
 
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -340,34 +351,37 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with the hit spans cut out of their texts; columns as given, ``n_chars`` (if there)
-    counted anew. Documents without hits are untouched."""
+    counted anew. Documents without hits are untouched. All blocks search the text as given; their
+    spans are merged and cut once."""
     import pyarrow as pa
+    from pyspark.sql import types as T
 
-    out = docs
+    names, blocks = docs.columns, 0
+    found = docs.withColumn("__hits", F.array().cast("array<struct<start:int,end:int>>"))
     for block in benchmark_blocks(benchmark):
-        names = out.columns
-        found = find_phrases(out, block, window, keep=names)
-        text = F.col("__in_text")
-        hit = F.size("spans") > 0
-
-        def cut(batches):
-            for batch in batches:
-                texts, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                cleaned = [cut_words(t, [(s["start"], s["end"]) for s in sp]) if sp else t for t, sp in zip(texts, spans)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cleaned, pa.string()), *(batch.column(2 + k) for k in range(batch.num_columns - 2))],
-                    ["text", *batch.schema.names[2:]],
-                )
-
-        others = [n for n in names if n != "text"]
-        src = found.select(text.alias("text"), "spans", *(F.col("doc_id") if n == "doc_id" else F.col(f"__in_{n}").alias(n) for n in others), hit.alias("__hit"))
-        from pyspark.sql import types as T
-
-        schema = T.StructType([f for f in src.schema.fields if f.name != "spans"])
-        out = src.mapInArrow(tidied(cut), schema)
-        chars = [F.when(F.col("__hit"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if n == "n_chars" else F.col(n) for n in names]
-        out = out.select(*chars)
-    return out
+        carried, blocks = found.columns, blocks + 1
+        found = find_phrases(found, block, window, keep=carried)
+        hits = F.concat("__in___hits", "spans") if blocks > 1 else F.col("spans")
+        found = found.select(*(hits.alias(n) if n == "__hits" else F.col("doc_id") if n == "doc_id" else F.col(f"__in_{n}").alias(n) for n in carried))
+    if not blocks:
+        return docs
+
+    def cut(batches):
+        for batch in batches:
+            texts, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            cleaned = [cut_words(t, merge_spans([(s["start"], s["end"]) for s in sp])) if sp else t for t, sp in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cleaned, pa.string()), *(batch.column(2 + k) for k in range(batch.num_columns - 2))],
+                ["text", *batch.schema.names[2:]],
+            )
+
+    others = [n for n in names if n != "text"]
+    src = found.select("text", "__hits", *others, (F.size("__hits") > 0).alias("__hit"))
+    schema = T.StructType([f for f in src.schema.fields if f.name != "__hits"])
+    out = src.mapInArrow(tidied(cut), schema)
+    return out.select(
+        *(F.when(F.col("__hit"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if n == "n_chars" else F.col(n) for n in names)
+    )
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

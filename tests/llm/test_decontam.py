@@ -114,3 +114,19 @@ def test_digest_of_no_items(spark, tmp_path):
     spark.createDataFrame([(1, "b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     row = D.op7_benchmark_decontamination(spark, str(tmp_path)).first()
     assert row.items_sha256 == hashlib.sha256(b"").hexdigest() and not row.contaminated
+
+
+def test_removal_does_not_depend_on_blocks(spark, monkeypatch):
+    w = [f"w{k}" for k in range(1, 31)]
+    joined = " ".join(w[14:19] + w[24:29])  # adjacent only once w20 to w24 are cut
+    items = [(1, " ".join(w[:10])), (2, " ".join(w[4:14])), (3, " ".join(w[19:24])), (4, joined)]
+    texts = {1: "a, " + " ".join(w[:14]) + "; b", 2: " ".join(w[14:29]), 3: "clean text", 4: None, 5: joined + " end " + " ".join(w[:10])}
+    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    whole = {r.doc_id: (r.text, r.n_chars) for r in D.remove_contamination(docs, bench).collect()}
+    original = D.benchmark_blocks
+    monkeypatch.setattr(D, "benchmark_blocks", lambda b: original(b, 1))
+    assert len(list(D.benchmark_blocks(bench))) == 4
+    out = D.remove_contamination(docs, bench)
+    assert out.columns == docs.columns
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == whole
+    assert words(whole[1][0]) == ["a", "b"] and words(whole[2][0]) == w[14:19] + w[24:29] and words(whole[5][0]) == ["end"]
