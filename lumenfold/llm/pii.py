@@ -6,9 +6,11 @@ place are its instances. Spark scores the bipartite graph of patterns and instan
 pattern's confidence for a kind is the share of its distinct instances that are known to be of the
 kind, an instance's is the noisy-or of its confident patterns. Values that reach ``ACCEPT`` and
 have a form the kind can have become known, which can make further patterns confident. Known
-values found in place of a base rule add spans; base spans always stay.
+values, the seeds' among them, found in place of a base rule add spans; base spans always stay. Numbers
+are compared by their digits. Candidates are tokens and runs of digit groups with single blanks between
+them; parts of a run are found if they are known from elsewhere, but are no instances of a pattern.
 
-Tables hold one row for each digit-bearing or addressed token, never whole texts, and a pattern of
+Tables hold one row for each digit-bearing or addressed token or run, never whole texts, and a pattern of
 a third of all tokens is counted with a combine before the shuffle; only confident patterns
 are joined back.
 
@@ -111,6 +113,8 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 _VALUE = re.compile(r"[^\s\"'<>\[\]{}|,;=]*[0-9@][^\s\"'<>\[\]{}|,;=]*")
 _LEFT = re.compile(r"[^\s\"'<>\[\]{}|,;=]+[\"'<>\[\]{}|,;=]*|[=]")
 _EDGE = ".,;:!?()"
+_GROUP = re.compile(r"[0-9](?:[0-9().-]*[0-9])?")
+RUN_DIGITS = (7, 19)  # of a phone or card number
 
 
 def _shape_kinds(value: str) -> int:
@@ -154,8 +158,8 @@ def patterns_at(text: str, start: int, end: int) -> list[str]:
 
 
 def occurrences(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int, int, str, int, int, list[str]]]:
-    """(start, end, value, seed kind or -1, mask of possible kinds, patterns) of every identifier and of
-    every other token with a digit or an @."""
+    """(start, end, value, seed kind or -1, mask of possible kinds, patterns) of every identifier, of
+    every other token with a digit or an @, and of runs of digit groups and their parts."""
     out, taken = [], []
     for k, spans in enumerate(base):
         for a, b in spans:
@@ -164,6 +168,8 @@ def occurrences(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int,
             taken.append((a, b))
     taken.sort()
     i = 0
+    run: list[tuple[int, int]] = []  # groups with a blank between them
+    blank = -1  # where a blank has to be for the run to go on
     for m in _VALUE.finditer(text):
         a, b = m.span()
         while i < len(taken) and taken[i][1] <= a:
@@ -171,10 +177,37 @@ def occurrences(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int,
         if i < len(taken) and taken[i][0] < b:
             continue
         token = m.group()
+        before = a
         a += len(token) - len(token.lstrip(_EDGE))
         token = token.strip(_EDGE)
+        group = _GROUP.fullmatch(token) is not None
+        if not (group and run and before == blank + 1 and text[blank] == " " and text[before:a] in ("", "(")):
+            out += run_occurrences(text, run)
+            run = []
+        if group:
+            run.append((a, a + len(token)))
+        blank = b if text[a + len(token) : b] in ("", ")") and b < len(text) else -1
         if 5 <= len(token) <= 60:
-            out.append((a, a + len(token), token.lower(), -1, _shape_kinds(token), patterns_at(text, a, a + len(token))))
+            mask = _shape_kinds(token)
+            value = re.sub("[^0-9]", "", token) if mask & 12 and not mask & 2 else token.lower()
+            out.append((a, a + len(token), value, -1, mask, patterns_at(text, a, a + len(token))))
+    return out + run_occurrences(text, run)
+
+
+def run_occurrences(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, str, int, int, list[str]]]:
+    """Occurrences of what can be a number of two or more successive groups: the whole run with its patterns,
+    its parts without."""
+    out = []
+    digits = [re.sub("[^0-9]", "", text[a:b]) for a, b in run]
+    for i in range(len(run) - 1):
+        value = digits[i]
+        for j in range(i + 1, len(run)):
+            value += digits[j]
+            if len(value) > RUN_DIGITS[1]:
+                break
+            if len(value) >= RUN_DIGITS[0]:
+                a, b = run[i][0], run[j][1]
+                out.append((a, b, value, -1, _shape_kinds(value), patterns_at(text, a, b) if j - i == len(run) - 1 else []))
     return out
 
 
@@ -214,12 +247,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def bootstrap(occ: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, pattern_confidence: float = PATTERN_CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
-    """``i, kind`` of the values that the graph's confident patterns discover. ``occ`` has a value hash
-    ``i``, a seed kind, a mask of possible kinds and patterns."""
+    """``i, kind`` of the known values, seeds or discovered by the graph's confident patterns, that occur in
+    place of a base rule too. ``occ`` has a value hash ``i``, a seed kind, a mask of possible kinds and
+    patterns."""
     kinds = range(len(KINDS))
     edges = materialize(occ.select("i", F.explode("patterns").alias("pattern")).select("i", F.xxhash64("pattern").alias("p")).distinct(), "edges")
-    start = occ.groupBy("i").agg(F.max("seed").alias("seed"), F.max("mask").alias("mask"))
-    known = start.select("i", "seed", "mask", *(F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(f"c{k}") for k in kinds))
+    start = occ.groupBy("i").agg(F.max("seed").alias("seed"), F.bit_or("mask").alias("mask"), (F.min("seed") < 0).alias("bare"))
+    known = start.select("i", "seed", "mask", "bare", *(F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(f"c{k}") for k in kinds))
     known = materialize(known, "known")
     for _ in range(rounds):
         total = edges.join(known, "i").groupBy("p").agg(
@@ -236,26 +270,36 @@ def bootstrap(occ: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPO
         fits = lambda k: F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
         known = materialize(
             known.join(votes, "i", "left").select(
-                "i", "seed", "mask",
+                "i", "seed", "mask", "bare",
                 *(F.when(F.col("seed") >= 0, F.col(f"c{k}")).when(fits(k), F.greatest(f"c{k}", F.coalesce(f"v{k}", F.lit(0.0)))).otherwise(0.0).alias(f"c{k}") for k in kinds),
             ),
             "known",
         )
     best = F.greatest(*(F.col(f"c{k}") for k in kinds))
     kind = F.coalesce(*(F.when(F.col(f"c{k}") == best, F.lit(k)) for k in kinds))
-    return known.where((F.col("seed") < 0) & (best >= accept)).select("i", kind.alias("kind"))
+    return known.where(F.col("bare") & (best >= accept)).select("i", kind.alias("kind"))
+
+
+def outermost(spans):
+    """Of spans of one kind that overlap the first, and of those the longest."""
+    out: list = []
+    for s in sorted(spans, key=lambda s: (s["kind"], s["start"], -s["end"])):
+        if not out or out[-1]["kind"] != s["kind"] or out[-1]["end"] <= s["start"]:
+            out.append(s)
+    return out
 
 
 def find_identifiers(docs: DataFrame) -> DataFrame:
     """``doc_id, base, extra``: spans of the base rules by kind, and those the bootstrap adds."""
     scanned = materialize(scan(docs), "scanned")
     occ = scanned.select("uid", F.explode("occ").alias("o")).select("uid", "o.*")
-    occ = occ.withColumn("i", F.xxhash64("mask", "value"))
+    occ = occ.withColumn("i", F.xxhash64("value"))
     found = materialize(bootstrap(occ), "found")
     extra = (
         occ.where("seed < 0").join(found, "i").groupBy("uid").agg(F.collect_set(F.struct("kind", "start", "end")).alias("extra"))
     )
-    extra = materialize(extra, "extra")
+    apart = F.udf(outermost, "array<struct<kind:int,start:int,end:int>>")
+    extra = materialize(extra.withColumn("extra", apart("extra")), "extra")
     return scanned.select("doc_id", "uid", "base").join(extra, "uid", "left").select("doc_id", "base", "extra")
 
 

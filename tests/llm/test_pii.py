@@ -75,3 +75,35 @@ def test_a_pattern_needs_support_and_share(spark):
     assert all(not r.extra for r in P.find_identifiers(frame(spark, texts)).collect())
     assert P.find_identifiers(frame(spark, {})).count() == 0
     del rng
+
+
+def extras(spark, texts):
+    rows = P.find_identifiers(frame(spark, texts)).collect()
+    return {r.doc_id: sorted((texts[r.doc_id][e["start"] : e["end"]], e["kind"]) for e in r.extra or ()) for r in rows}
+
+
+def test_known_numbers_are_found_without_their_base_form(spark):
+    """A seed's digits elsewhere: bare, of 12 digits and more, punctuated, in groups, inside a longer run."""
+    texts = {1: "call +1 555 123 4567 now", 2: "or +44 1234 567890, too"}
+    texts |= {10: "ring 15551234567 or", 11: "x 441234567890 y", 12: "at 1-555-123-4567.", 13: "say (1) 555 123 4567", 14: "room 12 1 555 123 4567 9", 15: "no 15551234568 there", 16: "ends 1. 555 123 4567"}
+    got = extras(spark, texts)
+    assert got == {1: [], 2: [], 10: [("15551234567", 3)], 11: [("441234567890", 3)], 12: [("1-555-123-4567", 3)], 13: [("1) 555 123 4567", 3)], 14: [("1 555 123 4567", 3)], 15: [], 16: []}
+
+
+def test_a_confident_pattern_finds_seeds_and_groups(spark):
+    rng = random.Random(4)
+    texts = {i: f"{prose(rng, 1)} please call phone: +1 (456) 555-{1000 + i} today. {prose(rng, 1)}" for i in range(40)}
+    texts |= {100 + i: f"{prose(rng, 1)} please call phone: 1456555{1000 + i} today." for i in range(4)}
+    texts |= {200 + i: f"{prose(rng, 1)} please call phone: 777 123 {2000 + i} today." for i in range(4)}
+    texts |= {300 + i: f"{prose(rng, 1)} the lot 778 123 {2000 + i} fits." for i in range(9)}
+    want = {i: [] for i in texts} | {100 + i: [(f"1456555{1000 + i}", 3)] for i in range(4)} | {200 + i: [(f"777 123 {2000 + i}", 3)] for i in range(4)}
+    assert extras(spark, texts) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1@.+- 9()2\n", max_size=60))
+def test_occurrences_lie_in_the_text(text):
+    for a, b, value, seed, mask, _ in P.occurrences(text, P.base_spans(text)):
+        assert 0 <= a < b <= len(text)
+        if seed < 0 and mask & 12 and not mask & 2:
+            assert value == re.sub("[^0-9]", "", text[a:b])
