@@ -41,26 +41,39 @@ def piece_bounds(total: int, max_len: int) -> list[tuple[int, int]]:
     return bounds + [(s, max_len) for s in range(head, total, max_len)]
 
 
-def _encoder(path: str):
-    """The ordinary-text encoder of a byte-level BPE vocabulary given as a rank file (``.tiktoken``)
-    or a tokenizer file (``.json``); for a ``.json`` that has its rank file beside it the ranks are
-    used, as they give the same ids several times faster."""
+def _encoder(path: str, added: bool = True):
+    """The encoder of a byte-level BPE vocabulary given as a rank file (``.tiktoken``) or a tokenizer file
+    (``.json``); where both lie side by side the ranks are used, as they give the same ids several times
+    faster. With ``added`` the literals of the tokenizer file's added tokens become these tokens, as
+    ``Tokenizer.encode`` has it; without they are ordinary text."""
     import base64
+    import json
     import os
 
-    ranks = path if path.endswith(".tiktoken") else path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks):
+    stem = path.removesuffix(".tiktoken").removesuffix(".json")
+    ranks, file = stem + ".tiktoken", stem + ".json"
+    tokens = []
+    if added and os.path.exists(file):
+        with open(file, encoding="utf-8") as f:
+            tokens = json.load(f).get("added_tokens") or []
+    names = [t["content"] for t in tokens]
+    # Tokens that take in what is around them, or begin alike, are left to the tokenizer itself.
+    plain = not any(t.get(k) for t in tokens for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    plain &= not any(a != b and a.startswith(b) for a in names for b in names)
+    if os.path.exists(ranks) and plain:
         import public_tokenizers
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        return lambda texts: [enc.encode_ordinary(t) for t in texts]
+        enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={t["content"]: t["id"] for t in tokens})
+        if not tokens:
+            return lambda texts: [enc.encode_ordinary(t) for t in texts]
+        return lambda texts: [enc.encode(t, allowed_special="all") if any(n in t for n in names) else enc.encode_ordinary(t) for t in texts]
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(file)
+    tok.encode_special_tokens = not added
     return lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -77,10 +90,11 @@ def tokenize_pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, with ``with_ids``,
     ``ids`` (little-endian uint32). Texts are encoded whole; only documents longer than
-    ``max_len`` ids are cut."""
+    ``max_len`` ids are cut. ``added``: see ``_encoder``."""
     path = tokenizer or default_tokenizer()
 
     text_batches(docs.sparkSession)
@@ -89,7 +103,7 @@ def tokenize_pieces(
 
         import pyarrow as pa
 
-        encode = _encoder(path)
+        encode = _encoder(path, added)
         for batch in batches:
             ids_in = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
@@ -408,9 +422,10 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
     return numbered.mapInArrow(tidied(place), out)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, with_ids: bool = False) -> DataFrame:
-    """Tokenize whole texts, cut what is longer than ``max_len`` and pack all pieces."""
-    return pack_pieces(tokenize_pieces(docs, tokenizer, max_len, with_ids=with_ids), max_len)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, with_ids: bool = False, added: bool = False) -> DataFrame:
+    """Tokenize whole texts, cut what is longer than ``max_len`` and pack all pieces. With ``added`` the ids
+    are those of ``Tokenizer.encode``, in which the literal of an added token is that token."""
+    return pack_pieces(tokenize_pieces(docs, tokenizer, max_len, with_ids=with_ids, added=added), max_len)
 
 
 def assemble(packed: DataFrame) -> DataFrame:
@@ -424,4 +439,4 @@ def assemble(packed: DataFrame) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"))
+    return pack_documents(read(spark, sf_dir, "documents"), added=True)

@@ -114,3 +114,23 @@ def test_rank_file_and_tokenizer_file_agree():
     alone = shutil.copy(P.default_tokenizer(), tempfile.mkdtemp() + "/t.json")
     texts = ["", " a  b\n\n c", "naïve œuvre 漢字 \U0001f600", "x" * 500, "<|endoftext|>", "it's 12345 o'clock\t!"]
     assert P._encoder(alone)(texts) == P._encoder(P.default_tokenizer())(texts)
+
+
+def test_queries_give_the_unmodified_tokenizers_ids(spark, tmp_path):
+    import shutil
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.default_tokenizer())
+    texts = ["", "a <|endoftext|> b", "<|endoftext|>", "x  \n <|endoftext|><|endoftext|>\n\n  y", "<|endoftext|", "<|<|endoftext|>|>", "it's  <|ENDOFTEXT|> <|endoftext|>s é 漢"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[1] == [64, 220, 50256, 275]
+    assert P._encoder(P.default_tokenizer())(texts) == want
+    assert P._encoder(shutil.copy(P.default_tokenizer(), f"{tmp_path}/alone.json"))(texts) == want
+    frame(spark, dict(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    crc = {i: zlib.crc32(np.array([*ids, 0], dtype="<u4").tobytes()) for i, ids in enumerate(want)}
+    for out in (P.op1_best_fit_packing(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path))):
+        rows = out.collect()
+        assert {r.doc_id: r.ids_crc32 for r in rows} == crc and {r.doc_id: r.length for r in rows} == {i: len(x) + 1 for i, x in enumerate(want)}
