@@ -7,13 +7,13 @@ with a feature typical of toxic text, split at the terciles of the toxic trainin
 Features are log counts of the words, and of the beginnings of words, whose document frequency
 is most typical of toxic training documents; beginnings carry over to inflected forms never seen.
 
-Fitting uses at most ``FIT_ROWS`` labelled documents, chosen by a hash of their id, and at most
+Fitting uses at most ``FIT_ROWS`` labelled documents of those given, chosen by a hash of their id, and at most
 ``VOCABULARY`` words; word counts are combined on the executors and only selected words reach
 the driver. Scoring reads every whole text.
 
 Defined results: null and empty texts have no features and get the severity of the intercept;
-rows labelled null or not joined to a document are not learned from; without labelled rows of
-both kinds every severity is 0; repeated rows are each scored; an empty table gives no rows;
+rows labelled null or not joined to a document are not learned from; without a typical feature no
+document is toxic; without labelled rows of both kinds every severity is 0; repeated rows are each scored; an empty table gives no rows;
 other columns, whatever their names, pass through.
 """
 
@@ -147,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     spark = docs.sparkSession
     text_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    # Labels of other documents don't use up the bound.
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     chosen = materialize(chosen, "labelled")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -194,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     )
     vocab = {bytes(r["w"]): i for i, r in enumerate(top)}
     if not vocab:
-        return Model({}, np.zeros(0), np.array([np.log(n0 / n1) + k for k in range(GRADES - 1)]))
+        # Nothing tells toxic documents from others: the base rate for all, and none is toxic.
+        return Model({}, np.zeros(0), np.array([np.log(n0 / n1) + k for k in range(GRADES - 1)]), cut=2.0)
     shared = spark.sparkContext.broadcast(vocab)
 
     def features(batches) -> Iterator:

@@ -81,3 +81,21 @@ def test_copies_do_not_teach(spark):
     model = T.fit(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     got = T.score(frame(spark, {1: odd, 2: odd + " vile rotten vile"}), model).collect()
     assert [r["__toxic"] for r in sorted(got)] == [False, True]
+
+
+def test_nothing_is_rejected_without_a_typical_feature(spark):
+    rng = random.Random(21)
+    docs = frame(spark, {i: prose(rng, 4) for i in range(40)})
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10)], "doc_id long, quality int, toxic int")
+    assert T.fit(docs, labels).words == {}
+    assert {r.doc_id for r in T.without_toxic(docs, labels).collect()} == set(range(40))
+
+
+def test_labels_of_absent_documents_do_not_use_up_the_bound(spark):
+    rng = random.Random(22)
+    docs = frame(spark, {i: prose(rng, 2) + (" vile rotten" if i % 3 == 0 else "") for i in range(60)})
+    rows = [(i, 1, int(i % 3 == 0)) for i in range(60)]
+    labels = spark.createDataFrame(rows + [(1000 + i, 1, 0) for i in range(3000)], "doc_id long, quality int, toxic int")
+    alone = T.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"), fit_rows=60)
+    model = T.fit(docs, labels, fit_rows=60)
+    assert model is not None and model.words == alone.words and b"vile " in model.words
