@@ -9,7 +9,8 @@ by pairs of bytes.
 
 Only documents whose crc32 of the id (as text) is not 2 modulo 4 and whose language is not null are
 learned from; prediction sees nothing but the text. Training uses at most ``PER_LANGUAGE``
-documents of each of the ``MAX_LANGUAGES`` most frequent languages, chosen by a hash of the id.
+documents of each language, chosen by a hash of the id, and of each of them ``CROPS`` crops of
+``WINDOW`` bytes, evenly spread from its head to its tail.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if there is nothing
 to learn from; a null id is not held out and not learned from; repeated rows are each scored; an
@@ -27,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, text_batches, text_bytes, tidied
+from .common import materialize, maybe_broadcast, read, text_batches, text_bytes, tidied
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 PER_LANGUAGE = 500
-MAX_LANGUAGES = 200
+CROPS = 3
 STEPS = 700
 BATCH = 64
 SEED = 11
@@ -244,26 +245,24 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     rows = docs.where("doc_id is not null and lang is not null and text is not null").where(fold != 2)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return rows.select("text", "lang").limit(0)
+    counts = materialize(rows.groupBy("lang").count(), "languages")
     # A thinned candidate set of about twice the bound for each language, then exactly the bound.
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * per_language / r["count"]))))
+    share = F.least(F.lit(1.0), 2.0 * per_language / F.col("count"))
     draw = (F.xxhash64("doc_id") / F.lit(2.0**64)) + F.lit(0.5)
-    few = rows.withColumn("draw", draw).where(F.col("draw") <= share[F.col("lang")])
+    few = rows.join(maybe_broadcast(counts), "lang").withColumn("draw", draw).where(F.col("draw") <= share)
     order = W.partitionBy("lang").orderBy("draw", "doc_id")
     return few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("text", "lang")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Net | None:
-    # Three windows spread over each text are what training draws from.
+    # Windows spread over each text are what training draws from.
     def crops(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             out, lang = [], []
             for t, lab in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                starts = {0, max(0, (len(t) - WINDOW) // 2), max(0, len(t) - WINDOW)}
+                starts = {max(0, len(t) - WINDOW) * k // (CROPS - 1) for k in range(CROPS)}
                 for s in sorted(starts):
                     out.append(t[s : s + WINDOW])
                     lang.append(lab)

@@ -94,3 +94,10 @@ def test_gradient_is_numerically_right():
             down = loss()
             p[at] = keep
             assert abs((up - down) / 2e-2 - g[at]) < 5e-3
+
+
+def test_every_language_is_learned_from(spark):
+    rows = [(k, f"wort{k} text", f"l{k // 2:03}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.lang for r in L.training_rows(docs).collect()}
+    assert got == {lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2} and len(got) > 200
