@@ -3,7 +3,8 @@
 A uniform permutation of all rows, cut into shards of fixed sizes, sends from each input
 partition a random number of rows to each shard; those numbers form a matrix with given row
 sums (partition sizes) and column sums (shard sizes) whose law is multivariate hypergeometric.
-Drawing the matrix first makes shard sizes exact. Each partition then permutes its own rows and
+Drawing the matrix first makes shard sizes exact. From a billion rows on, counts are drawn from the
+rounded, clipped normal law instead, an approximation; sizes, slots and completeness stay exact. Each partition then permutes its own rows and
 deals them by its matrix row, and each shard permutes what it gets.
 
 Defined results: every row gets a shard and a slot, repeated rows and nulls included; shard
@@ -47,8 +48,8 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
         return n
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    # Beyond the generator's range: halve the draw until the parts fit; the law stays exact as
-    # consecutive draws without replacement.
+    # Beyond the generator's range: two consecutive draws without replacement, each by the normal law,
+    # which is an approximation.
     half = n // 2
     if half == 0:
         return int(rng.random() * (good + bad) < good)
