@@ -1,20 +1,24 @@
 """Approximate nearest neighbours on randomly rotated one-bit codes.
 
-Vectors are assigned to the nearest of a few centroids (k-means on a bounded sample); what is
-left after subtracting the centroid is rotated by one random orthogonal matrix and reduced to the
-signs of its coordinates, packed 64 to a word. With two correction scalars a code (its residual's
-norm and the product of the unit residual with the code's own direction) the inner product with a
-rotated query is estimated without bias, and the estimate's error exceeds ``EPSILON`` deviations
-only rarely. A query scans the codes of its nearest lists, as many as hold ``FOUND_IN`` of the true
-neighbours of sample queries (all lists, where vectors have no clusters); a vector is reranked
-exactly, on the original components, if its upper bound reaches the k-th best lower bound.
-
-Every vector is indexed. A list is stored in blocks of at most ``BLOCK`` rows and each block is
-scanned by a task of its own, so a list that holds a third of all rows is no single task's work;
-equal vectors of a block are scanned once, keeping as many ids as a result can hold.
+Vectors are assigned to the nearest of about the square root of their number of centroids (k-means on
+a bounded sample; beyond ``FIRST_LISTS`` a second level of centroids is fitted to what the first leaves,
+and a list is a pair of both). What is left after subtracting the centroid is rotated by one random
+orthogonal matrix and reduced to the signs of its coordinates, packed 64 to a word. With two correction
+scalars a code (its residual's norm and the product of the unit residual with the code's own direction)
+the inner product with a rotated query is estimated without bias, and the estimate's error exceeds
+``EPSILON`` deviations only rarely. A query scans the codes of as many of its nearest lists as hold
+``FOUND_IN`` of the true neighbours of sample queries that the centroids were not fitted on; the best
+estimates, scored exactly, give a bar, and a vector is reranked exactly, on the original components,
+if its upper bound reaches the bar.
+
+Every vector is indexed. Lists near one another make a group of about ``BLOCK`` rows, which one task
+scans, so a query travels once to each group that holds any of its lists; a list or group that is larger,
+such as one with a third of all rows, is cut into blocks by a hash of the id, and the queries of a
+group into parts of ``QUERY_BLOCK``. Equal vectors of a block are scanned once, keeping as many
+ids as a result can hold. The driver holds the sample, the centroids and a few numbers a list.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or are not of
-the usual (most frequent) length take no part; rows that share a ``vec_id`` and vector count once;
+the usual (most frequent) length take no part; an id with several vectors counts once, at its best score;
 an empty table gives no rows; ties go to the smaller id; extra columns are ignored.
 """
 
@@ -28,17 +32,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, mix64, read
 
 K = 20
 QUERY_EVERY = 20
-SAMPLE_ROWS = 20_000  # bound of the rows that centroids are fitted on
-LIST_ROWS = 4_000  # rows of a list on average; the number of lists grows with the table
-MAX_LISTS = 65_536
+SAMPLE_ROWS = 40_000  # bounds of what centroids are fitted on: rows and numbers
+SAMPLE_VALUES = 8_000_000
+ROWS_PER_LIST = 16  # sample rows that a centroid needs
+FIRST_LISTS = 2_048
+SECOND_LISTS = 1_024
 BLOCK = 8_192
-QUERY_BLOCK = 1_024
-FOUND_IN = 0.99  # share of true neighbours in the scanned lists, measured on the sample
-SAMPLE_QUERIES = 256
+QUERY_BLOCK = 8_192
+FOUND_IN = 0.95  # share of true neighbours in the scanned lists, measured on held-out sample rows
+HELD_OUT = 256
 CHUNK = 64  # queries whose estimates are held at once
 EPSILON = 2.4  # deviations of the estimate's error bound
 SEED = 7
@@ -46,32 +52,32 @@ SEED = 7
 
 @dataclass
 class Index:
-    centroids: np.ndarray
+    """``first`` and ``second`` centroids (the second of one zero row, if there is one level) and the rotation.
+    List i * len(second) + j has the centroid first[i] + second[j]."""
+
+    first: np.ndarray
+    second: np.ndarray
     rotation: np.ndarray
 
     @property
-    def dim(self) -> int:
-        return self.centroids.shape[1]
+    def lists(self) -> int:
+        return len(self.first) * len(self.second)
 
+    def centroid(self, k: int) -> np.ndarray:
+        return self.first[k // len(self.second)] + self.second[k % len(self.second)]
 
-def fit(sample: np.ndarray, lists: int, seed: int = SEED, rounds: int = 8) -> Index:
-    """Centroids by Lloyd's rounds and a random rotation."""
-    rng = np.random.default_rng(seed)
-    dim = sample.shape[1]
-    rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-    distinct = np.unique(sample, axis=0)
-    lists = max(1, min(lists, len(distinct)))
-    centroids = distinct[rng.choice(len(distinct), lists, replace=False)].astype(np.float64)
-    for _ in range(rounds):
-        near = nearest_list(distinct, centroids)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, near, distinct)
-        n = np.bincount(near, minlength=lists)
-        centroids[n > 0] = sums[n > 0] / n[n > 0, None]
-    return Index(centroids, rotation)
+    def place(self, x: np.ndarray) -> np.ndarray:
+        near = nearest_row(x, self.first)
+        if len(self.second) == 1:
+            return near
+        return near * len(self.second) + nearest_row(x - self.first[near], self.second)
+
+    def products(self, q: np.ndarray) -> np.ndarray:
+        """Inner product of each query with the centroid of each list."""
+        return ((q @ self.first.T)[:, :, None] + (q @ self.second.T)[:, None, :]).reshape(len(q), -1)
 
 
-def nearest_list(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+def nearest_row(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     half = 0.5 * (centroids**2).sum(axis=1)
     out = np.empty(len(x), dtype=np.int64)
     for lo in range(0, len(x), 4096):
@@ -79,6 +85,66 @@ def nearest_list(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return out
 
 
+def cluster(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """At most ``n`` centroids by Lloyd's rounds."""
+    distinct = np.unique(x, axis=0)
+    n = max(1, min(n, len(distinct)))
+    centroids = distinct[rng.choice(len(distinct), n, replace=False)].astype(np.float64)
+    for _ in range(rounds):
+        near = nearest_row(distinct, centroids)
+        size = np.bincount(near, minlength=n)
+        order = np.argsort(near, kind="stable")
+        full = np.flatnonzero(size)
+        centroids[full] = np.add.reduceat(distinct[order], (np.cumsum(size) - size)[full], axis=0) / size[full, None]
+    return centroids
+
+
+def fit(sample: np.ndarray, lists: int, seed: int = SEED) -> Index:
+    """Centroids for about ``lists`` lists and a random rotation."""
+    rng = np.random.default_rng(seed)
+    dim = sample.shape[1]
+    rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
+    one = min(lists, FIRST_LISTS, max(1, len(sample) // ROWS_PER_LIST))
+    first = cluster(sample, one, rng)
+    second = np.zeros((1, dim))
+    two = min(SECOND_LISTS, -(-lists // len(first)), max(1, len(sample) // ROWS_PER_LIST))
+    if two > 1 and one < lists:
+        second = cluster(sample - first[nearest_row(sample, first)], two, rng)
+    return Index(first, second, rotation)
+
+
+def calibrate(index: Index, base: np.ndarray, queries: np.ndarray, k: int, share: float = FOUND_IN) -> int:
+    """The number of lists, in a query's order, that hold ``share`` of the ``k`` nearest rows of ``base``.
+    Neighbours are farther in a sample than in the whole table, so this errs upward."""
+    if index.lists == 1 or len(base) == 0 or len(queries) == 0:
+        return index.lists
+    place = index.place(base)
+    near = min(k, len(base))
+    ranks = []
+    for q in queries:
+        score = base @ q
+        at = index.products(q[None])[0]
+        best = place[np.argpartition(-score, near - 1)[:near]]
+        ranks.append([(at > at[p]).sum() for p in best])
+    return int(np.quantile(np.concatenate(ranks), share, method="higher")) + 1
+
+
+def groups_of(index: Index, rows: np.ndarray, block: int) -> np.ndarray:
+    """The group of each list: neighbouring lists together, about ``block`` rows a group."""
+    order = np.arange(index.lists)
+    if len(index.second) == 1 and index.lists > 2:
+        near = nearest_row(index.first, cluster(index.first, max(1, round(rows.sum() / block)), np.random.default_rng(SEED)))
+        order = np.argsort(near, kind="stable")
+    ends = np.cumsum(rows[order])
+    out = np.empty(index.lists, dtype=np.int64)
+    # By the middle of a list, so that no group is left with a small remainder.
+    out[order] = (ends - rows[order] / 2) // block
+    return np.unique(out, return_inverse=True)[1]
+
+
+# ---------------------------------------------------------------- codes
+
+
 def pack_signs(r: np.ndarray) -> np.ndarray:
     """Sign bits of each row, as uint64 words."""
     pad = -r.shape[1] % 64
@@ -88,9 +154,10 @@ def pack_signs(r: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Codes:
-    """One block of a list: packed codes and correction scalars of distinct vectors."""
+    """Packed codes and correction scalars of vectors of one list."""
 
     bits: np.ndarray
+    ones: np.ndarray
     norm: np.ndarray
     align: np.ndarray
 
@@ -100,209 +167,300 @@ class Codes:
         norm = np.linalg.norm(r, axis=1)
         # Product of the unit residual with the unit vector of its signs.
         align = np.abs(r).sum(axis=1) / np.maximum(norm, 1e-300) / np.sqrt(x.shape[1])
-        return Codes(pack_signs(r), norm, np.maximum(align, 1e-3))
+        bits = pack_signs(r)
+        return Codes(bits, np.bitwise_count(bits).sum(axis=1).astype(np.float32), norm, np.maximum(align, 1e-3))
 
 
-def estimate(codes: Codes, queries: np.ndarray, centroid: np.ndarray, rotation: np.ndarray, epsilon: float = EPSILON):
-    """(estimate, error bound) of each query's inner product with each coded vector.
+@dataclass
+class Planes:
+    """Rotated queries held in 4 bits a component, so that the product with a sign code is a sum of bit
+    counts: for planes p of the query, 2**p times the ones that plane and code share."""
+
+    words: list[np.ndarray]
+    low: np.ndarray
+    width: np.ndarray
+    total: np.ndarray
+    norm: np.ndarray
 
-    The rotated query is held in 4 bits a component, so its product with a sign code is a sum of
-    bit counts: for planes p of the query, 2**p times the ones that plane and code share."""
-    dim = queries.shape[1]
-    q = queries @ rotation.T
-    low = q.min(axis=1, keepdims=True)
-    width = np.maximum((q.max(axis=1, keepdims=True) - low) / 15, 1e-12)
-    level = np.rint((q - low) / width).astype(np.uint8)
-    planes = [pack_signs((level >> p) & 1) for p in range(4)]
-    shared = np.zeros((len(q), len(codes.norm)), dtype=np.uint32 if dim > 4_000 else np.uint16)
+    @staticmethod
+    def of(queries: np.ndarray, rotation: np.ndarray) -> Planes:
+        q = queries @ rotation.T
+        low = q.min(axis=1, keepdims=True)
+        width = np.maximum((q.max(axis=1, keepdims=True) - low) / 15, 1e-12)
+        level = np.rint((q - low) / width).astype(np.uint8)
+        words = [pack_signs((level >> p) & 1) for p in range(4)]
+        return Planes(words, low, width, width * level.sum(axis=1, keepdims=True) + low * q.shape[1], np.linalg.norm(q, axis=1, keepdims=True))
+
+
+def estimate(codes: Codes, planes: Planes, at: np.ndarray, shift: np.ndarray, dim: int, epsilon: float = EPSILON):
+    """(estimate, error bound) of the inner products of queries ``at`` with each coded vector; ``shift``
+    are their products with the list's centroid."""
+    low, width = planes.low[at], planes.width[at]
+    shared = np.zeros((len(at), len(codes.norm)), dtype=np.uint32 if dim > 4_000 else np.uint16)
     for w in range(codes.bits.shape[1]):
         for p in range(4):
-            shared += np.multiply(np.bitwise_count(planes[p][:, w, None] & codes.bits[None, :, w]), 1 << p, dtype=shared.dtype)
+            shared += np.multiply(np.bitwise_count(planes.words[p][at, w, None] & codes.bits[None, :, w]), 1 << p, dtype=shared.dtype)
     f = np.float32
-    ones = np.bitwise_count(codes.bits).sum(axis=1).astype(f)
-    total = width * level.sum(axis=1, keepdims=True) + low * dim
     # <q, sign vector> with components +-1/sqrt(dim), from the products with the 0/1 code; then scaled by
     # the residual's norm over its alignment, and the centroid's share added.
     root = np.sqrt(dim)
     est = shared.astype(f)
     est *= (2 * width / root).astype(f)
-    est += (2 * low / root).astype(f) * ones[None, :]
-    est -= (total / root).astype(f)
+    est += (2 * low / root).astype(f) * codes.ones[None, :]
+    est -= (planes.total[at] / root).astype(f)
     est *= (codes.norm / codes.align).astype(f)
-    est += (queries @ centroid)[:, None].astype(f)
-    q_norm = np.linalg.norm(q, axis=1, keepdims=True)
+    est += shift[:, None].astype(f)
     rounding = width * np.sqrt(dim / 12.0) / root
     spread = np.sqrt(np.maximum(1 - codes.align**2, 0)) / codes.align / np.sqrt(max(dim - 1, 1))
-    err = (epsilon * codes.norm * spread).astype(f) * q_norm.astype(f)
+    err = (epsilon * codes.norm * spread).astype(f) * planes.norm[at].astype(f)
     err += (epsilon * codes.norm / codes.align).astype(f) * rounding.astype(f)
     return est, err
 
 
-def calibrate(index: Index, sample: np.ndarray, k: int, share: float = FOUND_IN, queries: int = SAMPLE_QUERIES) -> int:
-    """The number of lists, in a query's order, that hold ``share`` of the sample queries' true neighbours in
-    the sample. Neighbours are farther in a sample than in the whole table, so this errs upward."""
-    if len(index.centroids) == 1 or len(sample) < 2:
-        return len(index.centroids)
-    place = nearest_list(sample, index.centroids)
-    near = min(k, len(sample) - 1)
-    ranks = []
-    for i in range(min(queries, len(sample))):
-        score = sample @ sample[i]
-        score[i] = -np.inf
-        best = np.argpartition(-score, near - 1)[:near]
-        order = np.empty(len(index.centroids), dtype=np.int64)
-        order[list_order(sample[i : i + 1], index)[0]] = np.arange(len(index.centroids))
-        ranks.append(order[place[best]])
-    return int(np.quantile(np.concatenate(ranks), share, method="higher")) + 1
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, summed from the first component to the last."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * q[j]
+    return out
 
 
-def list_order(q: np.ndarray, index: Index) -> np.ndarray:
-    """Lists of each query, those of largest inner product between query and centroid first."""
-    return np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
+# ---------------------------------------------------------------- one block
 
 
-def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, each row summed alike, so equal rows get equal scores."""
-    return (x * q).sum(axis=1)
-
-
-def search_block(ids: np.ndarray, x: np.ndarray, codes: Codes, q_ids: np.ndarray, q: np.ndarray, index: Index, centroid: np.ndarray, k: int):
-    """Yield (query, ids, scores) of the best ``k`` of a block for each query. ``ids`` is ragged: row i
-    has the least ids of distinct vector i."""
-    est, err = estimate(codes, q, centroid, index.rotation)
-    low, high = est - err, est + err
-    n = low.shape[1]
-    # One more than k: the query itself may be among them.
-    bar = np.partition(low, n - k - 1, axis=1)[:, n - k - 1] if n > k + 1 else np.full(len(q), -np.inf)
-    reach = high >= bar[:, None]
-    for i in range(len(q)):
-        pick = np.flatnonzero(reach[i])
-        score = exact(x[pick], q[i])
-        if len(pick) > k + 1:
-            bar = -np.partition(-score, k)[k]
-            keep = score >= bar
-            pick, score = pick[keep], score[keep]
-        sizes = np.array([len(ids[j]) for j in pick])
-        cand = np.concatenate([ids[j] for j in pick])
-        score = np.repeat(score, sizes)
-        other = cand != q_ids[i]
-        cand, score = cand[other], score[other]
-        best = np.lexsort((cand, -score))[:k]
-        yield q_ids[i], cand[best], score[best]
+class Block:
+    """Distinct vectors of a block, sorted by list, with the least ids of each."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, k: int):
+        h = mix64(np.ascontiguousarray(x).view(np.uint64) + np.arange(x.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1, dtype=np.uint64)
+        order = np.lexsort((ids, h, lists))
+        ids, x, lists = ids[order], x[order], lists[order]
+        new = np.r_[True, (x[1:] != x[:-1]).any(axis=1) | (lists[1:] != lists[:-1])]
+        again = np.r_[False, (ids[1:] == ids[:-1]) & ~new[1:]]
+        ids, which = ids[~again], (np.cumsum(new) - 1)[~again]
+        first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+        # Copies tie, and of ties the smaller ids win: k + 1 of them are enough for any result.
+        keep = np.arange(len(which)) - first[which] <= k
+        self.ids, which = ids[keep], which[keep]
+        self.first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+        self.count = np.diff(np.r_[self.first, len(which)])
+        self.x, self.lists = np.ascontiguousarray(x[new]), lists[new]
+        self.most = int(np.unique(self.ids, return_counts=True)[1].max())  # vectors of one id
+        self.names, start = np.unique(self.lists, return_index=True)
+        self.edges = np.r_[start, len(self.lists)]
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, position in ``at``) of the vectors ``at``."""
+        n = self.count[at]
+        own = np.repeat(np.arange(len(at)), n)
+        return self.ids[self.first[at][own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], own
+
+    def search(self, index: Index, q_ids: np.ndarray, q: np.ndarray, probed: list[np.ndarray], k: int, epsilon: float = EPSILON) -> Iterator:
+        """(query, ids, scores) of the best ``k`` for each query among its probed lists."""
+        n, dim = self.x.shape
+        centroids = np.stack([index.centroid(int(c)) for c in self.names])
+        codes = [Codes.of(self.x[a:b], c, index.rotation) for c, a, b in zip(centroids, self.edges[:-1], self.edges[1:])]
+        top = (k + 1) * self.most
+        slack = 1e-12 * float(np.sqrt((self.x**2).sum(axis=1).max()))
+        for lo in range(0, len(q), CHUNK):
+            part = q[lo : lo + CHUNK]
+            planes, shift = Planes.of(part, index.rotation), part @ centroids.T
+            est, high = np.full((len(part), n), -np.inf, np.float32), np.full((len(part), n), -np.inf, np.float32)
+            asks = np.zeros((len(part), len(self.names)), dtype=bool)
+            for i, lists in enumerate(probed[lo : lo + CHUNK]):
+                at = np.minimum(np.searchsorted(self.names, lists), len(self.names) - 1)
+                asks[i, at[self.names[at] == lists]] = True
+            for j, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:])):
+                at = np.flatnonzero(asks[:, j])
+                if len(at):
+                    est[at, a:b], err = estimate(codes[j], planes, at, shift[at, j], dim, epsilon)
+                    high[at, a:b] = est[at, a:b] + err
+            for i, v in enumerate(part):
+                bar = -np.inf
+                if n > 2 * top:
+                    best = np.argpartition(est[i], n - 2 * top)[n - 2 * top :]
+                    best = best[est[i, best] > -np.inf]
+                    if len(best) >= top:
+                        bar = np.partition(self.x[best] @ v, len(best) - top)[len(best) - top]
+                pick = np.flatnonzero((high[i] >= bar - 1e-6 * abs(bar)) & (high[i] > -np.inf)) if bar > -np.inf else np.flatnonzero(high[i] > -np.inf)
+                if len(pick) > top:
+                    about = self.x[pick] @ v
+                    pick = pick[about >= np.partition(about, len(about) - top)[len(about) - top] - slack * float(np.linalg.norm(v))]
+                cand, own = self.ids_of(pick)
+                score = exact(self.x[pick], v)[own]
+                other = cand != q_ids[lo + i]
+                cand, score = cand[other], score[other]
+                order = np.lexsort((cand, -score))
+                if self.most > 1:
+                    order = order[np.sort(np.unique(cand[order], return_index=True)[1])]
+                order = order[:k]
+                yield q_ids[lo + i], cand[order], score[order]
+
+
+# ---------------------------------------------------------------- the operator
 
 
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``vec_id, v`` (doubles) of the rows that take part."""
-    v = F.col(vec_col).cast("array<double>")
+    """``vec_id, v`` of the rows that take part; ``v`` is of floats if the column is, else of doubles."""
+    kind = df.schema[vec_col].dataType.simpleString()
+    v = F.col(vec_col) if kind == "array<float>" else F.col(vec_col).cast("array<double>")
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), ok.alias("ok")).where("ok").drop("ok")
     usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == (usual[0] if usual else 0))
 
 
-def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, found_in: float = FOUND_IN) -> DataFrame:
+def _matrix(column) -> np.ndarray:
+    """Rows of a list column of one length, as doubles."""
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def sample_of(rows: DataFrame, total: int, dim: int) -> np.ndarray:
+    """A bounded sample by a hash of the id. Thinned on the executors to little more than the bound."""
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
+    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    if total > 2 * most:
+        rows = rows.where(draw < int((1 << 40) * (1.1 * most + 100) / total))
+    found = rows.select(draw.alias("draw"), "vec_id", "v").toArrow()
+    x = _matrix(found.column("v"))
+    order = np.lexsort((*x.T[:1], found.column("vec_id").to_numpy(), found.column("draw").to_numpy()))
+    return x[order[:most]]
+
+
+def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, found_in: float = FOUND_IN, epsilon: float = EPSILON) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every`` its ``k``
     nearest others by inner product."""
     import pyarrow as pa
 
     spark = df.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
-    rows = materialize(valid_vectors(df), "vectors")
-    total = rows.count()
+    rows = valid_vectors(df)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.first(F.size("v")).alias("dim")).first()
+    total = size["n"]
     if total == 0:
-        return spark.createDataFrame([], empty)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
-    sample = np.stack(sample.to_numpy())
-    lists = min(MAX_LISTS, max(1, total // LIST_ROWS))
-    index = fit(sample, lists)
-    lists = len(index.centroids)
-    probes = calibrate(index, sample, k, found_in)
-    shared = spark.sparkContext.broadcast(index)
-
-    def vectors(batch, at: int) -> np.ndarray:
-        col = batch.column(at)
-        return col.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = sample_of(rows, total, size["dim"])
+    held = len(sample) - min(HELD_OUT, len(sample) // 8)
+    index = fit(sample[:held], 1 if total <= BLOCK else round(total**0.5))
+    probes = calibrate(index, sample[:held], sample[held:], k, found_in)
+    indexed = spark.sparkContext.broadcast(index)
+    kind = rows.schema["v"].dataType.simpleString()
 
     def assign(batches) -> Iterator:
-        index = shared.value
+        index = indexed.value
+        for batch in batches:
+            if batch.num_rows:
+                near = index.place(_matrix(batch.column(1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], ["vec_id", "v", "list"])
+
+    def nearest_lists(batches) -> Iterator:
+        """Batches with the probed lists of their queries."""
+        index = indexed.value
+        step = max(1, 4_000_000 // index.lists)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            near = nearest_list(vectors(batch, 1), index.centroids).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], ["vec_id", "v", "list"])
-
-    def route(batches) -> Iterator:
-        """Each query once for every list it scans."""
-        index = shared.value
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                at = index.products(_matrix(part.column(1)))
+                yield part, np.sort(np.argpartition(-at, probes - 1, axis=1)[:, :probes], axis=1)
+
+    placed = materialize(rows.mapInArrow(assign, f"vec_id long, v {kind}, list int"), "placed")
+    queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    per_list = placed.groupBy("list").count().toPandas()  # a few numbers a list
+    held_by = np.zeros(index.lists, dtype=np.int64)
+    held_by[per_list["list"]] = per_list["count"]
+    group = groups_of(index, held_by, BLOCK)
+    n_groups = int(group.max()) + 1
+    blocks = np.maximum(1, np.rint(np.bincount(group, held_by, n_groups) / BLOCK)).astype(np.int64)
+    grouped = spark.sparkContext.broadcast((group, blocks))
+
+    def count_asked(batches) -> Iterator:
+        group, _ = grouped.value
+        n = np.zeros(n_groups, dtype=np.int64)
+        for _, lists in nearest_lists(batches):
+            g = np.sort(group[lists], axis=1)
+            n += np.bincount(g[np.c_[np.ones(len(g), bool), g[:, 1:] != g[:, :-1]]], minlength=n_groups)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["g", "n"])
+
+    asked = queries.mapInArrow(count_asked, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    parts = np.zeros(n_groups, dtype=np.int64)
+    parts[asked["g"]] = -(-asked["n"] // QUERY_BLOCK)
+    dealt = spark.sparkContext.broadcast((group, blocks, parts))
+
+    def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, 0 to n - 1) for each row as often as n says."""
+        row = np.repeat(np.arange(len(n)), n)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+    def store(batches) -> Iterator:
+        """Each vector in its block, once for every part of the group's queries."""
+        group, blocks, parts = dealt.value
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            q = vectors(batch, 1)
-            first = list_order(q, index)[:, :probes]
-            which = np.repeat(np.arange(len(q)), probes)
+            ids, lists = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            g = group[lists]
+            row, part = spread(parts[g])
+            block = (mix64(ids.view(np.uint64)) % blocks[g].astype(np.uint64)).astype(np.int32)
+            some = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g[row].astype(np.int32)), pa.array(block[row]), pa.array(part.astype(np.int32)), *some.columns], ["g", "block", "part", "vec_id", "v", "list"]
+            )
+
+    def ask(batches) -> Iterator:
+        """Each query with its lists of a group, once for every block of the group."""
+        group, blocks, parts = dealt.value
+        for batch, lists in nearest_lists(batches):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            g = group[lists]
+            order = np.argsort(g, axis=1, kind="stable")
+            g, lists = np.take_along_axis(g, order, 1), np.take_along_axis(lists, order, 1)
+            turn = np.c_[np.ones(len(g), bool), g[:, 1:] != g[:, :-1]]
+            owner, at = np.nonzero(turn)
+            start = owner * g.shape[1] + at
+            ends = np.r_[start[1:], g.size]
+            own_group = g.ravel()[start]
+            row, block = spread(blocks[own_group])
+            flat = lists.ravel()
+            held = pa.array([flat[a:b] for a, b in zip(start, ends)], pa.list_(pa.int32())).take(pa.array(row))
+            part = mix64(ids[owner[row]].view(np.uint64) + np.uint64(SEED)) % np.maximum(parts[own_group[row]], 1).astype(np.uint64)
+            some = batch.take(pa.array(owner[row]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(first.ravel().astype(np.int32))],
-                ["query_id", "q", "list"],
+                [pa.array(own_group[row].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), *some.columns, held], ["g", "block", "part", "vec_id", "v", "lists"]
             )
 
-    placed = rows.mapInArrow(assign, "vec_id long, v array<double>, list int")
-    placed = materialize(placed, "placed")
-    # Blocks of a list by hash: the number follows the list's size.
-    sizes = placed.groupBy("list").count().select("list", F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int").alias("blocks"))
-    sizes = F.broadcast(materialize(sizes, "sizes"))  # at most MAX_LISTS rows
-    stored = placed.join(sizes, "list").select(
-        "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v"
-    )
-    queries = rows.where(F.col("vec_id") % every == 0)
-    asked = queries.mapInArrow(route, "query_id long, q array<double>, list int")
-    asked = asked.join(sizes, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("query_id").alias("vec_id"), F.col("q").alias("v")
-    )
-    # Queries of a list are spread over tasks too: each part meets its own copy of the block.
-    per_list = asked.groupBy("list", "block").count().select("list", "block", F.greatest(F.lit(1), F.ceil(F.col("count") / QUERY_BLOCK)).cast("int").alias("parts"))
-    per_list = materialize(per_list, "parts")
-    left = stored.join(per_list, ["list", "block"]).select(
-        "list", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v"
-    )
-    right = asked.join(per_list, ["list", "block"]).select(
-        "list", "block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts")).cast("int").alias("part"), "vec_id", "v"
-    )
+    left = placed.mapInArrow(store, f"g int, block int, part int, vec_id long, v {kind}, list int")
+    right = queries.mapInArrow(ask, f"g int, block int, part int, vec_id long, v {kind}, lists array<int>")
 
     def scan(key, a, b):
-        index = shared.value
-        if a.num_rows == 0 or b.num_rows == 0:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        as_matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        centroid = index.centroids[int(key[0].as_py())]
-        ids, x = a.column("vec_id").to_numpy(), as_matrix(a)
-        order = np.lexsort((ids, *x.T))
-        ids, x = ids[order], x[order]
-        new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
-        starts = np.flatnonzero(new)
-        # Copies tie, and of ties the smaller ids win: k + 1 of them are enough for any result.
-        groups = [np.unique(ids[s:e])[: k + 1] for s, e in zip(starts, np.r_[starts[1:], len(ids)])]
-        x = np.ascontiguousarray(x[starts])
-        codes = Codes.of(x, centroid, index.rotation)
-        q_ids, q = b.column("vec_id").to_numpy(), as_matrix(b)
-        out_q, out_v, out_s = [], [], []
-        for lo in range(0, len(q), CHUNK):
-            for qi, cand, score in search_block(groups, x, codes, q_ids[lo : lo + CHUNK], q[lo : lo + CHUNK], index, centroid, k):
-                out_q.append(np.full(len(cand), qi, dtype=np.int64))
-                out_v.append(cand)
-                out_s.append(score)
-        cat = lambda c, t: np.concatenate(c).astype(t) if c else np.zeros(0, t)
-        return pa.table({"query_id": cat(out_q, np.int64), "vec_id": cat(out_v, np.int64), "score": cat(out_s, np.float64)})
-
-    keys = ("list", "block", "part")
+        out: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if a.num_rows and b.num_rows:
+            block = Block(a.column("vec_id").to_numpy(), _matrix(a.column("v")), a.column("list").to_numpy(), k)
+            held = b.column("lists").combine_chunks()
+            at, flat = held.offsets.to_numpy(), held.values.to_numpy()
+            probed = [np.sort(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
+            for query, ids, score in block.search(indexed.value, b.column("vec_id").to_numpy(), _matrix(b.column("v")), probed, k, epsilon):
+                for column, values in zip(out, (np.full(len(ids), query), ids, score)):
+                    column.append(values)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, out))))
+
+    keys = ("g", "block", "part")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
-    # At most k rows a query and block; the best k of them, spread by query.
+    # At most k rows a query and block, brought together by query once: for an id's best score and the rank.
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+_USED = "embedding IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0"
+OP8_SQL = f"""
+WITH d AS (SELECT DISTINCT vec_id, embedding, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL),
+v AS (SELECT vec_id, v FROM d WHERE {_USED}),
+u AS (SELECT len(v) AS n FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+w AS (SELECT vec_id, v FROM v, u WHERE len(v) = u.n),
+r AS (SELECT a.vec_id AS query_id, b.vec_id, max(list_inner_product(a.v, b.v)) AS score FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % {QUERY_EVERY} = 0 GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= {K}
+"""

@@ -25,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": lines.OP4_SQL,
     "op6_minhash_near_dedup": minhash.OP6_SQL,
     "op7_benchmark_decontamination": decontam.OP7_SQL,
+    "op8_nearest_neighbours": ann.OP8_SQL,
 }

@@ -52,12 +52,59 @@ def test_awkward_rows_and_copies(spark):
 
 
 def test_many_lists_and_blocks(spark, monkeypatch):
-    for name, value in (("LIST_ROWS", 60), ("BLOCK", 50), ("QUERY_BLOCK", 8)):
+    for name, value in (("BLOCK", 50), ("QUERY_BLOCK", 8), ("CHUNK", 5)):
         monkeypatch.setattr(A, name, value)
     rows = random_rows(1, 1500, copies=300)
     got, want = found(table(spark, rows), k=10), exact(rows, 10)
     hit = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
     assert got.keys() == want.keys() and hit >= 0.9 * sum(map(len, want.values()))
+    scores = {q: dict(v) for q, v in exact(rows, 2000).items()}
+    assert all(abs(scores[q][v] - s) < 1e-12 for q in got for v, s in got[q])
+
+
+def test_two_levels_of_lists(spark, monkeypatch):
+    for name, value in (("BLOCK", 60), ("FIRST_LISTS", 5), ("SECOND_LISTS", 7)):
+        monkeypatch.setattr(A, name, value)
+    rows = random_rows(4, 1200)
+    index = A.fit(np.array([v for _, v in rows]), 30)
+    assert (len(index.first), len(index.second)) == (5, 6)
+    x = np.array([v for _, v in rows])
+    at = index.place(x)
+    assert np.allclose(index.products(x[:9])[np.arange(9), at[:9]], [x[i] @ index.centroid(int(at[i])) for i in range(9)])
+    got, want = found(table(spark, rows)), exact(rows)
+    hit = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hit >= 0.9 * sum(map(len, want.values()))
+
+
+def test_an_id_counts_once(spark):
+    """Ids with several vectors, a query among them, have their best score."""
+    rows = random_rows(5, 200)
+    rows += [(i, v) for (i, _), (_, v) in zip(rows[:40], reversed(rows))] + rows[:30]
+    got = found(table(spark, rows), k=50)
+    by = {}
+    for i, v in rows:
+        by.setdefault(i, []).append(np.array(v, dtype=np.float32).astype(np.float64))
+    for q in (q for q in by if q % 20 == 0):
+        best = {i: max((a * b).sum() for a in vs for b in by[q]) for i, vs in by.items() if i != q}
+        want = sorted(best, key=lambda i: (-best[i], i))[:50]
+        assert [v for v, _ in got[q]] == want and np.allclose([s for _, s in got[q]], [best[i] for i in want], atol=1e-12)
+
+
+def test_clusters_are_scanned_in_part():
+    """With clusters few lists hold the neighbours; the share falls as the table grows."""
+    share = []
+    for n in (2_000, 20_000):
+        x = np.array([v for _, v in random_rows(6, n, clusters=40)])
+        index = A.fit(x[256:], round(n**0.5))
+        share.append(A.calibrate(index, x[256:], x[:256], 10) / index.lists)
+    assert share[1] < share[0] < 0.5
+
+
+def test_groups_hold_every_list():
+    index = A.fit(np.random.default_rng(0).normal(size=(500, 8)), 20)
+    rows = np.r_[3000, np.full(index.lists - 1, 10)]
+    g = A.groups_of(index, rows, 100)
+    assert sorted(set(g)) == list(range(g.max() + 1)) and (np.bincount(g, rows) - rows.max() * (np.arange(g.max() + 1) == g[0]) <= 220).all()
 
 
 def test_few_candidates(spark):
@@ -76,7 +123,7 @@ def test_estimate_within_bounds():
     assert np.allclose(index.rotation @ index.rotation.T, np.eye(64))
     codes = A.Codes.of(x, c, index.rotation)
     assert codes.bits.shape == (2000, 1) and codes.bits.dtype == np.uint64
-    est, err = A.estimate(codes, q, c, index.rotation)
+    est, err = A.estimate(codes, A.Planes.of(q, index.rotation), np.arange(30), q @ c, 64)
     truth = q @ x.T
     off = np.abs(est - truth)
     assert (off <= err).mean() > 0.97

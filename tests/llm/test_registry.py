@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = registry.QUERIES[name](spark, DATA).toPandas()
     want = con.sql(registry.ORACLE_SQL[name]).df()
