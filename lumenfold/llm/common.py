@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -16,6 +17,7 @@ BROADCAST_ROWS = 1_000_000
 # Bounds of a batch of texts on its way to a Python worker.
 TEXT_ROWS = 1_000
 TEXT_BYTES = 8_000_000
+BATCH_ROWS, BATCH_BYTES = (f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes"))
 
 _WORD_BYTES = set(range(48, 58)) | set(range(97, 123)) | set(range(128, 256))
 # Byte map of the alphanumeric word rule: A-Z folded, every ASCII non-word byte a space.
@@ -30,16 +32,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``, or a fresh one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor shares: ``spark.checkpoint.dir``. Only a local master may leave it unset and
+    gets a fresh folder; elsewhere each executor would write to a disk of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lumenfold_scratch", None)
     if not root:
-        root = getattr(spark, "_lumenfold_scratch", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
-            spark._lumenfold_scratch = root
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark._lumenfold_scratch = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
     return root.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has such columns (Spark compares without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def materialize(df: DataFrame, name: str = "t", partition_by: Iterable[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and a lost
     executor never makes an upstream stage run again."""
@@ -62,11 +76,28 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bound the Arrow batches of this session to ``rows`` texts and ``TEXT_BYTES`` bytes: several copies of
-    a batch live in the JVM, in Arrow's buffers and in the worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{TEXT_BYTES}b")
+    a batch live in the JVM, in Arrow's buffers and in the worker at once. A smaller bound that is set
+    already stays. Spark reads these settings when a plan runs, and what an operator returns runs later, so
+    they stay too; ``restore_batches`` puts the caller's back."""
+    before = getattr(spark, "_lumenfold_batches", None)
+    if before is None:
+        before = spark._lumenfold_batches = {k: spark.conf.get(k) for k in (BATCH_ROWS, BATCH_BYTES)}
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+    if not 0 < _bytes_of(spark.conf.get(BATCH_BYTES)) <= TEXT_BYTES:
+        spark.conf.set(BATCH_BYTES, f"{TEXT_BYTES}b")
+
+
+def restore_batches(spark: SparkSession) -> None:
+    """The batch settings that the session had before the first operator on texts."""
+    for k, v in (getattr(spark, "_lumenfold_batches", None) or {}).items():
+        spark.conf.set(k, v)
+    spark._lumenfold_batches = None
+
+
+def _bytes_of(size: str) -> int:
+    m = re.fullmatch(r"(-?[0-9]+)\s*([kmgtp]?)i?b?", size.strip().lower())
+    return int(m[1]) * 1024 ** " kmgtp".index(m[2] or " ") if m else 0
 
 
 def tidied(run):
