@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,8 @@ BROADCAST_ROWS = 1_000_000
 TEXT_ROWS = 1_000
 TEXT_BYTES = 8_000_000
 BATCH_ROWS, BATCH_BYTES = (f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes"))
+# Edges of a graph that one task finishes; larger graphs are contracted on all executors first.
+LOCAL_EDGES = 500_000
 
 _WORD_BYTES = set(range(48, 58)) | set(range(97, 123)) | set(range(128, 256))
 # Byte map of the alphanumeric word rule: A-Z folded, every ASCII non-word byte a space.
@@ -169,9 +171,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     every node that has an edge to another one. Randomised contraction: in each round every
     node adopts the neighbour (or itself) of least hash and edges are rewritten to the adopted
     nodes, so the number of remaining edges falls geometrically whatever the ids' order; no
-    table leaves the executors. Nulls and self-loops are ignored.
+    table leaves the executors. Once at most ``LOCAL_EDGES`` are left, one task joins them. Nulls and
+    self-loops are ignored.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     e = materialize(
         e.where("u is not null and v is not null and u <> v")
@@ -179,11 +181,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct(),
         "edges",
     )
-    labels = None
-    turn = 0
-    while not e.isEmpty():
+    labels, turn = None, 0
+    while (left := e.count()) > LOCAL_EDGES:
         turn += 1
-        rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))
+        rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: B023, E731
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         adopted = (
             both.groupBy("u")
@@ -196,13 +197,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             )
         )
         adopted = materialize(adopted, "adopted")
-        if labels is None:
-            labels = adopted.select(F.col("u").alias("node"), F.col("to").alias("cur"))
-        else:
-            labels = (
-                labels.join(adopted, labels["cur"] == adopted["u"], "left")
-                .select("node", F.coalesce("to", "cur").alias("cur"))
-            )
+        labels = adopted.select(F.col("u").alias("node"), F.col("to").alias("cur")) if labels is None else _follow(labels, adopted, "u", "to")
         labels = materialize(labels, "labels")
         to_u = adopted.select("u", F.col("to").alias("tu"))
         to_v = adopted.select(F.col("u").alias("v"), F.col("to").alias("tv"))
@@ -214,12 +209,42 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .distinct(),
             "edges",
         )
+    rest = materialize(e.coalesce(1).mapInArrow(_join_edges, "node long, component long"), "components") if left else None
     if labels is None:
-        return spark.createDataFrame([], "node long, component long")
+        return rest if rest is not None else edges.sparkSession.createDataFrame([], "node long, component long")
+    if rest is not None:
+        labels = materialize(_follow(labels, rest, "node", "component"), "labels")
     least = materialize(labels.groupBy("cur").agg(F.min("node").alias("component")), "least")
     return labels.join(least, "cur").select("node", "component")
 
 
+def _follow(labels: DataFrame, moves: DataFrame, old: str, new: str) -> DataFrame:
+    """``node, cur`` after the nodes that moved."""
+    moves = moves.select(F.col(old).alias("__old"), F.col(new).alias("__new"))
+    return labels.join(moves, labels["cur"] == moves["__old"], "left").select("node", F.coalesce("__new", "cur").alias("cur"))
+
+
+def _join_edges(batches) -> Iterator:
+    """``node, component`` of a bounded list of edges: labels fall to the least neighbour's and jump along
+    themselves until no edge has two."""
+    import pyarrow as pa
+
+    pairs = [[batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)] for batch in batches]
+    u, v = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+    node, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = flat[: len(u)], flat[len(u) :]
+    at = np.arange(len(node))
+    while len(u):
+        low = np.minimum(at[u], at[v])
+        for end in (u, v):
+            np.minimum.at(at, at[end], low)
+        while (at[at] != at).any():
+            at = at[at]
+        apart = at[u] != at[v]
+        u, v = u[apart], v[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[at])], ["node", "component"])
+
+
 def with_fields(df: DataFrame, more: str):
     """Schema of ``df`` followed by ``name type`` fields."""
     from pyspark.sql import types as T

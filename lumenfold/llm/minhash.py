@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, materialize, maybe_broadcast, mix64, read, text_batches, text_bytes, tidied
+from .common import BROADCAST_ROWS, WordHashes, connected_components, materialize, maybe_broadcast, mix64, read, text_batches, text_bytes, tidied
 
 SHINGLE = 5
 PERCENT = 75
@@ -41,9 +41,9 @@ COMPONENTS = CHUNKS * WIDTH
 # Candidates further apart are not confirmed: at J = 0.75 the distance is 12 on average with a
 # deviation of 3, and exceeds this with a chance of about 1e-8.
 FAR = 30
-# Bounds of a block of what shares a hub, and rows of a group of small hubs.
-BLOCK_ROWS = 2_048
-BLOCK_BYTES = 16_000_000
+# Bounds of a block of what shares a hub, and rows of a group of small hubs (whose bytes are half a block's).
+BLOCK_ROWS = 1_024
+BLOCK_BYTES = 6_000_000
 GROUP_ROWS = 1_000
 
 _POWERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -141,14 +141,14 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame, far: int = FAR, percent: int
             ok = pa.array((a != b).sum(axis=1) <= far)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    joined = side("a").join(maybe_broadcast(pairs), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return joined.select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of ``(a, b)`` those with 100 * |A and B| >= percent * |A or B| on the full shingle sets."""
     pairs = materialize(pairs, "pairs")
-    texts = materialize(_texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), "texts")
+    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
 
     def run(batches):
         import pyarrow as pa
@@ -168,12 +168,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
 
     side_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     side_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(side_b, "b").join(side_a, "a").select("a", "b", "ta", "tb")
+    joined = side_b.join(maybe_broadcast(pairs), "b").join(side_a, "a").select("a", "b", "ta", "tb")
     return joined.mapInArrow(tidied(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
+def near_duplicates(docs: DataFrame, far: int = FAR) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept``. With ``far=COMPONENTS`` every pair that
+    shares an index key is confirmed, however far its signatures."""
     rows, docs = _one_set_each(materialize(signatures(docs), "signatures"), _bytes(docs))
     # Equal sets are one class; an id has one set and so is in one class.
     classes = (
@@ -187,22 +188,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shares = materialize(_hubs(nodes), "shares")
 
     # First members against their hubs, then what is still apart around a hub.
-    pairs = close_pairs(shares.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes)
-    links = materialize(confirm(pairs, docs), "links")
-    links = links.unionByName(materialize(_links_apart(shares, connected_components(links), nodes, docs), "apart"))
-
-    alias = rows.where("n_shingles > 0").join(classes.select("set_hash", "node"), "set_hash").select("doc_id", "node")
-    same = alias.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    whole = connected_components(links.unionByName(same))
-    out = rows.select("doc_id", "n_shingles").join(
-        whole.select(F.col("node").alias("doc_id"), F.col("component")), "doc_id", "left"
-    )
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    pairs = shares.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    first = connected_components(confirm(close_pairs(pairs, nodes, far), docs))
+    later = materialize(_links_apart(shares, first, nodes, docs, far), "apart")
+    whole = _joined_further(first, later)
+
+    # A class goes where its node, its least id, goes.
+    labels = classes.select("set_hash", "node").join(whole, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
+    labels = maybe_broadcast(materialize(labels, "components"), BROADCAST_ROWS // 4)  # wider keys than longs
+    out = rows.select("doc_id", "n_shingles", "set_hash").join(labels, "set_hash", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _joined_further(first: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` of the components ``first`` when ``links`` join some of them."""
+    if links.isEmpty():
+        return first
+    at = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    more = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    more = materialize(more.withColumnsRenamed({"node": "at", "component": "to"}), "joined")
+    moved = first.join(more, first["component"] == more["at"], "left").select("node", F.coalesce("to", "component").alias("component"))
+    # Nodes that had no link before.
+    new = more.join(first.select("node"), more["at"] == first["node"], "left_anti").select(F.col("at").alias("node"), F.col("to").alias("component"))
+    return materialize(moved.unionByName(new), "components")
 
 
 def _hubs(nodes: DataFrame) -> DataFrame:
@@ -213,8 +223,9 @@ def _hubs(nodes: DataFrame) -> DataFrame:
     many = (
         keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("key", "hub")
     )
-    # Written, so that the join shuffles both sides itself and a hot bucket can be split.
-    return keys.join(materialize(many, "buckets"), "key").select("hub", "node").distinct()
+    # Written: counted for the broadcast, and beyond it the join shuffles both sides itself and a hot bucket
+    # can be split.
+    return keys.join(maybe_broadcast(materialize(many, "buckets")), "key").select("hub", "node").distinct()
 
 
 def _agreeing() -> np.ndarray:
@@ -287,7 +298,8 @@ def _links_apart(shares: DataFrame, found: DataFrame, nodes: DataFrame, docs: Da
         .select("hub", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     )
     blocks = materialize(blocks, "blocks")
-    bins = max(1, mixed.count() // GROUP_ROWS)
+    small = weighed.join(blocks.where("blocks = 1"), "hub").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    bins = 1 + max(small["n"] // GROUP_ROWS, 2 * small["bytes"] // BLOCK_BYTES)
     rows = mixed.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.when(F.col("blocks") > 1, F.col("hub")).otherwise(-1 - F.pmod(F.xxhash64("hub"), F.lit(bins)))
@@ -335,7 +347,9 @@ def _one_set_each(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFram
 def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
     """One text for each needed id: texts of one id have the same shingles here."""
     need = materialize(need, "need")
-    return docs.join(maybe_broadcast(need), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    found = materialize(docs.join(maybe_broadcast(need), "doc_id", "left_semi"), "texts")
+    # Ids that are unique need no shuffle.
+    return found if found.count() <= need.count() else materialize(found.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:

@@ -151,3 +151,68 @@ def test_different_texts_of_one_id_are_one_set(spark):
     got = M.near_duplicates(frame(spark, texts)).collect()
     assert len(got) == len(texts)
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got if (r.n_shingles, r.component_id) != want[r.doc_id]] == []
+
+
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch):
+    """Both ways to end give the least id reachable, for chains, stars, cycles and loops."""
+    from lumenfold.llm import common
+
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (300, 300), (None, 5)]
+    edges += [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)]
+    rng.shuffle(edges)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    want = {x: root(x) for x in parent}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for bound in (10**6, 20, 0):
+        monkeypatch.setattr(common, "LOCAL_EDGES", bound)
+        assert {r.node: r.component for r in common.connected_components(df).collect()} == want
+    assert common.connected_components(df.limit(0)).count() == 0
+
+
+def test_a_shared_folder_is_needed_off_local_masters():
+    import pytest
+
+    from lumenfold.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+        class sparkContext:
+            master = "local-cluster[3,2,1024]"
+
+    with pytest.raises(ValueError):
+        common.scratch_root(Session())
+    for master in ("local", "local[4]", "local[*]", "local[2,3]"):
+        Session.sparkContext.master = master
+        assert common.scratch_root(Session()).startswith("file://")
+
+
+def test_batch_settings_are_put_back(spark):
+    from lumenfold.llm import common
+
+    common.restore_batches(spark)
+    before = {k: spark.conf.get(k) for k in (common.BATCH_ROWS, common.BATCH_BYTES)}
+    spark.conf.set(common.BATCH_ROWS, "7")
+    try:
+        common.text_batches(spark)
+        assert spark.conf.get(common.BATCH_ROWS) == "7"
+        common.restore_batches(spark)
+        spark.conf.set(common.BATCH_ROWS, before[common.BATCH_ROWS])
+        common.text_batches(spark)
+        assert spark.conf.get(common.BATCH_ROWS) == "1000" and spark.conf.get(common.BATCH_BYTES) == "8000000b"
+        common.text_batches(spark)
+    finally:
+        common.restore_batches(spark)
+    assert {k: spark.conf.get(k) for k in before} == before
