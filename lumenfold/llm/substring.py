@@ -3,7 +3,7 @@
 Every run of consecutive sentences that has at least ``RUN`` sentences and ``MIN_WORDS`` words is
 hashed: the shortest such run from each sentence on, and the shortest up to each sentence. The
 runs are joined globally by hash; of a run that occurs more than once, the occurrence with the
-least (document, position) stays and every sentence that any other occurrence covers goes. A
+least (id, hash of the text, position) stays and every sentence that any other occurrence covers goes. A
 sentence of more than ``UNIT_WORDS`` words counts as several, cut after words that their own hash
 chooses: a repeated passage thus needs no sentence ends inside it, and the cuts of two copies
 agree again soon after words that only one of them has.
@@ -11,8 +11,9 @@ agree again soon after words that only one of them has.
 Counting combines before the shuffle, so a passage that a third of all documents share costs one
 row per task; only runs known to repeat are joined back.
 
-Defined results: null text stays null and is untouched, as are texts shorter than a run; rows
-that share a ``doc_id`` are treated alike; an empty table gives no rows; extra columns are ignored.
+Defined results: null text stays null and is untouched, as are texts shorter than a run; a document is
+an id with a text, so rows that share both are treated alike, and texts that share an id are documents of
+their own; a null id comes before all others; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, WordHashes, materialize, mix64, read, text_batches, tidied
 
 RUN = 3
-MIN_WORDS = 10
-UNIT_WORDS = 16
+MIN_WORDS = 16
+UNIT_WORDS = 12
+LEAST = 4  # words of a unit before a cut
 
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|\n+|[.!?]+|$)")
 _WORDS = re.compile(r"\S+")
@@ -73,11 +75,11 @@ def sentence_units(text: str, unit_words: int = UNIT_WORDS) -> list[tuple[int, i
 
 def _cuts(words: list[str], unit_words: int) -> list[int]:
     """Word indexes at which a long sentence is cut: after a word whose hash is divisible by 4, once
-    4 words are in the unit, and after ``unit_words`` words in any case."""
+    ``LEAST`` words are in the unit, and after ``unit_words`` words in any case."""
     cuts, held = [], 0
     for k, w in enumerate(words[:-1]):
         held += 1
-        if held >= 4 and zlib.crc32(w.encode()) % 4 == 0 or held == unit_words:
+        if held >= LEAST and zlib.crc32(w.encode()) % 4 == 0 or held == unit_words:
             cuts.append(k + 1)
             held = 0
     return cuts
@@ -119,8 +121,14 @@ def _normal(piece: str) -> bytes:
     return " ".join(piece.split()).encode()
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, t`` (hash of the text) and ``text``: the first two tell documents apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("t"), text.alias("text"))
+
+
 def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``h, doc_id, first, last``: every run of every document."""
+    """``h, doc_id, t, first, last``: every run of every document."""
 
     text_batches(docs.sparkSession)
     def go(batches) -> Iterator:
@@ -128,17 +136,18 @@ def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> D
 
         memo = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            valid = batch.column(0).is_valid().to_pylist()
-            hs, ds, fs, ls, held = [], [], [], [], 0
+            texts = batch.column(2).to_pylist()
+            hs, rows, fs, ls, held = [], [], [], [], 0
 
             def flush():
+                own = pa.array(np.concatenate(rows))  # noqa: B023
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (hs, ds, fs, ls)], ["h", "doc_id", "first", "last"]  # noqa: B023
+                    [pa.array(np.concatenate(hs)), *(batch.column(i).take(own) for i in (0, 1)), *(pa.array(np.concatenate(c)) for c in (fs, ls))],  # noqa: B023
+                    ["h", "doc_id", "t", "first", "last"],
                 )
 
-            for doc, ok, text in zip(ids, valid, texts):
-                if not text or not ok:
+            for row, text in enumerate(texts):
+                if not text:
                     continue
                 units = sentence_units(text)
                 first, last = runs(np.array([u[2] for u in units], dtype=np.int64), run, min_words)
@@ -146,37 +155,34 @@ def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> D
                     continue
                 h = run_hashes([_normal(text[a:b]) for a, b, _ in units], first, last, memo)
                 hs.append(h.view(np.int64))
-                ds.append(np.full(len(h), doc, dtype=np.int64))
+                rows.append(np.full(len(h), row))
                 fs.append(first.astype(np.int32))
                 ls.append(last.astype(np.int32))
                 held += len(h)
                 if held > 200_000:
                     yield flush()
-                    hs, ds, fs, ls, held = [], [], [], [], 0
+                    hs, rows, fs, ls, held = [], [], [], [], 0
             if held:
                 yield flush()
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(tidied(go), "h long, doc_id long, first int, last int")
+    return _documents(docs).mapInArrow(tidied(go), "h long, doc_id long, t int, first int, last int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans``: merged unit spans (end exclusive) that non-first occurrences cover."""
+    """``doc_id, t, spans``: merged unit spans (end exclusive) that non-first occurrences cover."""
     spans = materialize(span_table(docs), "spans")
-    firsts = (
-        spans.groupBy("h")
-        .agg(F.min(F.struct("doc_id", "first")).alias("best"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("h", F.col("best.doc_id").alias("d0"), F.col("best.first").alias("f0"))
-    )
-    # Written, so that the join shuffles both sides itself and adaptive execution can split a hot run.
-    firsts = materialize(firsts, "firsts")
-    covered = spans.join(firsts, "h").where("not (doc_id = d0 and first = f0)").select("doc_id", "first", "last")
+    # Counting needs no more than the hash. Written, so that the join shuffles both sides itself and adaptive
+    # execution can split a hot run; the same holds for the second join.
+    again = materialize(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
+    places = materialize(spans.join(again, "h"), "places")
+    firsts = places.groupBy("h").agg(F.min(F.struct("doc_id", "t", "first")).alias("best"))
+    firsts = materialize(firsts.select("h", F.col("best.doc_id").alias("d0"), F.col("best.t").alias("t0"), F.col("best.first").alias("f0")), "firsts")
+    covered = places.join(firsts, "h").where("not (doc_id <=> d0 and t = t0 and first = f0)").select("doc_id", "t", "first", "last")
     # Bounded by the document's own number of units.
-    grouped = covered.groupBy("doc_id").agg(
+    grouped = covered.groupBy("doc_id", "t").agg(
         F.array_sort(F.collect_set(F.struct("first", (F.col("last") + 1).alias("end")))).alias("spans")
     )
-    return grouped.mapInArrow(tidied(_merge), "doc_id long, spans array<struct<first:int,end:int>>")
+    return grouped.mapInArrow(tidied(_merge), "doc_id long, t int, spans array<struct<first:int,end:int>>")
 
 
 def _merge(batches) -> Iterator:
@@ -186,7 +192,7 @@ def _merge(batches) -> Iterator:
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         out = []
-        for spans in batch.column(1).to_pylist():
+        for spans in batch.column(2).to_pylist():
             row: list[dict] = []
             for s in spans:
                 if row and s["first"] <= row[-1]["end"]:
@@ -194,7 +200,7 @@ def _merge(batches) -> Iterator:
                 else:
                     row.append(dict(s))
             out.append(row)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["doc_id", "t", "spans"])
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -202,11 +208,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     hits = materialize(repeated_spans(docs), "hits")
-    held = hits.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0))).first()[0]
+    held = hits.agg(F.coalesce(F.sum(F.size("spans") + 3), F.lit(0))).first()[0]
     if held <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = src.join(hits, "doc_id", "left").select("doc_id", "text", "spans")
+    src, hits = _documents(docs), hits.withColumnsRenamed({"doc_id": "__d", "t": "__t"})
+    joined = src.join(hits, src["doc_id"].eqNullSafe(hits["__d"]) & (src["t"] == hits["__t"]), "left").select("doc_id", "text", "spans")
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches) -> Iterator:

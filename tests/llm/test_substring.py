@@ -51,12 +51,34 @@ def test_units_tile_the_text():
 
 
 def test_runs():
-    first, last = S.runs(np.array([12, 1, 1, 1]))
+    first, last = S.runs(np.array([20, 1, 1, 1]))
     assert set(zip(first.tolist(), last.tolist())) == {(0, 2), (0, 3)}
+    first, last = S.runs(np.array([6, 9, 6, 6, 9]))
+    assert set(zip(first.tolist(), last.tolist())) == {(0, 2), (1, 3), (2, 4)}
+    assert len(S.runs(np.array([5, 5, 5]))[0]) == 0
     assert len(S.runs(np.array([50, 50]))[0]) == 0
     assert len(S.runs(np.array([1, 1, 1]))[0]) == 0
 
 
+def test_passages_of_just_over_fifty_words_are_found():
+    """Whatever ends they have, and wherever they stand."""
+    rng = random.Random(9)
+    found = 0
+    for turn in range(300):
+        ends = turn % 3  # none; in mid-sentence; in the middle of sentences of up to 25 words
+        words = lambda n: " ".join(sentence(rng, n).strip(".").lower() for _ in range(1)) if ends == 0 else " ".join(sentence(rng, rng.randrange(4, 26)) for _ in range(n)).split()  # noqa: B023, E731
+        cut = lambda n: words(n) if ends == 0 else " ".join(words(n)[:n])  # noqa: B023, E731
+        passage = cut(51)
+        texts = [f"{cut(30)} {passage} {cut(30)}" for _ in range(2)]
+        seen = []
+        for t in texts:
+            u = S.sentence_units(t)
+            first, last = S.runs(np.array([x[2] for x in u]))
+            seen.append({tuple(" ".join(t[a:b].split()) for a, b, _ in u[i : j + 1]) for i, j in zip(first, last)})
+        found += bool(seen[0] & seen[1])
+    assert found >= 294
+
+
 def test_against_brute_force(spark):
     rng = random.Random(2)
     shared = [prose(rng, 8) for _ in range(4)] + [" ".join(w.strip(".").lower() for w in prose(rng, 10).split())]
@@ -104,3 +126,15 @@ def test_removed_spans_and_repeated_rows(spark):
     assert by[1][0].text == t and len(by[2]) == 2 and {r.text for r in by[2]} == {""} and by[3][0].text is None
     assert [tuple(s) for s in by[2][0].removed] == [(0, len(t))]
     assert S.dedup_substrings(frame(spark, {})).count() == 0
+
+
+def test_texts_of_one_id_and_null_ids_are_documents(spark):
+    """An unrepeated text stays beside a repeated one of the same id; rows without an id are deduplicated too."""
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 6) for _ in range(3))
+    rows = S.dedup_substrings(frame(spark, [(1, a), (2, a), (2, b), (None, c), (3, c), (None, b + " " + prose(rng, 3))])).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    assert by[1][0].text == a and sorted(r.text for r in by[2]) == ["", ""]  # b stays in the row without an id, the first
+    assert by[3][0].text == "" and {r.n_removed for r in by[None]} == {0}
