@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,11 +111,15 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 
 # ---------------------------------------------------------------- contexts
 
-_VALUE = re.compile(r"[^\s\"'<>\[\]{}|,;=]*[0-9@][^\s\"'<>\[\]{}|,;=]*")
-_LEFT = re.compile(r"[^\s\"'<>\[\]{}|,;=]+[\"'<>\[\]{}|,;=]*|[=]")
+_TOKEN = re.compile(r"[^\s\"'<>\[\]{}|,;=]+")
+_BRACKETS = re.compile(r" ?([\"'<>\[\]{}|,;=]+)")
+_MARKED = re.compile("[0-9@]")
 _EDGE = ".,;:!?()"
 _GROUP = re.compile(r"[0-9](?:[0-9().-]*[0-9])?")
 RUN_DIGITS = (7, 19)  # of a phone or card number
+RUN_GROUPS = 8  # with blanks between them, that a number can have
+LEAST = 5  # characters of a token that can be an identifier
+LONG = 64  # characters from which a word of a pattern is held as its hash
 
 
 def _shape_kinds(value: str) -> int:
@@ -133,81 +138,104 @@ def _shape_kinds(value: str) -> int:
     return mask
 
 
-def _tokens_before(text: str, at: int, n: int = 2) -> list[str]:
-    found = _LEFT.findall(text[max(0, at - 60) : at])
-    return [re.sub("[0-9]", "0", t.lower()) for t in found[-n:]]
-
-
-def _token_after(text: str, at: int) -> str:
-    m = re.match(r"[\s\"'<>\[\]{}|,;=.)!?:]*([^\s\"'<>\[\]{}|,;=]+)", text[at : at + 60])
-    return re.sub("[0-9]", "0", m.group(1).lower()).strip(_EDGE) if m else ""
-
-
-def patterns_at(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a place: two words before; one before and one after."""
-    left = _tokens_before(text, start)
-    right = _token_after(text, end)
-    out = []
-    if len(left) == 2:
-        out.append(f"L {left[0]} {left[1]}")
-    if left and right:
-        out.append(f"B {left[-1]} _ {right}")
-    if left and left[-1][-1] in ":=":
-        out.append(f"K {left[-1]}")
-    return out
+def _word(text: str) -> str:
+    """A word of a pattern: without case and with digits alike; a long one as its hash."""
+    word = re.sub("[0-9]", "0", text.lower())
+    return word if len(word) <= LONG else hashlib.sha256(word.encode()).hexdigest()
+
+
+class Contexts:
+    """The lexical patterns around places of a text, from its tokens in order."""
+
+    def __init__(self, text: str, tokens: list[tuple[int, int]]):
+        self.text, self.tokens = text, tokens
+        self.ends, self.starts = [b for _, b in tokens], [a for a, _ in tokens]
+
+    def left(self, k: int) -> str:
+        """Token ``k`` with the brackets, quotes and separators after it."""
+        a, b = self.tokens[k]
+        m = _BRACKETS.match(self.text, b)
+        return self.text[a:b] + (m.group(1) if m else "")
+
+    def at(self, start: int, end: int, floor: int = 0, ceil: int | None = None) -> list[str]:
+        """Patterns: two words before; one before and one after; a word before that ends in : or =. What stands
+        in the place's own token before and after it, from ``floor`` to ``ceil``, is a word too."""
+        k, j = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        left = [self.left(i) for i in range(max(0, k - 2), k)]
+        if k < len(self.tokens) and self.starts[k] < start:
+            own = self.text[max(floor, self.starts[k]) : start]
+            left += [own] if own.strip(_EDGE) else []
+        right = self.text[end : min(self.ends[j - 1], len(self.text) if ceil is None else ceil)].strip(_EDGE) if j else ""
+        while j < len(self.tokens) and not right:
+            right = self.text[slice(*self.tokens[j])].strip(_EDGE)
+            j += 1
+        names = left[-1:] if left and left[-1][-1] in ":=" else []
+        left, right = [_word(w) for w in left[-2:]], _word(right)
+        out = []
+        if len(left) == 2:
+            out.append(f"L {left[0]} {left[1]}")
+        if left and right:
+            out.append(f"B {left[-1]} _ {right}")
+        if names:
+            out.append(f"K {left[-1]}")
+        return out
 
 
 def occurrences(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int, int, str, int, int, list[str]]]:
     """(start, end, value, seed kind or -1, mask of possible kinds, patterns) of every identifier, of
-    every other token with a digit or an @, and of runs of digit groups and their parts."""
+    every other token of ``LEAST`` or more characters with a digit or an @, and of runs of digit groups and their parts."""
     out, taken = [], []
-    for k, spans in enumerate(base):
-        for a, b in spans:
-            value = re.sub("[^0-9]", "", text[a:b]) if k >= 2 else text[a:b].lower()
-            out.append((a, b, value, k, 1 << k, patterns_at(text, a, b)))
-            taken.append((a, b))
-    taken.sort()
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    around = Contexts(text, tokens)
+    seeds = sorted((a, b, k) for k, spans in enumerate(base) for a, b in spans)
+    done = 0
+    for n, (a, b, k) in enumerate(seeds):
+        value = re.sub("[^0-9]", "", text[a:b]) if k >= 2 else text[a:b].lower()
+        out.append((a, b, value, k, 1 << k, around.at(a, b, min(done, a), seeds[n + 1][0] if n + 1 < len(seeds) else None)))
+        taken.append((a, b))
+        done = max(done, b)
     i = 0
     run: list[tuple[int, int]] = []  # groups with a blank between them
     blank = -1  # where a blank has to be for the run to go on
-    for m in _VALUE.finditer(text):
-        a, b = m.span()
+    for a, b in tokens:
+        if not _MARKED.search(text, a, b):
+            continue
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if i < len(taken) and taken[i][0] < b:
             continue
-        token = m.group()
+        token = text[a:b]
         before = a
         a += len(token) - len(token.lstrip(_EDGE))
         token = token.strip(_EDGE)
         group = _GROUP.fullmatch(token) is not None
         if not (group and run and before == blank + 1 and text[blank] == " " and text[before:a] in ("", "(")):
-            out += run_occurrences(text, run)
+            out += run_occurrences(text, run, around)
             run = []
         if group:
             run.append((a, a + len(token)))
         blank = b if text[a + len(token) : b] in ("", ")") and b < len(text) else -1
-        if 5 <= len(token) <= 60:
+        if len(token) >= LEAST:
             mask = _shape_kinds(token)
             value = re.sub("[^0-9]", "", token) if mask & 12 and not mask & 2 else token.lower()
-            out.append((a, a + len(token), value, -1, mask, patterns_at(text, a, a + len(token))))
-    return out + run_occurrences(text, run)
+            out.append((a, a + len(token), value, -1, mask, around.at(a, a + len(token))))
+    return out + run_occurrences(text, run, around)
 
 
-def run_occurrences(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, str, int, int, list[str]]]:
-    """Occurrences of what can be a number of two or more successive groups: the whole run with its patterns,
-    its parts without."""
+def run_occurrences(text: str, run: list[tuple[int, int]], around: Contexts) -> list[tuple[int, int, str, int, int, list[str]]]:
+    """Occurrences of what can be a number of two to ``RUN_GROUPS`` successive groups: the whole run with its
+    patterns, its parts without."""
     out = []
     digits = [re.sub("[^0-9]", "", text[a:b]) for a, b in run]
     for i in range(len(run) - 1):
         value = digits[i]
-        for j in range(i + 1, len(run)):
+        for j in range(i + 1, min(len(run), i + RUN_GROUPS)):
             value += digits[j]
             if len(value) > RUN_DIGITS[1]:
                 break
             if len(value) >= RUN_DIGITS[0]:
                 a, b = run[i][0], run[j][1]
-                out.append((a, b, value, -1, _shape_kinds(value), patterns_at(text, a, b) if j - i == len(run) - 1 else []))
+                out.append((a, b, value, -1, _shape_kinds(value), around.at(a, b) if j - i == len(run) - 1 else []))
     return out
 
 

@@ -107,3 +107,83 @@ def test_occurrences_lie_in_the_text(text):
         assert 0 <= a < b <= len(text)
         if seed < 0 and mask & 12 and not mask & 2:
             assert value == re.sub("[^0-9]", "", text[a:b])
+
+
+def test_long_tokens_take_linear_time():
+    import time
+
+    for text in ("a" * 10**6, "9" * 10**6, "a1" * 500_000, "x" * 10**6 + " +1 555 123 4567 " + "=" * 10**6, "1.2.3.4-" * 100_000, "a@b.cc/" * 100_000, "(" * 10**6 + "5", "1 " * 300_000, "=" * 10**6 + "4@4"):
+        start = time.perf_counter()
+        P.occurrences(text, P.base_spans(text))
+        assert time.perf_counter() - start < 5, text[:9]
+
+
+def test_words_of_any_length_are_contexts(spark):
+    """Patterns with long words, and long identifiers in their place."""
+    far = "w" * 300
+    texts = {i: f"so {far}: joe{i}@mail.example.com end" for i in range(9)} | {20: f"so {far}: {'ann' * 40}@localhost end"}
+    got = extras(spark, texts)
+    assert got == {i: [] for i in range(9)} | {20: [("ann" * 40 + "@localhost", 0)]}
+
+
+def test_contexts():
+    def at(text, part):
+        a = text.index(part)
+        return P.Contexts(text, [m.span() for m in P._TOKEN.finditer(text)]).at(a, a + len(part))
+
+    assert at("call now: X9, please", "X9") == ["L call now:", "B now: _ please", "K now:"]
+    assert at("a mailto:joe@x.de!", "joe@x.de") == ["L a mailto:", "K mailto:"]
+    assert at('<a href="tel:55512">', "55512") == ["L href=\" tel:", "K tel:"]
+    assert at("mail = joe@x.de ok", "joe@x.de") == ["B mail= _ ok", "K mail="]
+    assert at("12345", "12345") == [] and at("(12345)", "12345") == []
+
+
+def brute_bootstrap(occ):
+    """The graph in dictionaries: occ has (value, seed, mask, patterns)."""
+    import math
+
+    edges, known, mask, bare = {}, {}, {}, {}
+    for value, seed, m, patterns in occ:
+        for p in patterns:
+            edges.setdefault(p, set()).add(value)
+        known[value] = max(known.get(value, -1), seed)
+        mask[value] = mask.get(value, 0) | m
+        bare[value] = bare.get(value, False) or seed < 0
+    chance = {v: [float(s == k) for k in range(4)] for v, s in known.items()}
+    for _ in range(P.ROUNDS):
+        conf = {}
+        for p, values in edges.items():
+            s = [sum(chance[v][k] >= P.ACCEPT for v in values) for k in range(4)]
+            q = [x / (len(values) + 1) if x >= P.MIN_SUPPORT else 0.0 for x in s]
+            conf[p] = [x if x >= P.PATTERN_CONFIDENCE else 0.0 for x in q]
+        new = {}
+        for v in chance:
+            if known[v] >= 0:
+                new[v] = chance[v]
+                continue
+            own = [p for p, values in edges.items() if v in values]
+            vote = [1 - math.prod(1 - conf[p][k] for p in own) for k in range(4)]
+            new[v] = [max(chance[v][k], vote[k]) if mask[v] >> k & 1 else 0.0 for k in range(4)]
+        chance = new
+    return {v: c.index(max(c)) for v, c in chance.items() if bare[v] and max(c) >= P.ACCEPT}
+
+
+def test_bootstrap_against_brute_force(spark):
+    """Random graphs in which discovered values make further patterns confident."""
+    from pyspark.sql import functions as F
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        occ = []
+        for _ in range(700):
+            value, pattern = rng.randrange(80), rng.randrange(8)
+            kind = value % 4 if pattern < 6 else rng.randrange(4)
+            known = kind if value < 56 + 12 * (pattern < 3) and rng.random() < 0.9 else -1
+            occ.append((f"v{value}", known, 1 << known if known >= 0 else rng.choice([1 << value % 4, 15]), [f"p{pattern * 4 + value % 4 if pattern < 6 else pattern}", f"q{rng.randrange(400)}"]))
+        seeds = {v: k for v, k, _, _ in occ if k >= 0}
+        occ = [(v, k if k < 0 else seeds[v], m if k < 0 else 1 << seeds[v], p) for v, k, m, p in occ]
+        df = spark.createDataFrame(occ, "value string, seed int, mask int, patterns array<string>").withColumn("i", F.xxhash64("value"))
+        names = {r.i: r.value for r in df.select("i", "value").distinct().collect()}
+        got = {names[r.i]: r.kind for r in P.bootstrap(df).collect()}
+        want = brute_bootstrap(occ)
+        assert got == want and any(v not in seeds for v in want)
