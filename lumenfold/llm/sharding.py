@@ -3,9 +3,9 @@
 A uniform permutation of all rows, cut into shards of fixed sizes, sends from each input
 partition a random number of rows to each shard; those numbers form a matrix with given row
 sums (partition sizes) and column sums (shard sizes) whose law is multivariate hypergeometric.
-Drawing the matrix first makes shard sizes exact. From a billion rows on, counts are drawn from the
-rounded, clipped normal law instead, an approximation; sizes, slots and completeness stay exact. Each partition then permutes its own rows and
-deals them by its matrix row, and each shard permutes what it gets.
+Drawing the matrix first makes shard sizes exact. Populations beyond numpy's generator (a billion) are
+drawn from the same law by rejection, with log factorials to 40 digits. Each partition then permutes its
+own rows and deals them by its matrix row, and each shard permutes what it gets.
 
 Defined results: every row gets a shard and a slot, repeated rows and nulls included; shard
 sizes differ by at most one; an empty table gives no rows; input columns named ``shard`` or
@@ -14,11 +14,14 @@ sizes differ by at most one; an empty table gives no rows; input columns named `
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+from math import factorial
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, read, with_fields
+from .common import fresh, materialize, mix64, read, with_fields
 
 SHARDS = 40
 SEED = 20_240_601
@@ -26,6 +29,7 @@ SEED = 20_240_601
 BLOCK_ROWS = 500_000
 # Partitions whose matrix rows are drawn together; more are drawn in groups, groups first.
 GROUP = 2_048
+_PI = Decimal("3.14159265358979323846264338327950288419716939937510582")
 
 
 def split_row(rng: np.random.Generator, n: int, columns: np.ndarray) -> np.ndarray:
@@ -48,21 +52,40 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
         return n
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    # Beyond the generator's range: two consecutive draws without replacement, each by the normal law,
-    # which is an approximation.
-    half = n // 2
-    if half == 0:
-        return int(rng.random() * (good + bad) < good)
-    first = _normal_hypergeometric(rng, good, bad, half)
-    return first + _normal_hypergeometric(rng, good - first, bad - (half - first), n - half)
-
-
-def _normal_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """For populations over a billion the rounded normal law, clipped to the possible values."""
-    total = good + bad
-    mean = n * (good / total)
-    sd = (mean * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, sd)), 0, n - bad), good, n))
+    return _rejection_hypergeometric(rng, good, bad, n)
+
+
+def log_factorial(n: int) -> Decimal:
+    """ln n! to the digits of the decimal context, by Stirling's series."""
+    if n < 200:
+        return Decimal(factorial(n)).ln()
+    x = Decimal(n)
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7) + 1 / (1188 * x**9) - 691 / (360360 * x**11) + 1 / (156 * x**13)
+    return x * x.ln() - x + (2 * _PI * x).ln() / 2 + series
+
+
+def _rejection_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """The good ones among ``n`` drawn from ``good + bad``, by rejection from a flat top with exponential
+    tails about the mode, which lies above every log-concave law whose greatest chance is the flat one
+    (Devroye, Non-uniform random variate generation, X.2)."""
+    with localcontext() as ctx:
+        ctx.prec = 50
+        low, high = max(0, n - bad), min(good, n)
+        mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+
+        def weight(k: int) -> Decimal:
+            return -sum(map(log_factorial, (k, good - k, n - k, bad - n + k)), Decimal(0))
+
+        top = weight(mode)
+        whole = log_factorial(good) + log_factorial(bad) + log_factorial(n) + log_factorial(good + bad - n) - log_factorial(good + bad)
+        # Rounded up a little, so that the hull is never below the law.
+        chance = float((top + whole).exp()) * (1 + 1e-12)
+        w = 1 + chance / 2
+        while True:
+            y = rng.random() * w / chance if rng.random() <= w / (1 + w) else (w + rng.exponential()) / chance
+            k = mode + (1 if rng.random() < 0.5 else -1) * round(y)
+            if low <= k <= high and np.log(rng.random()) + min(0.0, w - chance * y) <= float(weight(k) - top):
+                return k
 
 
 def communication_matrix(rows: np.ndarray, columns: np.ndarray, seed: int) -> np.ndarray:
@@ -131,7 +154,8 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED,
     import pyarrow as pa
 
     spark = df.sparkSession
-    df = df.drop("shard", "slot", "__lf_part", "__lf_row")
+    df = df.drop("shard", "slot")
+    part_col, row_col = fresh(df, "__part", "__row")
 
     def number(batches):
         from pyspark import TaskContext
@@ -141,14 +165,14 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED,
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.full(k, part, np.int32)), pa.array(np.arange(n, n + k))],
-                [*batch.schema.names, "__lf_part", "__lf_row"],
+                [*batch.schema.names, part_col, row_col],
             )
             n += k
 
     # Written once: the counts and the deal must see the same partitions, also after a retry.
-    numbered = materialize(df.mapInArrow(number, with_fields(df, "__lf_part int, __lf_row long")), "numbered")
-    sizes = numbered.groupBy("__lf_part").count().toPandas().sort_values("__lf_part")
-    parts, rows = sizes["__lf_part"].to_numpy(np.int64), sizes["count"].to_numpy(np.int64)
+    numbered = materialize(df.mapInArrow(number, with_fields(df, f"{part_col} int, {row_col} long")), "numbered")
+    sizes = numbered.groupBy(part_col).count().toPandas().sort_values(part_col)
+    parts, rows = sizes[part_col].to_numpy(np.int64), sizes["count"].to_numpy(np.int64)
     total = int(rows.sum())
     quota = np.full(n_shards, total // n_shards, dtype=np.int64)
     quota[np.random.default_rng(seed).permutation(n_shards)[: total % n_shards]] += 1
@@ -159,8 +183,8 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED,
         orders: dict[int, np.ndarray] = {}
         for batch in batches:
             names = batch.schema.names
-            part = batch.column(names.index("__lf_part")).to_numpy(zero_copy_only=False)
-            row = batch.column(names.index("__lf_row")).to_numpy(zero_copy_only=False)
+            part = batch.column(names.index(part_col)).to_numpy(zero_copy_only=False)
+            row = batch.column(names.index(row_col)).to_numpy(zero_copy_only=False)
             shard, place = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
             for p in np.unique(part):
                 i = int(np.searchsorted(parts, p))
@@ -175,7 +199,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED,
                 shard[at] = s
                 place[at] = dealt - (ends - own)[s] + arrived[s]
             slot = permute_index(place, quota[shard], mix64(shard + np.int64(seed)))
-            keep = [k for k, n in enumerate(names) if not n.startswith("__lf_")]
+            keep = [k for k, n in enumerate(names) if n not in (part_col, row_col)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), pa.array(shard.astype(np.int32)), pa.array(slot)],
                 [*(names[k] for k in keep), "shard", "slot"],
