@@ -44,8 +44,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def _alphabet() -> np.ndarray:
-    """Class of each byte: 0 pads; letters folded; white space; digits; other ASCII; continuation
-    bytes one by one; two classes of lead bytes."""
+    """Class of each byte: 0 pads; letters folded; white space; digits; other ASCII; all further bytes one
+    by one, as the lead byte of a character tells its script."""
     out = np.zeros(256, dtype=np.uint8)
     for b in range(256):
         if 65 <= b <= 90 or 97 <= b <= 122:
@@ -56,15 +56,13 @@ def _alphabet() -> np.ndarray:
             out[b] = 28
         elif b < 128:
             out[b] = 29
-        elif b < 192:
-            out[b] = 30 + b - 128
         else:
-            out[b] = 94 if b < 224 else 95
+            out[b] = b - 98
     return out
 
 
 CLASS = _alphabet()
-N_CLASS = 96
+N_CLASS = 158
 
 
 @dataclass

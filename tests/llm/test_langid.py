@@ -101,3 +101,42 @@ def test_every_language_is_learned_from(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.lang for r in L.training_rows(docs).collect()}
     assert got == {lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2} and len(got) > 200
+
+
+def test_results_against_brute_force(spark):
+    """Every row from the network run window by window on the text's bytes."""
+    rng = random.Random(7)
+    texts, langs = case(rng, 60)
+    texts |= awkward(rng)
+    docs = frame(spark, [*texts.items(), (3, texts[3])], langs=langs)
+    net = L.fit(docs)
+    rows = L.identify(docs, net).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        t = texts[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        raw = t.encode()
+        total = np.zeros(len(net.languages))
+        for a in range(0, len(raw), L.WINDOW):
+            part = raw[a : a + L.WINDOW]
+            x = np.zeros((1, L.WINDOW), dtype=np.uint8)
+            x[0, : len(part)] = L.CLASS[np.frombuffer(part, dtype=np.uint8)]
+            total += np.log(L._forward(net, x)[0][0].astype(np.float64)) * len(part)
+        p = np.exp(total / len(raw))
+        p /= p.sum()
+        assert abs(p[net.languages.index(r.lang_pred)] - r.score) < 1e-3 and p.max() - r.score < 1e-3
+
+
+def test_scripts_of_three_byte_letters_are_told_apart(spark):
+    rng = random.Random(8)
+    blocks = {"ka": (0x10D0, 0x10F0), "th": (0x0E01, 0x0E2E), "hi": (0x0915, 0x0939), "am": (0x1200, 0x1246)}
+    texts, langs = {}, {}
+    for i in range(240):
+        langs[i] = rng.choice(sorted(blocks))
+        texts[i] = " ".join("".join(chr(rng.randrange(*blocks[langs[i]])) for _ in range(rng.randrange(2, 7))) for _ in range(20))
+    docs = frame(spark, texts, langs=langs)
+    got = [r.lang_pred == langs[r.doc_id] for r in L.identify(docs, L.fit(docs)).collect() if r.held_out]
+    assert len(got) > 30 and np.mean(got) > 0.97
