@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_batches, tidied, with_fields
+from .common import fresh, materialize, read, text_batches, tidied, with_fields
 
 MAX_LEN = 2048
 SEPARATOR = 0
@@ -90,7 +90,7 @@ def tokenize_pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
-    added: bool = False,
+    added: bool = True,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32`` and, with ``with_ids``,
     ``ids`` (little-endian uint32). Texts are encoded whole; only documents longer than
@@ -354,19 +354,21 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
     """Add ``sequence_id`` and ``offset`` to rows that have a length of 1 to ``max_len``; like-named
     input columns are replaced.
 
-    The rows are range-partitioned by (length, hash), so a length that holds a third of all rows
+    The rows are range-partitioned by (length, a number of their own, mixed), so a length that holds a third of all rows
     spreads over as many tasks as it needs and the table of (partition, length) counts, which the
     driver turns into rank bases, has at most partitions + ``max_len`` rows.
     """
     import pyarrow as pa
 
     spark = pieces.sparkSession
-    # Written first: range partitioning reads its input twice, for the bounds and for the rows.
-    pieces = materialize(pieces.drop("sequence_id", "offset", "__lf_part", "__lf_rank"), "tokenized")
-    n_part = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // PART_ROWS), 1)
-    others = [c for c in pieces.columns if c != "ids"]
-    spread = pieces.repartitionByRange(n_part, F.col(length_col), F.xxhash64(*others))
-    schema = with_fields(spread, "__lf_part int, __lf_rank long")
+    pieces = pieces.drop("sequence_id", "offset")
+    mix, part_col, rank_col = fresh(pieces, "__mix", "__part", "__rank")
+    # Written first: range partitioning reads its input twice, for the bounds and for the rows. With each row a
+    # number of its own, equal rows are spread too.
+    tokenized = materialize(pieces.withColumn(mix, F.xxhash64(F.monotonically_increasing_id())), "tokenized")
+    n_part = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokenized.count() // PART_ROWS), 1)
+    spread = tokenized.repartitionByRange(n_part, length_col, mix).drop(mix)
+    schema = with_fields(spread, f"{part_col} int, {rank_col} long")
 
     def number(batches):
         from pyspark import TaskContext
@@ -384,11 +386,11 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
             seen += np.bincount(size, minlength=max_len + 1)[: max_len + 1]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(rank)],
-                [*batch.schema.names, "__lf_part", "__lf_rank"],
+                [*batch.schema.names, part_col, rank_col],
             )
 
     numbered = materialize(spread.mapInArrow(tidied(number), schema), "pieces")
-    per = numbered.groupBy("__lf_part", length_col).count().toPandas()
+    per = numbered.groupBy(part_col, length_col).count().toPandas()
     per.columns = ["part", "size", "n"]
     per = per.sort_values(["size", "part"])
     per["base"] = per.groupby("size")["n"].cumsum() - per["n"]
@@ -406,7 +408,7 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
         for batch in batches:
             col = lambda n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
             size = col(length_col)
-            rank = col("__lf_rank") + bases[np.searchsorted(keys, col("__lf_part") * (max_len + 1) + size)] if len(size) else size
+            rank = col(rank_col) + bases[np.searchsorted(keys, col(part_col) * (max_len + 1) + size)] if len(size) else size
             seq, off = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
             for s in np.unique(size):
                 at = np.flatnonzero(size == s)
@@ -415,16 +417,16 @@ def pack_pieces(pieces: DataFrame, max_len: int = MAX_LEN, length_col: str = "le
                 t = rank[at] - row[:, 0]
                 seq[at] = row[:, 1] + t % row[:, 2]
                 off[at] = row[:, 3] + t // row[:, 2] * s
-            cols = [batch.column(i) for i, n in enumerate(batch.schema.names) if not n.startswith("__lf_")]
-            names = [n for n in batch.schema.names if not n.startswith("__lf_")]
+            names = [n for n in batch.schema.names if n not in (part_col, rank_col)]
+            cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     return numbered.mapInArrow(tidied(place), out)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, with_ids: bool = False, added: bool = False) -> DataFrame:
-    """Tokenize whole texts, cut what is longer than ``max_len`` and pack all pieces. With ``added`` the ids
-    are those of ``Tokenizer.encode``, in which the literal of an added token is that token."""
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, with_ids: bool = False, added: bool = True) -> DataFrame:
+    """Tokenize whole texts, cut what is longer than ``max_len`` and pack all pieces. The ids are those of
+    ``Tokenizer.encode``, in which the literal of an added token is that token, unless ``added`` is false."""
     return pack_pieces(tokenize_pieces(docs, tokenizer, max_len, with_ids=with_ids, added=added), max_len)
 
 
@@ -439,4 +441,4 @@ def assemble(packed: DataFrame) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"), added=True)
+    return pack_documents(read(spark, sf_dir, "documents"))

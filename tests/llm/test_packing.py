@@ -73,6 +73,32 @@ def test_search_improves_on_best_fit():
     assert better > 0
 
 
+# Lengths on which best fit is not enough: (kind, seed) -> (lower bound, bins of best fit, bins of the search).
+MIXES = {("even", 0): (160, 172, 171), ("even", 2): (158, 171, 169), ("even", 3): (156, 170, 168), ("parts", 0): (193, 200, 197), ("parts", 2): (191, 198, 195)}
+
+
+@pytest.mark.parametrize("mix", sorted(MIXES))
+def test_search_on_hard_mixes_at_the_real_capacity(mix):
+    kind, seed = mix
+    rng = np.random.default_rng(seed)
+    items = rng.integers(500, 1100, 400) if kind == "even" else rng.choice([724, 683, 342, 515, 700, 650, 410, 1000], 600) + rng.integers(0, 40, 600)
+    counts = np.bincount(items, minlength=P.MAX_LEN + 1)
+    plan = P.bin_completion(counts, P.MAX_LEN)
+    check_plan(plan, counts, P.MAX_LEN)
+    assert (P.lower_bound(counts, P.MAX_LEN), P.best_fit_decreasing(counts, P.MAX_LEN).bins, plan.bins) == MIXES[mix]
+
+
+def test_equal_rows_and_clashing_columns(spark):
+    """Fully equal rows are spread over the range partitions; other columns stay."""
+    from pyspark.sql import functions as F
+
+    pieces = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("length"), F.lit("m").alias("__mix"), F.lit("p").alias("__part"), F.lit("r").alias("__Rank"))
+    rows = P.pack_pieces(pieces, 64).toPandas()
+    assert set(rows.columns) == {"doc_id", "length", "__mix", "__part", "__Rank", "sequence_id", "offset"} and {*rows["__mix"], *rows["__part"], *rows["__Rank"]} == {"m", "p", "r"}
+    sizes = rows.groupby("sequence_id").size()
+    assert len(sizes) == -(-3000 // 9) and sizes.max() == 9 and not rows.duplicated(["sequence_id", "offset"]).any()
+
+
 def test_empty_histogram():
     assert P.bin_completion(np.zeros(9, dtype=np.int64), 8).bins == 0
 
@@ -86,7 +112,6 @@ def test_documents(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.default_tokenizer())
-    tok.encode_special_tokens = True
     for i, t in texts.items():
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
         mine = rows[rows.doc_id == i].sort_values(["piece", "sequence_id"])
