@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, read
+from .common import BROADCAST_ROWS, fresh, materialize, read
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -61,56 +61,51 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return counts.join(totals, "site").where(F.col("n") > ratio * F.col("pages")).select("site", "pages", "key", "n")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with cleaned texts and two more columns, ``__n_lines`` and ``__n_dropped``."""
-    docs = docs.drop("__n_lines", "__n_dropped", "__site", "__drop", "__salt", "__lines", "__kept")
-    sets = materialize(
-        boilerplate(docs, host, text, ratio, min_pages)
-        .groupBy("site")
-        .agg(F.collect_set("key").alias("__drop"))
-        .withColumnRenamed("site", "__site"),
-        "boilerplate",
-    )
-    held = sets.agg(F.coalesce(F.sum(F.size("__drop") + 4), F.lit(0))).first()[0]
-    site = F.coalesce(F.col(host).cast("string"), F.lit(""))
+COUNTS = ("n_lines", "n_dropped")
+
+
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, names: tuple[str, str] = COUNTS) -> DataFrame:
+    """``docs`` with cleaned texts and two more columns, ``names``: the number of lines and of those dropped.
+    Like-named columns are replaced."""
+    docs = docs.drop(*names)
+    site_, drop_, salt_, lines_, kept_ = fresh(docs, "__site", "__drop", "__salt", "__lines", "__kept")
+    sets = boilerplate(docs, host, text, ratio, min_pages).groupBy("site").agg(F.collect_set("key").alias(drop_))
+    sets = materialize(sets.withColumnRenamed("site", site_), "boilerplate")
+    held = sets.agg(F.coalesce(F.sum(F.size(drop_) + 4), F.lit(0))).first()[0]
+    placed = docs.withColumn(site_, F.coalesce(F.col(host).cast("string"), F.lit("")))
     if held <= BROADCAST_ROWS:
-        joined = docs.withColumn("__site", site).join(F.broadcast(sets), "__site", "left")
+        joined = placed.join(F.broadcast(sets), site_, "left")
     else:
         # Each site's set in SALTS copies, so that a site with a third of all pages is spread.
-        salted = sets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = (
-            docs.withColumn("__site", site)
-            .withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-            .join(salted, ["__site", "__salt"], "left")
-        )
+        salted = sets.withColumn(salt_, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = placed.withColumn(salt_, F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(salted, [site_, salt_], "left")
     lines = F.when(F.length(text) > 0, F.split(text, "\n"))
-    kept = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__drop", _line_key(x)), F.lit(False)))
-    joined = joined.withColumn("__lines", lines)
-    joined = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept).otherwise(F.col("__lines")))
-    n = F.coalesce(F.size("__lines").cast("long"), F.lit(0))
-    lost = F.coalesce((F.size("__lines") - F.size("__kept")).cast("long"), F.lit(0))
-    cleaned = F.when(lost > 0, F.array_join("__kept", "\n")).otherwise(F.col(text))
+    kept = F.filter(lines_, lambda x: ~F.coalesce(F.array_contains(drop_, _line_key(x)), F.lit(False)))
+    joined = joined.withColumn(lines_, lines)
+    joined = joined.withColumn(kept_, F.when(F.col(drop_).isNotNull(), kept).otherwise(F.col(lines_)))
+    n = F.coalesce(F.size(lines_).cast("long"), F.lit(0))
+    lost = F.coalesce((F.size(lines_) - F.size(kept_)).cast("long"), F.lit(0))
+    cleaned = F.when(lost > 0, F.array_join(kept_, "\n")).otherwise(F.col(text))
     return joined.select(
         *(cleaned.alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(n).alias("__n_lines"),
-        F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(lost).alias("__n_dropped"),
+        F.when(F.col(lines_).isNull(), F.lit(0)).otherwise(n).alias(names[0]),
+        F.when(F.col(lines_).isNull(), F.lit(0)).otherwise(lost).alias(names[1]),
     )
 
 
 def without_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
     """Documents with cleaned texts; columns as given, ``n_chars`` (if there) counted anew where
     lines were dropped."""
-    out = drop_boilerplate(docs, host)
+    names = tuple(fresh(docs, *COUNTS))
+    out = drop_boilerplate(docs, host, names=names)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(names[1]) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return drop_boilerplate(docs).select(
-        "doc_id", "source", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text"
-    )
+    return drop_boilerplate(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
 OP4_SQL = f"""

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_MAP, WordHashes, materialize, mix64, read, text_batches, text_bytes, tidied, with_fields
+from .common import WORD_MAP, WordHashes, fresh, materialize, mix64, read, text_batches, text_bytes, tidied, with_fields
 
 FIT_ROWS = 20_000
 VOCABULARY = 4_096
@@ -149,8 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # Labels of other documents don't use up the bound.
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    chosen = materialize(chosen, "labelled")
+    known = materialize(known, "known")
+    # Thinned on the executors to little more than the bound, then exactly the bound.
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    total = known.count()
+    few = known.where(draw < int((1 << 40) * (1.2 * fit_rows + 200) / total)) if total > 2 * fit_rows else known
+    chosen = materialize(few.orderBy(draw, "doc_id").limit(fit_rows), "labelled")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most fit_rows ids: a fixed bound.
     joined = text.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
@@ -236,12 +240,15 @@ def best_cut(chance: np.ndarray, toxic: np.ndarray) -> float:
     return float((c[k] + (c[k + 1] if k + 1 < len(c) else 0.0)) / 2)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``__severity`` (expected grade), ``__grade`` (likeliest), ``__toxic_chance`` and
-    ``__toxic`` (the chance reaches the model's cut)."""
+SCORES = ("severity", "grade", "toxic_chance", "toxic")
+
+
+def score(docs: DataFrame, model: Model | None, names: tuple[str, ...] = SCORES) -> DataFrame:
+    """``docs`` with four more columns, ``names``: severity (expected grade), the likeliest grade, the chance of a
+    grade of 1 or more, and whether that reaches the model's cut. Like-named columns are replaced."""
     import pyarrow as pa
 
-    docs = docs.drop("__severity", "__grade", "__toxic_chance", "__toxic")
+    docs = docs.drop(*names)
     text_batches(docs.sparkSession)
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -262,25 +269,19 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             each = -np.diff(np.concatenate([np.ones((len(s), 1)), tail, np.zeros((len(s), 1))], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(tail.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(tail[:, 0].copy()), pa.array(tail[:, 0] >= (model.cut if model else 2))],
-                [*batch.schema.names, "__severity", "__grade", "__toxic_chance", "__toxic"],
+                [*batch.schema.names, *names],
             )
 
-    return docs.mapInArrow(tidied(run), with_fields(docs, "__severity double, __grade int, __toxic_chance double, __toxic boolean"))
+    return docs.mapInArrow(tidied(run), with_fields(docs, ", ".join(map(" ".join, zip(names, ("double", "int", "double", "boolean"))))))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are not toxic; columns as given."""
-    model = fit(docs, labels)
-    return score(docs, model).where(~F.col("__toxic")).select(*docs.columns)
+    model, names = fit(docs, labels), tuple(fresh(docs, *SCORES))
+    return score(docs, model, names).where(~F.col(names[-1])).select(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, read(spark, sf_dir, "labels"))
-    return score(docs, model).select(
-        "doc_id",
-        F.round("__severity", 9).alias("severity"),
-        F.col("__grade").alias("grade"),
-        F.round("__toxic_chance", 9).alias("toxic_chance"),
-        F.col("__toxic").alias("toxic"),
-    )
+    return score(docs, model).select("doc_id", F.round("severity", 9).alias("severity"), "grade", F.round("toxic_chance", 9).alias("toxic_chance"), "toxic")

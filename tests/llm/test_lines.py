@@ -51,7 +51,7 @@ def test_against_brute_force(spark, monkeypatch):
     for limit in (L.BROADCAST_ROWS, 0):
         monkeypatch.setattr(L, "BROADCAST_ROWS", limit)
         docs = spark.createDataFrame([(i, s, t, "x") for i, s, t in rows], "doc_id long, source string, text string, pages string")
-        got = L.drop_boilerplate(docs).select("doc_id", "__n_lines", "__n_dropped", "text").collect()
+        got = L.drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text").collect()
         assert collections.Counter(map(tuple, got)) == collections.Counter(brute(rows))
 
 
@@ -83,4 +83,11 @@ def test_by_host_of_pages(spark):
     pages = [(i, f"http://h{i % 2}.example/p{i}", f"<p>body {i}</p>\n<nav>menu {i % 2}</nav>") for i in range(40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", L.host_of(F.col("url")))
     got = L.drop_boilerplate(df, "host", "html").collect()
-    assert all(r["__n_dropped"] == 1 and "menu" not in r.html and "body" in r.html for r in got)
+    assert all(r["n_dropped"] == 1 and "menu" not in r.html and "body" in r.html for r in got)
+
+
+def test_clashing_columns_stay(spark):
+    docs = frame(spark, {i: f"menu\nbody {i}" for i in range(30)}).withColumnsRenamed({"key": "n_dropped", "component": "__lines", "sequence_id": "__SITE"})
+    out = L.without_boilerplate(docs)
+    assert out.columns == docs.columns
+    assert {(r.text, r["n_dropped"], r["__lines"], r["__SITE"]) for r in out.collect()} == {(f"body {i}", "k", "c", "q") for i in range(30)}
