@@ -8,11 +8,12 @@ either and are left out, an exact reduction. Over what remains the task builds a
 sampled suffix positions. All phrases are searched backward together; their occurrences are
 located by walking to the next sampled position, and overlapping spans are merged.
 
-The benchmark is a stated query set: it is broadcast in blocks of a fixed number of words, each
-block running over all documents, so its size is not bounded by an executor's memory.
+The benchmark is a stated query set: its distinct windows are broadcast as integer arrays in blocks of
+a fixed number of words, one block at a time, each running over all documents, so its size is not
+bounded by the memory of an executor or the driver.
 
 Defined results: null and empty texts have no words and are clean; items without words have no
-window; equal windows count for each item that has them; repeated rows are each reported; empty
+window; equal windows count for each item that has them; an item without an id is no item, but its windows hit; repeated rows are each reported; empty
 tables give no rows or no hits; extra columns are ignored.
 """
 
@@ -25,11 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_MAP, read, text_batches, text_bytes, tidied
+from .common import BROADCAST_ROWS, WORD_MAP, fresh, materialize, maybe_broadcast, read, text_batches, text_bytes, tidied
 
 WINDOW = 10
 SHARD_BYTES = 8_000_000
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 SAMPLE = 16
 
 
@@ -150,23 +151,47 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of a block of benchmark items and the items that have each."""
+    """The distinct windows of a block of benchmark items and the items that have each, as flat arrays; what is
+    broadcast. The words' numbers are looked up in a dictionary that each Python worker makes once."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set] = {}
+        known: dict[bytes, int] = {}
+        names: dict[str, int] = {}
+        rows, owner = [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of((text or "").encode())]
-            if not ids:
+            ids = np.array([known.setdefault(w, len(known) + 1) for w in words_of((text or "").encode())], dtype=np.int32)
+            if len(ids) == 0:
                 continue
-            for k in range(max(1, len(ids) - window + 1)):
-                seen.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        self.lengths = np.array([len(p) for p in seen], dtype=np.int64)
-        self.rows = np.zeros((len(seen), window), dtype=np.int64)
-        for i, p in enumerate(seen):
-            self.rows[i, window - len(p) :] = p
-        self.items = [sorted(v, key=str) for v in seen.values()]
-        self.shortest = int(self.lengths.min()) if len(seen) else window
+            own = -1 if item is None else names.setdefault(str(item), len(names))
+            if len(ids) < window:
+                part = np.zeros((1, window), dtype=np.int32)
+                part[0, window - len(ids) :] = ids
+            else:
+                part = np.lib.stride_tricks.sliding_window_view(ids, window)
+            rows.append(part)
+            owner.append(np.full(len(part), own, dtype=np.int32))
+        self.words = b" ".join(known)
+        self.n_words = len(known)
+        self.names = list(names)
+        every = np.concatenate(rows) if rows else np.zeros((0, window), dtype=np.int32)
+        self.rows, which = np.unique(every, axis=0, return_inverse=True) if len(every) else (every, np.zeros(0, np.int64))
+        self.lengths = (self.rows > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min()) if len(self.rows) else window
+        # Items of window i: holders[start[i] : start[i + 1]]; an item without an id is none.
+        pairs = np.unique(np.stack([which.ravel(), np.concatenate(owner)]), axis=1) if rows else np.zeros((2, 0), np.int64)
+        pairs = pairs[:, pairs[1] >= 0]
+        self.holders = pairs[1].astype(np.int32)
+        self.start = np.searchsorted(pairs[0], np.arange(len(self.rows) + 1))
+        self._vocabulary: dict[bytes, int] | None = None
+
+    @property
+    def vocabulary(self) -> dict[bytes, int]:
+        if self._vocabulary is None:
+            self._vocabulary = {w: k for k, w in enumerate(self.words.split(b" "), 1)} if self.n_words else {}
+        return self._vocabulary
+
+    def items(self, p: int) -> list[str]:
+        return [self.names[k] for k in self.holders[self.start[p] : self.start[p + 1]]]
 
 
 def search_shard(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], set]]:
@@ -194,7 +219,7 @@ def search_shard(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[t
     offsets = np.cumsum(sizes) - sizes
     origin = np.arange(sizes.sum()) - np.repeat(offsets, sizes) + np.repeat(starts, sizes)
     kept = s[origin]
-    index = FMIndex(kept, len(phrases.vocabulary) + 1)
+    index = FMIndex(kept, phrases.n_words + 1)
     lo, hi = index.find(phrases.rows, phrases.lengths)
     hits = np.flatnonzero(hi > lo)
     n_hits = (hi - lo)[hits]
@@ -212,7 +237,7 @@ def search_shard(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[t
             spans[-1] = (spans[-1][0], max(spans[-1][1], end))
         else:
             spans.append((start, end))
-        items.update(phrases.items[p])
+        items.update(phrases.items(p))
     return out
 
 
@@ -220,7 +245,7 @@ def search_shard(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[t
 
 
 def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str | None]]]:
-    """Items in blocks of about ``block_words`` words, streamed to the driver."""
+    """Items in blocks of about ``block_words`` words, streamed to the driver: one block is held at a time."""
     block, held = [], 0
     for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
         block.append((row[0], row[1]))
@@ -235,12 +260,11 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
 FOUND = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def find_phrases(docs: DataFrame, items: list, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep: list[str] = ()) -> DataFrame:
+def find_phrases(docs: DataFrame, shared, shard_bytes: int = SHARD_BYTES, keep: list[str] = ()) -> DataFrame:
     """One row per document: its word count, merged hit spans in words, and items that occur; with
-    ``keep`` the document's own columns as well."""
+    ``keep`` the document's own columns as well. ``shared`` is the broadcast of a block's ``Phrases``."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(items)
     text_batches(docs.sparkSession)
     carry = [c for c in keep if c not in ("doc_id", "text")]
     src = docs.select(
@@ -259,14 +283,14 @@ def find_phrases(docs: DataFrame, items: list, window: int = WINDOW, shard_bytes
                     batch.column(0),
                     pa.array([f[0] for f in rows], pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in f[1]] for f in rows], span_type),
-                    pa.array([sorted(map(str, f[2])) for f in rows], pa.list_(pa.string())),
+                    pa.array([sorted(f[2]) for f in rows], pa.list_(pa.string())),
                     *(batch.column(k) for k in passed),
                 ],
                 ["doc_id", "n_words", "spans", "items", *(batch.schema.names[k] for k in passed)],
             )
 
     def run(batches) -> Iterator:
-        phrases = Phrases(shared.value, window)
+        phrases = shared.value
         held, size = [], 0
         for batch in batches:
             texts = text_bytes(batch.column(1))
@@ -285,31 +309,47 @@ def find_phrases(docs: DataFrame, items: list, window: int = WINDOW, shard_bytes
     return src.mapInArrow(tidied(run), schema)
 
 
+def _search_blocks(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """Hits of every block of a benchmark of several, each written before the next is broadcast:
+    ``doc_id, t, n_words, spans, items``, ``t`` being a hash of the text; documents without hits only from the
+    first block."""
+    sc, parts = docs.sparkSession.sparkContext, []
+    src = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("t"))
+    for i, block in enumerate(benchmark_blocks(benchmark)):
+        shared = sc.broadcast(Phrases(block, window))
+        found = find_phrases(src, shared, keep=["t"]).withColumnRenamed("__in_t", "t")
+        parts.append(materialize(found if i == 0 else found.where(F.size("spans") > 0), "hits"))
+        shared.destroy()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _one_block(benchmark: DataFrame) -> list | None:
+    """The items, if they are a single block."""
+    blocks = benchmark_blocks(benchmark)
+    first = next(blocks, [])
+    return first if next(blocks, None) is None else None
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, spans, items`` over all blocks of the benchmark. With a single block the
     documents are read once and nothing is shuffled."""
-    parts = [find_phrases(docs, block, window) for block in benchmark_blocks(benchmark)] or [find_phrases(docs, [], window)]
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: one row per document and block, put together by document; rows that share an
-    # id are told apart by a hash of their text.
-    uid = F.xxhash64("doc_id", "text")
-    docs = docs.select("doc_id", "text", uid.alias("__uid"))
-    parts = [
-        find_phrases(docs, block, window, keep=["__uid"]).withColumn("__block", F.lit(i))
-        for i, block in enumerate(benchmark_blocks(benchmark))
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    merged = rows.groupBy("doc_id", "__in___uid").agg(
-        F.max("n_words").alias("n_words"),
+    block = _one_block(benchmark)
+    if block is not None:
+        return find_phrases(docs, docs.sparkSession.sparkContext.broadcast(Phrases(block, window)))
+    # Several blocks: put together by document; rows that share an id are told apart by their text, and
+    # equal rows were counted by the first block.
+    rows = _search_blocks(docs, benchmark, window)
+    whole = rows.groupBy("doc_id", "t", "n_words").agg(
         F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        (F.count(F.lit(1)) / len(parts)).cast("int").alias("__copies"),
+        F.count(F.lit(1)).alias("n"),
     )
-    merged = merged.withColumn("spans", _merge_spans("spans"))
-    return merged.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select("doc_id", "n_words", "spans", "items")
+    copies = docs.groupBy(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("u")).agg(F.count(F.lit(1)).alias("copies"))
+    whole = whole.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")))
+    return whole.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc_id", "n_words", _merge_spans("spans").alias("spans"), "items")
 
 
 def _merge_spans(col: str):
@@ -356,15 +396,19 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    names, blocks = docs.columns, 0
-    found = docs.withColumn("__hits", F.array().cast("array<struct<start:int,end:int>>"))
-    for block in benchmark_blocks(benchmark):
-        carried, blocks = found.columns, blocks + 1
-        found = find_phrases(found, block, window, keep=carried)
-        hits = F.concat("__in___hits", "spans") if blocks > 1 else F.col("spans")
-        found = found.select(*(hits.alias(n) if n == "__hits" else F.col("doc_id") if n == "doc_id" else F.col(f"__in_{n}").alias(n) for n in carried))
-    if not blocks:
+    names, block = docs.columns, _one_block(benchmark)
+    if block == []:
         return docs
+    hits_, hit_, t_, d_ = fresh(docs, "__hits", "__hit", "__t", "__d")
+    if block is not None:
+        found = find_phrases(docs, docs.sparkSession.sparkContext.broadcast(Phrases(block, window)), keep=names)
+        found = found.select(*(F.col("doc_id") if n == "doc_id" else F.col(f"__in_{n}").alias(n) for n in names), F.col("spans").alias(hits_))
+    else:
+        rows = _search_blocks(docs, benchmark, window).where(F.size("spans") > 0)
+        rows = rows.groupBy(F.col("doc_id").alias(d_), F.col("t").alias(t_)).agg(F.flatten(F.collect_set("spans")).alias(hits_))
+        rows = maybe_broadcast(materialize(rows, "spans"), BROADCAST_ROWS // 10)
+        placed = docs.withColumn(hit_, F.xxhash64(F.col("text").cast("string")))
+        found = placed.join(rows, F.col("doc_id").eqNullSafe(F.col(d_)) & (F.col(hit_) == F.col(t_)), "left").select(*names, hits_)
 
     def cut(batches):
         for batch in batches:
@@ -376,11 +420,11 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
             )
 
     others = [n for n in names if n != "text"]
-    src = found.select("text", "__hits", *others, (F.size("__hits") > 0).alias("__hit"))
-    schema = T.StructType([f for f in src.schema.fields if f.name != "__hits"])
+    src = found.select("text", hits_, *others, (F.coalesce(F.size(hits_), F.lit(0)) > 0).alias(hit_))
+    schema = T.StructType([f for f in src.schema.fields if f.name != hits_])
     out = src.mapInArrow(tidied(cut), schema)
     return out.select(
-        *(F.when(F.col("__hit"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if n == "n_chars" else F.col(n) for n in names)
+        *(F.when(F.col(hit_), F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if n == "n_chars" else F.col(n) for n in names)
     )
 
 
@@ -409,7 +453,7 @@ s AS (SELECT doc_id, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS
       FROM (SELECT d.doc_id, d.w, l.n, unnest(range(1, len(d.w) - l.n + 2)) AS k FROM d JOIN (SELECT DISTINCT n FROM p) l ON len(d.w) >= l.n)),
 h AS (SELECT s.doc_id, s.k, s.n, p.item_id FROM s JOIN p ON p.n = s.n AND p.phrase = s.phrase),
 c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS at FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+i AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id

@@ -130,3 +130,30 @@ def test_removal_does_not_depend_on_blocks(spark, monkeypatch):
     assert out.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == whole
     assert words(whole[1][0]) == ["a", "b"] and words(whole[2][0]) == w[14:19] + w[24:29] and words(whole[5][0]) == ["end"]
+
+
+def test_items_without_an_id_hit_but_are_none(spark, monkeypatch):
+    rng = random.Random(11)
+    a, b = prose(rng, 3), prose(rng, 3)
+    bench = spark.createDataFrame([(None, a), (7, b), (8, b)], "item_id long, text string").coalesce(1)
+    docs = frame(spark, [(1, a), (2, b), (2, b), (3, None), (None, a), (4, "clean")]).withColumnsRenamed({"key": "spans", "component": "__hits", "sequence_id": "__d"})
+    original = D.benchmark_blocks
+    seen = []
+    for n in (10**6, 1):
+        monkeypatch.setattr(D, "benchmark_blocks", lambda x, n=n: original(x, n))
+        got = sorted((str(r.doc_id), r.n_words, len(r.spans) > 0, list(r["items"])) for r in D.contamination(docs, bench).collect())
+        out = D.remove_contamination(docs, bench)
+        assert out.columns == docs.columns
+        seen.append((got, sorted((str(r.doc_id), r.text is None, len(words(r.text)), r["spans"], r["__hits"], r["__d"]) for r in out.collect())))
+        assert all(r[2] and r[3] == [] for r in got if r[0] in ("1", "None"))
+        assert [r[3] for r in got if r[0] == "2"] == [["7", "8"]] * 2 and len(got) == 6
+    assert seen[0] == seen[1]
+
+
+def test_phrases_are_flat_arrays():
+    p = D.Phrases([(1, "a b c d e f g h i j k"), (2, "x a"), (3, "b c d e f g h i j k"), (None, "x a"), (4, None)])
+    assert p.rows.dtype == np.int32 and p.rows.shape == (3, 10) and sorted(p.lengths) == [2, 10, 10] and p.shortest == 2
+    of = {tuple(w for w in r if w): set(p.items(i)) for i, r in enumerate(p.rows.tolist())}
+    v = p.vocabulary
+    ids = lambda t: tuple(v[w.encode()] for w in t.split())
+    assert of == {ids("a b c d e f g h i j"): {"1"}, ids("b c d e f g h i j k"): {"1", "3"}, ids("x a"): {"2"}}
