@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenfold import scratch
 
-from . import nn
+from . import nn, quantiles
 
 XYZ = ("x", "y", "z")
 PART_ROWS = 2_000_000  # rows of a range partition on average
@@ -21,6 +21,11 @@ def _with_row(df: DataFrame, aggs: Sequence[Column]) -> DataFrame:
     return df.join(F.broadcast(df.agg(*aggs)), F.lit(True))
 
 
+def _with_quantiles(df: DataFrame, **wanted) -> DataFrame:
+    """``df`` beside a broadcast row of exact quantiles."""
+    return df.join(F.broadcast(quantiles.row(df, **wanted)), F.lit(True))
+
+
 def bounding_box(df: DataFrame) -> DataFrame:
     out = df.agg(*(f(c).alias(f"{n}_{c}") for c in XYZ for f, n in ((F.min, "lo"), (F.max, "hi"))))
     ext = [F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in XYZ]
@@ -43,26 +48,26 @@ def voxel_downsample(df: DataFrame, size: float, means: Sequence[str] = XYZ) ->
 
 def crop_flyers(df: DataFrame, q: float = 0.99) -> DataFrame:
     """Rows nearer to the per-axis median than the ``q`` quantile of those distances."""
-    centred = _with_row(df, [F.median(c).alias(f"__m{c}") for c in XYZ])
+    centred = _with_quantiles(df, **{f"__m{c}": (c, 0.5) for c in XYZ})
     d = [F.col(c) - F.col(f"__m{c}") for c in XYZ]
     far = centred.withColumn("__d", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
-    return _with_row(far, [F.percentile("__d", F.lit(q)).alias("__q")]).where("__d < __q").select(*df.columns)
+    return _with_quantiles(far, __q=("__d", q)).where("__d < __q").select(*df.columns)
 
 
 def crop_axis(df: DataFrame, half: float, axis: str = "z") -> DataFrame:
     """Rows within ``half`` of the axis' median; all if ``half`` is not positive."""
     if half <= 0:
         return df
-    return _with_row(df, [F.median(axis).alias("__m")]).where(F.abs(F.col(axis) - F.col("__m")) < half).select(*df.columns)
+    return _with_quantiles(df, __m=(axis, 0.5)).where(F.abs(F.col(axis) - F.col("__m")) < half).select(*df.columns)
 
 
 def quantile_trim(df: DataFrame, column: str, q: float) -> DataFrame:
     """Drop rows strictly below the quantile."""
-    return _with_row(df, [F.percentile(column, F.lit(q)).alias("__q")]).where(F.col(column) >= F.col("__q")).select(*df.columns)
+    return _with_quantiles(df, __q=(column, q)).where(F.col(column) >= F.col("__q")).select(*df.columns)
 
 
 def confidence_mask(df: DataFrame, column: str, percentile: float) -> DataFrame:
-    return _with_row(df, [F.percentile(column, F.lit(percentile / 100.0)).alias("__q")]).where(F.col(column) > F.col("__q")).select(*df.columns)
+    return _with_quantiles(df, __q=(column, percentile / 100.0)).where(F.col(column) > F.col("__q")).select(*df.columns)
 
 
 def prune_splats(df: DataFrame, opacity_over: float = 0.1, scale_q: float = 0.99, needle: float = 25.0, lo: float = 0.005, hi: float = 0.995) -> DataFrame:
@@ -70,17 +75,15 @@ def prune_splats(df: DataFrame, opacity_over: float = 0.1, scale_q: float = 0.99
     ``s0..s2`` are log scales."""
     s = [F.exp(f"s{k}") for k in range(3)]
     rows = df.withColumns({"__max": F.greatest(*s), "__min": F.least(*s), "__op": 1.0 / (1.0 + F.exp(-F.col("opacity")))})
-    aggs = [F.percentile("__max", F.lit(scale_q)).alias("__q")]
-    aggs += [F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"__b{c}") for c in XYZ]
     keep = (F.col("__op") > opacity_over) & (F.col("__max") < F.col("__q")) & (F.col("__max") / F.greatest(F.col("__min"), F.lit(1e-9)) < needle)
     for c in XYZ:
         keep &= (F.col(c) > F.col(f"__b{c}")[0]) & (F.col(c) < F.col(f"__b{c}")[1])
-    return _with_row(rows, aggs).where(keep).select(*df.columns)
+    return _with_quantiles(rows, __q=("__max", scale_q), **{f"__b{c}": (c, [lo, hi]) for c in XYZ}).where(keep).select(*df.columns)
 
 
 def robust_extent(df: DataFrame, lo: float = 0.02, hi: float = 0.98, cells: int = 512) -> DataFrame:
     """Largest extent between two quantiles, and the voxel that divides it into ``cells``."""
-    q = df.agg(*(F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(c) for c in XYZ))
+    q = quantiles.row(df, **{c: (c, [lo, hi]) for c in XYZ})
     e = F.greatest(*(F.col(c)[1] - F.col(c)[0] for c in XYZ))
     return q.select(e.alias("extent"), (e / cells).alias("voxel"))
 
@@ -107,7 +110,7 @@ def floor_band(df: DataFrame, axis: str = "z", share: float = 0.25, least: int =
 
 def floor_drop(df: DataFrame, axis: str = "y", q: float = 0.01) -> DataFrame:
     """Shift so that the axis' low percentile is at zero."""
-    rows = _with_row(df, [F.percentile(axis, F.lit(q)).alias("__q")])
+    rows = _with_quantiles(df, __q=(axis, q))
     return rows.select(*((F.col(c) - F.col("__q")).alias(c) if c == axis else F.col(c) for c in df.columns))
 
 
@@ -154,8 +157,13 @@ def outlier_removal(df: DataFrame, k: int = 16, sigmas: float = 2.0, strategy: s
 
 
 def sample_exact(df: DataFrame, n: int, key: str = "pid", seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer), the least in a seeded hash order: the same on any partitioning."""
-    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+    """Exactly ``n`` rows (all, if fewer), the least in a seeded hash order: the same on any partitioning. A
+    large table is first thinned on the executors to little more than ``n``."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    total = df.count()
+    few = df.where(draw < f"{int((1 << 48) * (1.2 * n + 100) / total):012x}") if total > 2 * n + 1000 else df
+    # The hash decides how many pass; should they be too few, all rows are ordered.
+    return (few if few is df or not n or few.count() >= n else df).orderBy(draw, key).limit(n)
 
 
 def ordinal(df: DataFrame, *order: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenfold import scratch
 from lumenfold.functions import linalg
 
-from . import cloud, nn
+from . import cloud, nn, quantiles
 
 XYZ = ("x", "y", "z")
 SEED_ROWS = 3_000  # bound of the points that candidate planes are drawn from
@@ -68,7 +68,7 @@ def align_floor(df: DataFrame, axis: str = "z", threshold: float = 0.03, seed: i
     rows = linalg.with_alignment(df.withColumn("__on", on), tuple(map(float, n)), up, "__t", "cross")
     turned = linalg.rotate(linalg.columns_matrix("__t"), [F.col(x) for x in XYZ])
     rows = rows.withColumns(dict(zip(XYZ, turned)))
-    height = rows.where("__on").agg(F.median(axis).alias("__h"))
+    height = quantiles.row(rows.where("__on"), __h=(axis, 0.5))
     rows = rows.join(F.broadcast(height), F.lit(True))
     return rows.select(*((F.col(c) - F.col("__h")).alias(c) if c == axis else F.col(c) for c in df.columns))
 

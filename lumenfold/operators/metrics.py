@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import nn
+from lumenfold import scratch
+
+from . import nn, quantiles
 
 # Key, display name, factor to the displayed unit, whether more is better.
 DESCRIPTORS = (
@@ -75,7 +77,9 @@ def surface_metrics(pred: DataFrame, truth: DataFrame, tau: float = 0.05, normal
 
 def error_summary(dist: DataFrame, column: str = "dist") -> DataFrame:
     """Median, mean and 90th percentile in centimetres."""
-    return dist.agg(*((f * 100).alias(n) for f, n in ((F.median(column), "median_cm"), (F.avg(column), "mean_cm"), (F.percentile(column, F.lit(0.9)), "p90_cm"))))
+    dist = scratch.table(dist.select(column), "errors")
+    both = dist.agg(F.avg(column).alias("mean")).join(F.broadcast(quantiles.row(dist, q=(column, [0.5, 0.9]))), F.lit(True))
+    return both.select((F.col("q")[0] * 100).alias("median_cm"), (F.col("mean") * 100).alias("mean_cm"), (F.col("q")[1] * 100).alias("p90_cm"))
 
 
 def collate_table(metrics: DataFrame) -> list[dict]:

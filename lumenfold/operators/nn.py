@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from lumenfold import scratch
 
+from . import quantiles
+
 XYZ = ("x", "y", "z")
 PER_CELL = 8  # points of a cell that the first grid aims at
 
@@ -187,12 +189,12 @@ def void_fill(base: DataFrame, donors: Sequence[tuple[str, DataFrame, float]], s
 
 
 def fuse_diagnostics(donor: DataFrame, backbone: DataFrame, tau: float, strategy: str = "auto") -> DataFrame:
-    d = nearest(donor, backbone, strategy)
-    q = F.percentile("dist", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    d = scratch.table(nearest(donor, backbone, strategy).select("dist"), "nearest")
     stats = d.agg(
-        F.count(F.lit(1)).alias("donor_pts"), q.alias("q"),
+        F.count(F.lit(1)).alias("donor_pts"),
         F.count_if(F.col("dist") > tau).alias("donor_gapfill_pts"), F.avg((F.col("dist") > tau).cast("int")).alias("donor_gapfill_frac"),
     )
+    stats = stats.join(F.broadcast(quantiles.row(d, q=("dist", [0.25, 0.5, 0.75]))), F.lit(True))
     return stats.join(scratch.one_row(backbone.agg(F.count(F.lit(1)).alias("backbone_pts"))), F.lit(True)).select(
         "backbone_pts", "donor_pts", F.col("q")[0].alias("donor_nn_p25_m"), F.col("q")[1].alias("donor_nn_median_m"),
         F.col("q")[2].alias("donor_nn_p75_m"), "donor_gapfill_pts", "donor_gapfill_frac",

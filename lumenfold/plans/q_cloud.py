@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import camera, color
-from lumenfold.operators import cloud
+from lumenfold.operators import cloud, quantiles
 
 from .tables import PARTS_SQL, POINTS_SQL, dist_sql, points, read
 
@@ -117,7 +117,7 @@ _M = camera.view_rotation(AZ, EL)
 def z_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orthographic view about the median, the nearest point of each pixel."""
     p = points(spark, sf_dir)
-    mid = p.agg(*(F.median(c).alias(f"m{c}") for c in XYZ))
+    mid = quantiles.row(p, **{f"m{c}": (c, 0.5) for c in XYZ})
     q = p.join(F.broadcast(mid), F.lit(True))
     px, py, z = camera.orthographic_pixel([F.col(c) for c in XYZ], _M, [F.col(f"m{c}") for c in XYZ], F.lit(RES * 0.9), RES, RES)
     front = cloud.z_buffer(q.withColumns({"px": px, "py": py, "depth": z}), payload=("r",))

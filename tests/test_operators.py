@@ -414,3 +414,30 @@ def test_work_list_and_second_pass(spark):
     df = spark.createDataFrame([(0, i, b"x") for i in range(5)], "video long, frame_idx long, pixels binary")
     chosen = spark.createDataFrame([(0, 1), (0, 3), (0, 3)], "video long, frame_idx long")
     assert [r.frame_idx for r in frames.take_selected(df, chosen).orderBy("frame_idx").collect()] == [1, 3]
+
+
+def test_quantiles_without_a_column_in_one_task(spark, monkeypatch):
+    """Ties, heavy tails, nulls and shares at the ends, against NumPy."""
+    from lumenfold.operators import quantiles
+
+    rng = np.random.default_rng(0)
+    n = 4000
+    cols = {"a": rng.normal(size=n), "b": rng.integers(0, 3, n).astype(float), "c": np.exp(rng.normal(size=n) * 40), "d": np.r_[np.zeros(n - 5), -7.0, 1.0, 2.0, 3.0, 1e300], "e": np.full(n, 2.5)}
+    rows = [(*(float(v[i]) for v in cols.values()), None if i % 3 else float(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    shares = [0.0, 0.005, 0.25, 0.5, 0.9, 0.9991, 1.0]
+    want = {c: np.quantile(v, shares) for c, v in cols.items()} | {"f": np.quantile(np.arange(0, n, 3.0), shares)}
+    for small, keep, accuracy in ((10**6, 10, 100), (10, 50, 20), (10, 1, 100)):
+        for name, value in (("SMALL", small), ("KEEP", keep), ("ACCURACY", accuracy)):
+            monkeypatch.setattr(quantiles, name, value)
+        got = quantiles.row(df, **{c: (c, shares) for c in want}, one=("a", 0.5), none=(F.lit(None), 0.5)).first()
+        for c in want:
+            assert np.allclose(got[c], want[c], rtol=1e-12), c
+        assert abs(got["one"] - np.median(cols["a"])) < 1e-12 and got["none"] is None
+
+
+def test_exact_sample_of_a_thinned_table(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "pid")
+    got = [r.pid for r in cloud.sample_exact(rows, 300, seed=4).collect()]
+    assert got == [r.pid for r in rows.orderBy(F.md5(F.concat_ws(":", F.lit("4"), F.col("pid").cast("string"))), "pid").limit(300).collect()]
+    assert cloud.sample_exact(rows, 0).count() == 0 and cloud.sample_exact(rows.limit(5), 9).count() == 5
