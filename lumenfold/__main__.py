@@ -6,66 +6,69 @@ import argparse
 import json
 
 from lumenfold import api
+from lumenfold.functions.linalg import RECON_TO_CAPTURE
 from lumenfold.operators.frames import IngestConfig
 from lumenfold.session import get_session
 
+NEEDED = {"required": True}
+FLAG = {"action": "store_true"}
+# Names of commands and options, and their defaults.
+COMMANDS = {
+    "benchmark": ("collate metric files", {"--eval-dir": NEEDED, "--no-markdown": FLAG}),
+    "embodied": ("mesh for a simulator", {"--mesh": NEEDED, "--out": NEEDED, "--splat": {}, "--up": {"choices": ("y", "z"), "default": "y"}, "--scene-json": {}}),
+    "fuse": (
+        "fill gaps of a surface from another",
+        {"--backbone": NEEDED, "--donor": NEEDED, "--out": NEEDED, "--tau": {"type": float, "default": 0.05}, "--depth": {"type": int, "default": 11}, "--donor-from-recon": FLAG},
+    ),
+    "ingest": (
+        "keyframes of a clip given as a table of frames",
+        {"frames": {}, "--out": NEEDED, "--target-frames": {"type": int, "default": 60}, "--stride": {"type": int, "default": 1}, "--blur-threshold": {"type": float, "default": 0.6}},
+    ),
+    "reconstruct": ("what reconstruction needs", {}),
+    "viz": ("mesh within a triangle budget", {"--in": NEEDED | {"dest": "src"}, "--out": NEEDED, "--tris": {"type": int, "default": 300_000}}),
+}
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lumenfold")
     sub = p.add_subparsers(dest="cmd", required=True)
-    a = sub.add_parser("ingest", help="keyframes of a clip given as a table of frames")
-    a.add_argument("frames")
-    a.add_argument("--out", required=True)
-    a.add_argument("--target-frames", type=int, default=60)
-    a.add_argument("--stride", type=int, default=1)
-    a.add_argument("--blur-threshold", type=float, default=0.6)
-    sub.add_parser("reconstruct", help="what reconstruction needs")
-    a = sub.add_parser("fuse", help="fill gaps of a surface from another")
-    a.add_argument("--backbone", required=True)
-    a.add_argument("--donor", required=True)
-    a.add_argument("--out", required=True)
-    a.add_argument("--tau", type=float, default=0.05)
-    a.add_argument("--depth", type=int, default=11)
-    a.add_argument("--donor-from-recon", action="store_true", help="donor is in the reconstruction tool's axes")
-    a = sub.add_parser("benchmark", help="collate metric files")
-    a.add_argument("--eval-dir", required=True)
-    a.add_argument("--no-markdown", action="store_true")
-    a = sub.add_parser("viz", help="mesh within a triangle budget")
-    a.add_argument("--in", dest="src", required=True)
-    a.add_argument("--out", required=True)
-    a.add_argument("--tris", type=int, default=300_000)
-    a = sub.add_parser("embodied", help="mesh for a simulator")
-    a.add_argument("--mesh", required=True)
-    a.add_argument("--out", required=True)
-    a.add_argument("--splat")
-    a.add_argument("--up", choices=("y", "z"), default="y")
-    a.add_argument("--scene-json")
+    for name, (says, options) in COMMANDS.items():
+        one = sub.add_parser(name, help=says)
+        for option, settings in options.items():
+            one.add_argument(option, **settings)
     return p
 
 
+def run_benchmark(spark, a):
+    return api.collate(spark, a.eval_dir, not a.no_markdown)
+
+
+def run_embodied(spark, a):
+    return api.export_for_sim(spark, a.mesh, a.out, a.splat, a.up, a.scene_json)
+
+
+def run_fuse(spark, a):
+    move = tuple((*row, 0.0) for row in RECON_TO_CAPTURE) if a.donor_from_recon else None
+    return api.fuse_consensus(spark, a.backbone, a.donor, a.out, api.ConsensusConfig(tau=a.tau, poisson_depth=a.depth, donor_transform=move))
+
+
+def run_ingest(spark, a):
+    cfg = IngestConfig(target_frames=a.target_frames, sample_stride=a.stride, blur_rel_threshold=a.blur_threshold)
+    return api.run_ingest(spark, spark.read.parquet(a.frames), a.out, cfg, video=a.frames)
+
+
+def run_viz(spark, a):
+    return api.decimate(spark, a.src, a.out, a.tris)
+
+
 def main(argv: list[str] | None = None) -> dict | None:
     a = parser().parse_args(argv)
     if a.cmd == "reconstruct":
         print(api.RECONSTRUCT_HELP)
         return None
-    spark = get_session()
-    if a.cmd == "ingest":
-        cfg = IngestConfig(target_frames=a.target_frames, sample_stride=a.stride, blur_rel_threshold=a.blur_threshold)
-        out = api.run_ingest(spark, spark.read.parquet(a.frames), a.out, cfg, video=a.frames)
-    elif a.cmd == "fuse":
-        m = None
-        if a.donor_from_recon:
-            from lumenfold.functions.linalg import RECON_TO_CAPTURE
-
-            m = tuple((*row, 0.0) for row in RECON_TO_CAPTURE)
-        out = api.fuse_consensus(spark, a.backbone, a.donor, a.out, api.ConsensusConfig(tau=a.tau, poisson_depth=a.depth, donor_transform=m))
-    elif a.cmd == "benchmark":
-        return api.collate(spark, a.eval_dir, not a.no_markdown)
-    elif a.cmd == "viz":
-        out = api.decimate(spark, a.src, a.out, a.tris)
-    else:
-        out = api.export_for_sim(spark, a.mesh, a.out, a.splat, a.up, a.scene_json)
-    print(json.dumps(out, indent=2, default=str))
+    out = globals()[f"run_{a.cmd}"](get_session(), a)
+    if a.cmd != "benchmark":  # which prints its table
+        print(json.dumps(out, indent=2, default=str))
     return out
 
 

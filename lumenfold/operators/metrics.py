@@ -82,6 +82,12 @@ def error_summary(dist: DataFrame, column: str = "dist") -> DataFrame:
     return both.select((F.col("q")[0] * 100).alias("median_cm"), (F.col("mean") * 100).alias("mean_cm"), (F.col("q")[1] * 100).alias("p90_cm"))
 
 
+def observed_share(dist: DataFrame, margin: float, column: str = "dist") -> DataFrame:
+    """How many vertices are within ``margin`` of an observation, how many are not, and the share in percent."""
+    near = F.col(column) <= margin
+    return dist.agg(F.count_if(near).alias("observed"), F.count_if(~near).alias("unobserved"), (100 * F.avg(near.cast("int"))).alias("observed_pct"))
+
+
 def collate_table(metrics: DataFrame) -> list[dict]:
     """Rows of the comparison table in print order: scenes by name, then the total; methods by name.
     A table of scenes x methods, so small enough for the driver."""

@@ -71,14 +71,24 @@ def natural_spline(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.vander(at - t[0], 3) @ fit
     h = np.diff(t)
     slope = np.diff(y, axis=0) / h[:, None]
-    a, rhs = np.zeros((n, n)), np.zeros_like(y)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        rhs[i] = 6 * (slope[i] - slope[i - 1])
-    # The third derivative is continuous at the second and the last but one knot.
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, rhs)
+    # The third derivative is continuous at the second and the last but one knot; put into the second and last
+    # but one equation, that leaves three diagonals.
+    low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    rhs = 6 * np.diff(slope, axis=0)
+    mid[0] += h[0] + h[0] ** 2 / h[1]
+    up[0] -= h[0] ** 2 / h[1]
+    mid[-1] += h[-1] + h[-1] ** 2 / h[-2]
+    low[-1] -= h[-1] ** 2 / h[-2]
+    for k in range(1, n - 2):
+        f = low[k] / mid[k - 1]
+        mid[k] -= f * up[k - 1]
+        rhs[k] -= f * rhs[k - 1]
+    m = np.zeros_like(y)
+    m[n - 2] = rhs[-1] / mid[-1]
+    for k in range(n - 4, -1, -1):
+        m[k + 1] = (rhs[k] - up[k] * m[k + 2]) / mid[k]
+    m[0] = m[1] + (m[1] - m[2]) * h[0] / h[1]
+    m[-1] = m[-2] + (m[-2] - m[-3]) * h[-1] / h[-2]
     i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
     u, v, hh = (at - t[i])[:, None], (t[i + 1] - at)[:, None], h[i][:, None]
     return (m[i] * v**3 + m[i + 1] * u**3) / (6 * hh) + (y[i] / hh - m[i] * hh / 6) * v + (y[i + 1] / hh - m[i + 1] * hh / 6) * u
@@ -188,10 +198,11 @@ def interior_eyes(box: DataFrame, share: float = 0.45) -> DataFrame:
     )
 
 
-def goals(cells: DataFrame, centre: tuple[float, float], disc: float, n: int, seed: int = 0) -> DataFrame:
-    """``n`` goal cells in a seeded hash order, from the central disc if it has any, else from all."""
+def goals(cells: DataFrame, centre: tuple[float, float], disc: float, n: int, seed: int = 0, tries: int = 300) -> DataFrame:
+    """``n`` goal cells: of the first ``tries`` draws, cells in a seeded hash order, those in the central disc come
+    first; if they are fewer than ``n``, the other draws follow in order."""
     from .cloud import sample_exact
 
-    near = cells.where((F.col("x") - centre[0]) ** 2 + (F.col("y") - centre[1]) ** 2 <= disc * disc)
-    return sample_exact(cells if near.isEmpty() else near, n, "pid", seed)
-
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pid").cast("string")))
+    out = (F.col("x") - centre[0]) ** 2 + (F.col("y") - centre[1]) ** 2 > disc * disc
+    return sample_exact(cells, max(n, tries), "pid", seed).orderBy(out, draw, "pid").limit(n)

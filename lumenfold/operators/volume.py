@@ -27,6 +27,12 @@ def unproject(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
     return rows.select(*pixels.columns, *(w.alias(c) for w, c in zip(world, XYZ)))
 
 
+def fuse_views(pixels: DataFrame, cameras: DataFrame, near: float = 0.1, far: float = 8.0) -> DataFrame:
+    """World points of all views together: pixels whose ``mask`` (if there) holds and whose depth is in range."""
+    ok = pixels.where("mask") if "mask" in pixels.columns else pixels
+    return unproject(valid_depth(ok, near, far), cameras)
+
+
 def tsdf(points: DataFrame, voxel: float, trunc: float, colours=("r", "g", "b")) -> DataFrame:
     """Weighted mean truncated distance per voxel of rows ``x, y, z`` (surface), ``ox, oy, oz`` (camera) and
     ``weight``: each ray marks the voxels within ``trunc`` of its surface point, and all rays of a
@@ -53,16 +59,57 @@ def tsdf(points: DataFrame, voxel: float, trunc: float, colours=("r", "g", "b"))
     )
 
 
+CAMERAS = 2_000  # that travel in one broadcast row
+CELLS = 64  # of the longest extent, for pruning by frustum
+
+
 def project_points(points: DataFrame, cameras: DataFrame) -> DataFrame:
-    """``view, pid, u, v, depth`` of the points in front of each camera and inside its image. Cameras are one
-    array in one broadcast row, so a point meets them in its own task and nothing is shuffled; for more
-    cameras than that bound allows, run the operator on groups of cameras."""
+    """``view, pid, u, v, depth`` of the points in front of each camera and inside its image.
+
+    Cameras are counted. Up to ``CAMERAS`` they are one array in one broadcast row, so a point meets them in
+    its own task and nothing is shuffled. More go in such groups, and a group meets the occupied cells of
+    the cloud first: only points of cells that a frustum may touch meet that camera."""
     fields = ["view", "fx", "fy", "cx", "cy", "width", "height", "w2c"]
-    all_ = cameras.select(F.struct(*fields).alias("cam")).agg(F.collect_list("cam").alias("cams"))
-    rows = points.join(F.broadcast(all_), F.lit(True)).select("pid", *XYZ, F.explode("cams").alias("c"))
+    n = cameras.count()
+    if n <= CAMERAS:
+        all_ = cameras.select(F.struct(*fields).alias("cam")).agg(F.collect_list("cam").alias("cams"))
+        return _in_image(points.join(F.broadcast(all_), F.lit(True)).select("pid", *XYZ, F.explode("cams").alias("c")))
+    box = points.agg(*(f(c).alias(f"{k}{c}") for c in XYZ for f, k in ((F.min, "lo"), (F.max, "hi")))).first()
+    size = max((box[f"hi{c}"] or 0.0) - (box[f"lo{c}"] or 0.0) for c in XYZ) / CELLS or 1.0
+    cell = [F.floor(F.col(c) / F.lit(size)).cast("long").alias(f"__{c}") for c in XYZ]
+    keys = [f"__{c}" for c in XYZ]
+    held = points.select("pid", *XYZ, *cell)
+    cells = held.select(*keys).distinct()
+    groups = -(-n // CAMERAS)
+    numbered = cameras.select(F.struct(*fields).alias("cam"), F.pmod(F.xxhash64("view"), F.lit(groups)).alias("g"))
+    out = None
+    for g in range(groups):
+        cams = numbered.where(F.col("g") == g).agg(F.collect_list("cam").alias("cams"))
+        met = cells.join(F.broadcast(cams), F.lit(True)).select(*keys, F.explode("cams").alias("c")).where(_may_see([F.col(k) for k in keys], size))
+        part = _in_image(held.join(met, keys).select("pid", *XYZ, "c"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _camera_space(p: list[Column]) -> list[Column]:
     m = F.col("c.w2c")
-    cam = [m[i][0] * F.col("x") + m[i][1] * F.col("y") + m[i][2] * F.col("z") + m[i][3] for i in range(3)]
-    rows = rows.withColumns({"__x": cam[0], "__y": cam[1], "depth": cam[2]}).where("depth > 1e-9")
+    return [m[i][0] * p[0] + m[i][1] * p[1] + m[i][2] * p[2] + m[i][3] for i in range(3)]
+
+
+def _may_see(cell: list[Column], size: float) -> Column:
+    """Whether the ball around a cell reaches the inner side of the frustum's planes."""
+    x, y, z = _camera_space([(k + 0.5) * F.lit(size) for k in cell])
+    r = F.lit(size * 3**0.5 / 2 * (1 + 1e-9))
+    ok = z > -r
+    for p, f, c, w in ((x, "c.fx", "c.cx", "c.width"), (y, "c.fy", "c.cy", "c.height")):
+        f, c, far = F.col(f), F.col(c), F.col(w) - F.col(c)
+        ok &= (f * p + c * z >= -r * F.sqrt(f * f + c * c)) & (far * z - f * p >= -r * F.sqrt(f * f + far * far))
+    return ok
+
+
+def _in_image(rows: DataFrame) -> DataFrame:
+    x, y, z = _camera_space([F.col(c) for c in XYZ])
+    rows = rows.withColumns({"__x": x, "__y": y, "depth": z}).where("depth > 1e-9")
     u = F.col("c.fx") * F.col("__x") / F.col("depth") + F.col("c.cx")
     v = F.col("c.fy") * F.col("__y") / F.col("depth") + F.col("c.cy")
     rows = rows.withColumns({"u": u, "v": v})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,17 +14,25 @@ BROADCAST_ROWS = 500_000
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a fresh folder where it is unset, as in tests."""
+    """``spark.checkpoint.dir``. Only a local master may leave it unset and gets a fresh folder; elsewhere each
+    executor would write to a disk of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lumenfold_tables", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = spark._lumenfold_tables = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
     return path.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh path for files of one run."""
+    return f"{root(spark)}/lumenfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def table(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written once and read back: lineage ends here and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{root(spark)}/lumenfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

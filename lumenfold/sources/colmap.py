@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenfold import scratch
+
+from . import files
+
 # Fixed value: the pinhole model's number.
 PINHOLE = 1
 
@@ -40,45 +45,54 @@ def points_rows(points, views: tuple[int, int, int] = (1, 2, 3)) -> bytes:
     return a.tobytes()
 
 
+_HEAD = np.dtype(_POINT.descr[:5])
+
+
+def point_records(content: bytes, step: int = 100_000):
+    """(heads, track lengths) of a point file's records. Runs of records with equal tracks, as most are, are
+    read as arrays."""
+    n, at = struct.unpack_from("<Q", content)[0], 8
+    while n:
+        k = int(np.frombuffer(content, _HEAD, 1, at)["n"][0])
+        kind = np.dtype([("head", _HEAD), ("track", f"V{8 * k}")]) if k else np.dtype([("head", _HEAD)])
+        have = min(n, step, (len(content) - at) // kind.itemsize)
+        if have == 0:
+            return
+        a = np.frombuffer(content, kind, have, at)["head"]
+        same = a["n"] == k
+        have = have if same.all() else int(same.argmin())
+        yield a[:have], a["n"][:have].astype(np.int64)
+        n, at = n - have, at + have * kind.itemsize
+
+
 def write_model(folder: str, cameras: DataFrame, images: DataFrame, points: DataFrame) -> None:
-    """Three files in ``folder``. Points are streamed partition by partition in id order."""
-    import pandas as pd
-
-    cams = [r.asDict() for r in cameras.orderBy("camera_id").collect()]
-    imgs = [r.asDict() for r in images.orderBy("image_id").collect()]
-    with open(f"{folder}/cameras.bin", "wb") as f:
-        f.write(cameras_bytes(cams))
-    with open(f"{folder}/images.bin", "wb") as f:
-        f.write(images_bytes(imgs))
-    with open(f"{folder}/points3D.bin", "wb") as f:
-        f.write(struct.pack("<Q", 0))
-        n, buffer = 0, []
-        for row in points.select("pid", "x", "y", "z", "r", "g", "b").orderBy("pid").toLocalIterator(prefetchPartitions=True):
-            buffer.append(row.asDict())
-            if len(buffer) == 50_000:
-                f.write(points_rows(pd.DataFrame(buffer)))
-                n, buffer = n + len(buffer), []
-        f.write(points_rows(pd.DataFrame(buffer)))
-        n += len(buffer)
-        f.seek(0)
-        f.write(struct.pack("<Q", n))
-
-
-def _read(spark: SparkSession, path: str) -> bytes:
-    """A file through Spark's reader, so any store works; a model's camera and image lists are small."""
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    """Three files in ``folder`` of any store. Executors pack the points; the packed pieces pass through the
+    driver in id order, one at a time, into the one file that the format asks for."""
+    import pyarrow as pa
+
+    spark = points.sparkSession
+    files.write(spark, f"{folder}/cameras.bin", cameras_bytes([r.asDict() for r in cameras.orderBy("camera_id").collect()]))
+    files.write(spark, f"{folder}/images.bin", images_bytes([r.asDict() for r in images.orderBy("image_id").collect()]))
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([points_rows(batch.to_pandas())], pa.binary())], ["rows"])
+
+    rows = scratch.table(points.select("pid", "x", "y", "z", "r", "g", "b"), "points")
+    packed = rows.orderBy("pid").mapInArrow(pack, "rows binary").toLocalIterator(prefetchPartitions=True)
+    files.write(spark, f"{folder}/points3D.bin", itertools.chain([struct.pack("<Q", rows.count())], (bytes(r[0]) for r in packed)))
 
 
 def read_model(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``cameras``, ``images`` and ``points`` of a model folder."""
-    blob, at = _read(spark, f"{folder}/cameras.bin"), 8
+    blob, at = files.read(spark, f"{folder}/cameras.bin"), 8
     cams = []
     for _ in range(struct.unpack_from("<Q", blob)[0]):
         cid, model, w, h = struct.unpack_from("<IiQQ", blob, at)
         fx, fy, cx, cy = struct.unpack_from("<4d", blob, at + 24)
         cams.append((cid, model, w, h, fx, fy, cx, cy))
         at += 56
-    blob, at = _read(spark, f"{folder}/images.bin"), 8
+    blob, at = files.read(spark, f"{folder}/images.bin"), 8
     imgs = []
     for _ in range(struct.unpack_from("<Q", blob)[0]):
         iid, *qt, cid = struct.unpack_from("<I7dI", blob, at)
@@ -92,20 +106,16 @@ def read_model(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
     def points(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64(), *[pa.float64()] * 3, *[pa.int32()] * 3, pa.float64(), pa.int64()]
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                n, at, rows = struct.unpack_from("<Q", content)[0], 8, []
-                for _ in range(n):
-                    pid, x, y, z, r, g, b, err, k = struct.unpack_from("<Q3d3BdQ", content, at)
-                    at += 51 + 8 * k
-                    rows.append((pid - 1, x, y, z, r, g, b, err, k))
-                cols = list(zip(*rows)) if rows else [[]] * 9
-                kinds = [pa.int64(), *[pa.float64()] * 3, *[pa.int32()] * 3, pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["pid", "x", "y", "z", "r", "g", "b", "error", "track"])
-
-    files = spark.read.format("binaryFile").load(f"{folder}/points3D.bin").select("content")
+                for a, tracks in point_records(content):
+                    cols = [a["id"].astype(np.int64) - 1, *a["xyz"].T, *a["rgb"].astype(np.int32).T, a["err"], tracks]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), t) for c, t in zip(cols, kinds)], ["pid", "x", "y", "z", "r", "g", "b", "error", "track"])
+
+    stored = spark.read.format("binaryFile").load(f"{folder}/points3D.bin").select("content")
     return (
         spark.createDataFrame(cams, "camera_id long, model int, width long, height long, fx double, fy double, cx double, cy double"),
         spark.createDataFrame(imgs, "image_id long, q array<double>, t array<double>, camera_id long, name string"),
-        files.mapInArrow(points, "pid long, x double, y double, z double, r int, g int, b int, error double, track long"),
+        stored.mapInArrow(points, "pid long, x double, y double, z double, r int, g int, b int, error double, track long"),
     )

@@ -133,8 +133,9 @@ def test_fuse(spark, tmp_path):
     box_file(tmp_path / "a.ply")
     box_file(tmp_path / "b.ply", (0.5, 0, 0))
     d = api.fuse_consensus(spark, f"{tmp_path}/a.ply", f"{tmp_path}/b.ply", f"{tmp_path}/o.ply")
-    assert d["out_points"] == 16 and d["donor_gapfill_frac"] == 1.0
-    assert len(ply.parse((tmp_path / "o.ply").read_bytes())[0]["x"]) == 16
+    assert d["out_tris"] > 0 and d["donor_gapfill_frac"] == 1.0 and d["surface"] == "implicit grid"
+    made, faces = ply.parse((tmp_path / "o.ply").read_bytes())
+    assert len(faces) == d["out_tris"] and {"red", "green", "blue"} <= set(made) and faces.max() == len(made["x"]) - 1
     cfg = api.ConsensusConfig()
     assert cfg.tau > 0 and cfg.poisson_depth >= 8 and cfg.target_tris > 0
     moved = api.ConsensusConfig(donor_transform=((1.0, 0.0, 0.0, -0.5), (0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0)))
@@ -165,6 +166,15 @@ def test_decimate_and_export(spark, tmp_path, capsys):
     box_file(tmp_path / "a.ply")
     d = api.decimate(spark, f"{tmp_path}/a.ply", f"{tmp_path}/small.ply", 300)
     assert d["in_tris"] == d["out_tris"] == 12
+    for target in (5, 1):
+        assert api.decimate(spark, f"{tmp_path}/a.ply", f"{tmp_path}/small.ply", target)["out_tris"] <= target
+    colours = {"red": 0, "green": 0, "blue": 0}
+    flat = ply.mesh_bytes(np.eye(3), np.array([[0, 1, 2]]), np.full((3, 3), 0.5))
+    (tmp_path / "c.ply").write_bytes(flat)
+    api.decimate(spark, f"{tmp_path}/c.ply", f"{tmp_path}/c2.ply")
+    kept = ply.parse((tmp_path / "c2.ply").read_bytes())[0]
+    assert all((kept[c] == 127).all() for c in colours)
+    assert all((a == b).all() for a, b in zip(sinks.glb_arrays(sinks.glb_bytes(np.eye(3), np.array([[0, 1, 2]]))), (np.eye(3), [[0, 1, 2]])))
     out = cli.main(["embodied", "--mesh", f"{tmp_path}/a.ply", "--out", f"{tmp_path}/sim"])
     assert out["source_to_sim_R"] == [[1.0, 0.0, 0.0], [0.0, 0.0, -1.0], [0.0, 1.0, 0.0]]
     blob = (tmp_path / "sim" / "a.glb").read_bytes()
@@ -204,3 +214,7 @@ def test_other_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 3
     with pytest.raises(ValueError):
         sinks.mesh_arrays(v, t, 0)
+    with pytest.raises(ValueError):
+        sinks.mesh_arrays(v.where("vid < 2"), t)
+    with pytest.raises(ValueError):
+        sinks.mesh_arrays(v, t, 2)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenfold.functions import camera, color, linalg, names
-from lumenfold.operators import cloud, fit, frames, graph, image, mesh, metrics, nn, trajectory, volume
+from lumenfold.operators import cloud, fit, frames, graph, image, mesh, metrics, nn, surface, trajectory, volume
 
 SLOW = dict(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -441,3 +441,73 @@ def test_exact_sample_of_a_thinned_table(spark):
     got = [r.pid for r in cloud.sample_exact(rows, 300, seed=4).collect()]
     assert got == [r.pid for r in rows.orderBy(F.md5(F.concat_ws(":", F.lit("4"), F.col("pid").cast("string"))), "pid").limit(300).collect()]
     assert cloud.sample_exact(rows, 0).count() == 0 and cloud.sample_exact(rows.limit(5), 9).count() == 5
+
+
+def test_surface_of_a_sphere(spark):
+    rng = np.random.default_rng(0)
+    n = rng.normal(size=(1500, 3))
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    p = cloud_of(spark, n, **{f"n{c}": n[:, i] for i, c in enumerate("xyz")})
+    v, t = surface.fit_surface(p, 0.2)
+    r = v.select(F.sqrt(F.expr("x * x + y * y + z * z")).alias("r")).toPandas()["r"]
+    assert abs(r - 1).max() < 0.05 and v.agg(F.min("density")).first()[0] > 0
+    assert mesh.watertight(t).first()["watertight"]
+    faces = mesh.face_geometry(t, v)
+    assert abs(faces.agg(F.sum("area")).first()[0] - 4 * np.pi) < 0.5
+    out = faces.join(v.withColumnRenamed("vid", "a"), "a").agg(F.min(F.expr("nx * x + ny * y + nz * z"))).first()[0]
+    assert out > 0.8
+    assert 0.02 < surface.spacing(p) < 0.1
+
+
+def test_iso_surface_of_a_distance_volume(spark):
+    """A plane between voxel centres, on both sides of zero."""
+    rows = [(x, y, z, (z + 0.5) * 0.5 - 0.1 * x, 1.0) for x in range(-3, 4) for y in range(-3, 4) for z in range(-3, 4)]
+    nodes = spark.createDataFrame(rows, "ix long, iy long, iz long, value double, weight double")
+    v, t = surface.iso_surface(nodes, 0.5, 0.5)
+    err = v.select(F.abs(F.col("z") - 0.1 * (F.col("x") / 0.5 - 0.5)).alias("e")).agg(F.max("e")).first()[0]
+    assert err < 1e-9 and t.count() > 50
+    assert surface.iso_surface(nodes.where("ix > 100"), 0.5)[1].count() == 0
+    with pytest.raises(ValueError):
+        list(surface.cut_cubes(np.array([[1 << 20, 0, 0]]), np.array([[-1.0] + [1.0] * 7]), np.ones((1, 8)), 1.0))
+
+
+def test_spline_against_a_dense_solve():
+    """The banded elimination against the full system of the same conditions."""
+    rng = np.random.default_rng(4)
+    for n in (4, 5, 9, 40):
+        t = np.cumsum(rng.random(n) + 0.1)
+        y = rng.normal(size=(n, 3))
+        h, slope = np.diff(t), np.diff(y, axis=0) / np.diff(t)[:, None]
+        a, rhs = np.zeros((n, n)), np.zeros((n, 3))
+        for i in range(1, n - 1):
+            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            rhs[i] = 6 * (slope[i] - slope[i - 1])
+        a[0, :3], a[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
+        m = np.linalg.solve(a, rhs)
+        at = np.linspace(t[0], t[-1], 77)
+        i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
+        u, w, d = (at - t[i])[:, None], (t[i + 1] - at)[:, None], h[i][:, None]
+        want = (m[i] * w**3 + m[i + 1] * u**3) / (6 * d) + (y[i] / d - m[i] * d / 6) * w + (y[i + 1] / d - m[i + 1] * d / 6) * u
+        assert np.allclose(trajectory.natural_spline(t, y, at), want, atol=1e-9)
+
+
+def test_many_cameras_see_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    p = cloud_of(spark, rng.normal(size=(300, 3)))
+    cams = []
+    for k in range(25):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        cams.append((k, 20.0, 25.0, 15.0 + k % 3, 12.0, 32, 24, np.c_[q, rng.normal(size=3)].tolist()))
+    cameras = spark.createDataFrame(cams, "view int, fx double, fy double, cx double, cy double, width int, height int, w2c array<array<double>>")
+    want = sorted(map(tuple, volume.project_points(p, cameras).collect()))
+    monkeypatch.setattr(volume, "CAMERAS", 4)
+    assert sorted(map(tuple, volume.project_points(p, cameras).collect())) == want and len(want) > 500
+
+
+def test_bounded_draws_of_goals(spark):
+    cells = spark.createDataFrame([(i, float(i % 20), float(i // 20)) for i in range(400)], "pid long, x double, y double")
+    near = trajectory.goals(cells, (10.0, 10.0), 3.0, 4, seed=2)
+    assert near.count() == 4 and all((r.x - 10) ** 2 + (r.y - 10) ** 2 <= 9 for r in near.collect())
+    assert trajectory.goals(cells, (900.0, 900.0), 3.0, 4).count() == 4
+    few = trajectory.goals(cells, (10.0, 10.0), 1.0, 4, tries=8)  # of 8 draws fewer than 4 are inside
+    assert few.count() == 4
