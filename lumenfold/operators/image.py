@@ -104,3 +104,16 @@ def with_motion(scored: DataFrame) -> DataFrame:
 
     prev = F.lag("grey").over(W.partitionBy("video").orderBy("frame_idx"))
     return scored.withColumn("__prev", prev).withColumn("motion", difference("grey", "__prev")).drop("__prev", "grey")
+
+
+def with_similarity(pairs: DataFrame, width: int, a: str = "a", b: str = "b") -> DataFrame:
+    """Add ``ssim`` and ``loss`` of two images, arrays of rows of ``width`` values in 0 to 1."""
+
+    @F.pandas_udf("struct<ssim:double,loss:double>")
+    def both(x, y):
+        import pandas as pd
+
+        images = [(np.asarray(p, float).reshape(-1, width), np.asarray(q, float).reshape(-1, width)) for p, q in zip(x, y)]
+        return pd.DataFrame({"ssim": [ssim(p, q) for p, q in images], "loss": [photometric_loss(p, q) for p, q in images]})
+
+    return pairs.withColumn("__s", both(a, b)).select(*pairs.columns, "__s.ssim", "__s.loss")

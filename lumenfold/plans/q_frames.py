@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenfold.operators import frames as fr
-from lumenfold.operators import image
 
 from .tables import FRAMES_SQL, read
 from .tables import frames as clip
@@ -171,14 +170,6 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM_SQL = f"WITH {_STATS} SELECT video, i, round(motion, 6) AS motion, round(cum_motion, 4) AS cum_motion FROM c"
 
 
-def clip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels to keyframes on the synthetic clip."""
-    from lumenfold.sources.captures import synthetic_clip
-
-    scored = image.with_motion(image.score_frames(synthetic_clip(spark), proc_width=48))
-    return fr.select_keyframes(scored, fr.IngestConfig(target_frames=20)).select("video", "i", F.round("sharpness", 4).alias("sharpness"), F.round("motion", 4).alias("motion"), "selected", "reason")
-
-
 QUERIES = {
     "q01_frame_stats": frame_stats,
     "q02_keyframe_selection": keyframes,
@@ -187,7 +178,6 @@ QUERIES = {
     "q04_keyframe_fallback": fallback,
     "q29_pose_join": pose_join,
     "q32_stream_frame_stats": stream_stats,
-    "q33_clip_scoring": clip_scores,
 }
 ORACLE_SQL = {
     "q01_frame_stats": FRAME_STATS_SQL,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold import scratch
 from lumenfold.functions import color
-from lumenfold.operators import graph, mesh, nn
+from lumenfold.operators import graph, mesh, metrics, nn
 
 from .tables import PARTS_SQL, backbone, dist_sql, donor, points
 
@@ -202,15 +202,126 @@ def _cross_sql(i: int, j: int, k: str) -> str:
     return f"((b.{c[i]} - a.{c[i]}) * (c.{c[j]} - a.{c[j]}) - (b.{c[j]} - a.{c[j]}) * (c.{c[i]} - a.{c[i]})) AS n{k}"
 
 
-NORMALS_SQL = f"""
-WITH {_TRI},
+_VN = f"""
+{_TRI},
 f AS (SELECT t.a AS va, t.b AS vb, t.c AS vc, {_cross_sql(1, 2, "x")}, {_cross_sql(2, 0, "y")}, {_cross_sql(0, 1, "z")}
       FROM clean t JOIN p a ON a.pid = t.a JOIN p b ON b.pid = t.b JOIN p c ON c.pid = t.c),
 e AS (SELECT unnest([va, vb, vc]) AS pid, nx, ny, nz FROM f),
 s AS (SELECT pid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM e GROUP BY pid),
-u AS (SELECT pid, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM s)
-SELECT p.pid, round(coalesce(CASE WHEN l > 0 THEN u.nx / l ELSE 0 END, 0), 5) AS nx, round(coalesce(CASE WHEN l > 0 THEN u.ny / l ELSE 0 END, 0), 5) AS ny,
-       round(coalesce(CASE WHEN l > 0 THEN u.nz / l ELSE 0 END, 0), 5) AS nz FROM p LEFT JOIN u ON u.pid = p.pid
+u AS (SELECT pid, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM s),
+vn AS (SELECT p.pid, coalesce(CASE WHEN l > 0 THEN u.nx / l ELSE 0 END, 0) AS nx, coalesce(CASE WHEN l > 0 THEN u.ny / l ELSE 0 END, 0) AS ny,
+       coalesce(CASE WHEN l > 0 THEN u.nz / l ELSE 0 END, 0) AS nz, p.x, p.y, p.z FROM p LEFT JOIN u ON u.pid = p.pid)
+"""
+NORMALS_SQL = f"WITH {_VN} SELECT pid, round(nx, 5) AS nx, round(ny, 5) AS ny, round(nz, 5) AS nz FROM vn"
+
+
+def _mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t, v = _triangles(spark, sf_dir)
+    return scratch.table(mesh.clean_triangles(t), "clean"), v
+
+
+def back_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, v = _mesh(spark, sf_dir)
+    seen = mesh.cull_back_faces(t, mesh.vertex_normals(t, v.select("vid", "x", "y", "z")), (0.1, 0.2, 2.0))
+    return seen.select("tid", F.round("facing", 5).alias("facing"), F.round("shade", 5).alias("shade"))
+
+
+def _mean3(c: str) -> str:
+    return f"(a.{c} + b.{c} + c.{c}) / 3"
+
+
+BACK_FACE_SQL = f"""
+WITH {_VN},
+m AS (SELECT t.tid, {_mean3("nx")} AS nx, {_mean3("ny")} AS ny, {_mean3("nz")} AS nz, CAST(0.1 AS DOUBLE) - {_mean3("x")} AS ex, CAST(0.2 AS DOUBLE) - {_mean3("y")} AS ey, 2 - {_mean3("z")} AS ez
+      FROM clean t JOIN vn a ON a.pid = t.a JOIN vn b ON b.pid = t.b JOIN vn c ON c.pid = t.c),
+g AS (SELECT tid, (nx * ex + ny * ey + nz * ez) / greatest(sqrt(ex * ex + ey * ey + ez * ez), CAST(1e-9 AS DOUBLE)) AS facing FROM m)
+SELECT tid, round(facing, 5) AS facing, round(greatest(CAST(0.15 AS DOUBLE), least(1, facing)), 5) AS shade FROM g WHERE facing > 0
+"""
+
+
+def largest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles of the largest cluster by area and by count."""
+    t, v = _mesh(spark, sf_dir)
+    return (
+        mesh.largest_component(t, v, "area").select("tid", F.lit("area").alias("by"))
+        .unionByName(mesh.largest_component(t, v, "count").select("tid", F.lit("count").alias("by")))
+    )
+
+
+LARGEST_CLUSTER_SQL = f"""
+WITH RECURSIVE tri AS MATERIALIZED (SELECT * FROM (WITH {_TRI} SELECT clean.*, sqrt(cx * cx + cy * cy + cz * cz) / 2 AS area FROM clean JOIN (
+   SELECT t.tid AS k, {_cross_sql(1, 2, "x").replace("AS nx", "AS cx")}, {_cross_sql(2, 0, "y").replace("AS ny", "AS cy")}, {_cross_sql(0, 1, "z").replace("AS nz", "AS cz")}
+   FROM clean t JOIN p a ON a.pid = t.a JOIN p b ON b.pid = t.b JOIN p c ON c.pid = t.c) ON k = tid)),
+eg AS (SELECT tid, least(u, w) AS u, greatest(u, w) AS w FROM (SELECT tid, a AS u, b AS w FROM tri UNION ALL SELECT tid, b, c FROM tri UNION ALL SELECT tid, c, a FROM tri)),
+ad AS MATERIALIZED (SELECT DISTINCT x.tid AS s, y.tid AS t FROM eg x JOIN eg y ON x.u = y.u AND x.w = y.w AND x.tid <> y.tid),
+walk AS (SELECT tid AS s, tid AS t FROM tri UNION SELECT walk.s, ad.t FROM walk JOIN ad ON ad.s = walk.t),
+cc AS MATERIALIZED (SELECT s AS tid, min(t) AS component FROM walk GROUP BY s),
+sz AS (SELECT component, count(*) AS n, sum(area) AS area FROM cc JOIN tri USING (tid) GROUP BY component)
+SELECT tid, 'area' AS by FROM cc WHERE component = (SELECT component FROM sz ORDER BY area DESC, component LIMIT 1)
+UNION ALL SELECT tid, 'count' FROM cc WHERE component = (SELECT component FROM sz ORDER BY n DESC, component LIMIT 1)
+"""
+
+
+def trim_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles left by a density trim, and triangles whose vertices were put on a coarse lattice and merged."""
+    t, v = _mesh(spark, sf_dir)
+    trimmed, kept = mesh.trim_density(t, v.withColumn("density", F.col("r")), 0.1)
+    coarse = v.select("vid", *(F.round(c, 1).alias(c) for c in "xyz"))
+    merged, left = mesh.merge_duplicate_vertices(t, coarse)
+    return (
+        trimmed.select(F.lit("trim").alias("kind"), "tid", "a", "b", "c")
+        .unionByName(kept.select(F.lit("kept").alias("kind"), F.col("vid").alias("tid"), *(F.lit(0).cast("long").alias(k) for k in "abc")))
+        .unionByName(merged.select(F.lit("merge").alias("kind"), "tid", "a", "b", "c"))
+        .unionByName(left.select(F.lit("left").alias("kind"), F.col("vid").alias("tid"), *(F.lit(0).cast("long").alias(k) for k in "abc")))
+    )
+
+
+TRIM_MERGE_SQL = f"""
+WITH {_TRI},
+k AS (SELECT pid FROM p WHERE r >= (SELECT quantile_cont(r, 0.1) FROM p)),
+l AS (SELECT pid, round(x, 1) + 0 AS x, round(y, 1) + 0 AS y, round(z, 1) + 0 AS z FROM p),
+g AS (SELECT x, y, z, min(pid) AS t FROM l GROUP BY x, y, z),
+m AS (SELECT l.pid, g.t FROM l JOIN g ON g.x = l.x AND g.y = l.y AND g.z = l.z)
+SELECT 'trim' AS kind, tid, a, b, c FROM clean WHERE a IN (SELECT pid FROM k) AND b IN (SELECT pid FROM k) AND c IN (SELECT pid FROM k)
+UNION ALL SELECT 'kept', pid, 0, 0, 0 FROM k
+UNION ALL SELECT 'merge', tid, x.t, y.t, z.t FROM clean JOIN m x ON x.pid = a JOIN m y ON y.pid = b JOIN m z ON z.pid = c
+UNION ALL SELECT 'left', t, 0, 0, 0 FROM g
+"""
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of vertex clustering: cell means with colours, and the triangles that are left."""
+    t, v = _mesh(spark, sf_dir)
+    faces, cells = mesh.cluster_vertices(t, v.select("vid", *"xyz", *"rgb"), 0.2, (-1.0, -1.0, -1.0))
+    zero = [F.lit(0).cast("long").alias(k) for k in "abc"]
+    return (
+        cells.select(F.lit("v").alias("kind"), F.col("vid").alias("id"), *zero, *(F.round(c, 8).alias(c) for c in ("x", "y", "z", "r")))
+        .unionByName(faces.select(F.lit("t").alias("kind"), F.col("tid").alias("id"), "a", "b", "c", *(F.lit(0.0).alias(c) for c in ("x", "y", "z", "r"))))
+    )
+
+
+_CELL = ", ".join(f"CAST(floor(({c} + 1) / CAST(0.2 AS DOUBLE)) AS BIGINT) AS i{c}" for c in "xyz")
+CLUSTER_SQL = f"""
+WITH {_TRI},
+q AS (SELECT *, {_CELL} FROM p),
+g AS (SELECT ix, iy, iz, min(pid) AS t, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(r) AS r FROM q GROUP BY ix, iy, iz),
+m AS (SELECT q.pid, g.t FROM q JOIN g ON g.ix = q.ix AND g.iy = q.iy AND g.iz = q.iz),
+n AS (SELECT tid, x.t AS a, y.t AS b, z.t AS c FROM clean JOIN m x ON x.pid = a JOIN m y ON y.pid = b JOIN m z ON z.pid = c),
+o AS (SELECT *, row_number() OVER (PARTITION BY list_sort([a, b, c]) ORDER BY tid) AS rn FROM n WHERE a <> b AND b <> c AND c <> a)
+SELECT 'v' AS kind, t AS id, 0 AS a, 0 AS b, 0 AS c, round(x, 8) AS x, round(y, 8) AS y, round(z, 8) AS z, round(r, 8) AS r FROM g
+UNION ALL SELECT 't', tid, a, b, c, 0, 0, 0, 0 FROM o WHERE rn = 1
+"""
+
+
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = nn.nearest(donor(spark, sf_dir), backbone(spark, sf_dir))
+    return metrics.observed_share(d, 0.03).select("observed", "unobserved", F.round("observed_pct", 8).alias("observed_pct"))
+
+
+OBSERVED_SQL = f"""
+WITH {_NEAR}
+SELECT count(CASE WHEN dist <= CAST(0.03 AS DOUBLE) THEN 1 END) AS observed, count(CASE WHEN NOT dist <= CAST(0.03 AS DOUBLE) THEN 1 END) AS unobserved,
+       round(100 * avg(CASE WHEN dist <= CAST(0.03 AS DOUBLE) THEN 1 ELSE 0 END), 8) AS observed_pct FROM nn
 """
 
 QUERIES = {
@@ -225,6 +336,11 @@ QUERIES = {
     "q27b_largest_component": largest,
     "q28_mesh_clean": mesh_clean,
     "q28b_vertex_normals": vertex_normals,
+    "q28c_back_faces": back_faces,
+    "q28d_largest_cluster": largest_cluster,
+    "q28e_trim_and_merge": trim_and_merge,
+    "q28f_vertex_clustering": clustered,
+    "q13b_observed_share": observed,
 }
 ORACLE_SQL = {
     "q05_nn_distance": NN_SQL,
@@ -238,4 +354,9 @@ ORACLE_SQL = {
     "q27b_largest_component": LARGEST_SQL,
     "q28_mesh_clean": MESH_SQL,
     "q28b_vertex_normals": NORMALS_SQL,
+    "q28c_back_faces": BACK_FACE_SQL,
+    "q28d_largest_cluster": LARGEST_CLUSTER_SQL,
+    "q28e_trim_and_merge": TRIM_MERGE_SQL,
+    "q28f_vertex_clustering": CLUSTER_SQL,
+    "q13b_observed_share": OBSERVED_SQL,
 }
