@@ -3,10 +3,12 @@
 Points are rows ``pid, x, y, z``. Two strategies give the same result:
 
 * ``broadcast``: the reference side, if its counted size allows, is one NumPy array on each executor
-  and every batch of queries is scanned against it in blocks; nothing is shuffled.
+  and every batch of queries meets it there, through cells too once it has more than ``BRUTE`` points;
+  nothing is shuffled.
 * ``grid``: both sides are hashed to cubic cells and met cell by cell with their 27 neighbours, the
   cell doubling for queries that found nothing near enough, so an answer is exact when its distance
-  is at most the cell. The cell starts at the size that holds a few points on average.
+  is at most the cell. The cell starts at the size that holds a few points on average, halved while the
+  points are so uneven that the average point shares its cell with many.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from . import quantiles
 
 XYZ = ("x", "y", "z")
 PER_CELL = 8  # points of a cell that the first grid aims at
+BRUTE = 2_000  # points up to which the broadcast side is scanned whole
+PAIRS = 4_000_000  # distances held at once
 
 
 def _cells(size: float) -> list[Column]:
@@ -67,10 +71,15 @@ def _scan(q: DataFrame, p: DataFrame, k: int, skip_self: bool) -> DataFrame:
 
     def run(batches) -> Iterator:
         ids, pts = shared.value
+        cells = Cells(ids, pts, k + skip_self) if len(ids) > BRUTE else None
         for batch in batches:
             qid = batch.column(0).to_numpy(zero_copy_only=False)
             at = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], axis=1)
-            step = max(1, 4_000_000 // max(1, len(ids)))
+            if cells:
+                for q, rank, pid, dist in cells.nearest(qid, at, k, skip_self):
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[q]), pa.array(rank.astype(np.int32)), pa.array(pid), pa.array(dist)], ["qid", "rank", "pid", "dist"])
+                continue
+            step = max(1, PAIRS // max(1, len(ids)))
             for lo in range(0, len(qid), step):
                 a = at[lo : lo + step]
                 d = (a[:, None, 0] - pts[None, :, 0]) ** 2
@@ -105,6 +114,75 @@ def _scan(q: DataFrame, p: DataFrame, k: int, skip_self: bool) -> DataFrame:
     return q.mapInArrow(run, "qid long, rank int, pid long, dist double")
 
 
+class Cells:
+    """Points of one array in cubic cells: a query meets the 27 around it, and those that found nothing near
+    enough meet cells of twice the size."""
+
+    def __init__(self, ids: np.ndarray, pts: np.ndarray, per: int):
+        self.ids, self.pts = ids, pts
+        self.low = pts.min(axis=0)
+        self.span = float((pts.max(axis=0) - self.low).max()) or 1.0
+        self.size = max(self.span / max(1.0, (len(ids) / (PER_CELL * per)) ** (1 / 3)), self.span / (1 << 19))
+        # Uneven points: smaller cells while the average point has many around it.
+        while self.size > self.span / (1 << 12) and self.crowd(self.size) > 8 * PER_CELL * per:
+            self.size /= 2
+        self.levels: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+    def key(self, at: np.ndarray, size: float) -> np.ndarray:
+        """Cell numbers of places, clipped to one cell beyond the points' box."""
+        c = np.clip(np.floor((at - self.low) / size), -2, self.span / size + 2).astype(np.int64) + 2
+        return (c[:, 0] << 42) | (c[:, 1] << 21) | c[:, 2]
+
+    def crowd(self, size: float) -> float:
+        n = np.unique(self.key(self.pts, size), return_counts=True)[1]
+        return float((n.astype(float) ** 2).sum() / n.sum())
+
+    def sorted(self, size: float) -> tuple[np.ndarray, np.ndarray]:
+        if size not in self.levels:
+            key = self.key(self.pts, size)
+            order = np.argsort(key, kind="stable")
+            self.levels[size] = key[order], order
+        return self.levels[size]
+
+    def nearest(self, qid: np.ndarray, at: np.ndarray, k: int, skip_self: bool) -> Iterator:
+        """(query rows, ranks, ids, distances) of the ``k`` nearest of each query."""
+        left, size = np.arange(len(qid)), self.size
+        # From here on the 27 cells hold every point, whatever the query.
+        reach = max(self.span, float(np.abs(at - self.low).max(initial=0.0))) * 2 + self.span
+        while len(left):
+            whole = size >= reach
+            keys, order = self.sorted(size)
+            if whole:
+                start, end = np.zeros((1, len(left)), np.int64), np.full((1, len(left)), len(order))
+            else:
+                steps = [(x << 42) + (y << 21) + z for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+                own = self.key(at[left], size)
+                start, end = (np.stack([np.searchsorted(keys, own + s, side) for s in steps]) for side in ("left", "right"))
+            total = (end - start).sum(axis=0)
+            again = []
+            cut = np.cumsum(total) // PAIRS
+            for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(cut)) + 1):
+                n = (end - start)[:, part].T.ravel()
+                q = np.repeat(np.repeat(part, len(start)), n)
+                p = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[:, part].T.ravel(), n)]
+                if skip_self:
+                    other = self.ids[p] != qid[left[q]]
+                    q, p = q[other], p[other]
+                d = at[left[q]] - self.pts[p]
+                dist = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+                best = np.lexsort((self.ids[p], dist, q))
+                q, p, dist = q[best], p[best], dist[best]
+                rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+                q, p, dist, rank = (v[rank <= k] for v in (q, p, dist, rank))
+                sure = np.zeros(len(left), dtype=bool)
+                sure[q[(rank == k) & (dist <= size)]] = True
+                sure[part] |= whole
+                keep = sure[q]
+                yield left[q[keep]], rank[keep], self.ids[p[keep]], dist[keep]
+                again.append(left[part[~sure[part]]])
+            left, size = np.concatenate(again), size * 2
+
+
 def _rings(q: DataFrame, p: DataFrame, k: int, skip_self: bool) -> DataFrame:
     spark = q.sparkSession
     p, q = scratch.table(p, "points"), scratch.table(q, "queries")
@@ -116,6 +194,11 @@ def _rings(q: DataFrame, p: DataFrame, k: int, skip_self: bool) -> DataFrame:
     wide = span(box, reach) or 1.0
     size = (span(box) or 1.0) / max(1.0, (box["n"] / (PER_CELL * k)) ** (1 / 3))
     order = W.partitionBy("qid").orderBy("dist", "pid")
+    for _ in range(12):
+        crowd = p.groupBy(*(F.floor(F.col(f"p{c}") / F.lit(size)) for c in XYZ)).agg(F.count(F.lit(1)).cast("double").alias("n")).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("c")).first()["c"]
+        if crowd <= 8 * PER_CELL * k:
+            break
+        size /= 2
     named = lambda df, s, cell: df.withColumns({f"c{c}": F.floor(F.col(f"{s}{c}") / F.lit(cell)).cast("long") for c in XYZ})
     done, left = [], q
     while True:

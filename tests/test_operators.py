@@ -511,3 +511,44 @@ def test_bounded_draws_of_goals(spark):
     assert trajectory.goals(cells, (900.0, 900.0), 3.0, 4).count() == 4
     few = trajectory.goals(cells, (10.0, 10.0), 1.0, 4, tries=8)  # of 8 draws fewer than 4 are inside
     assert few.count() == 4
+
+
+@pytest.mark.parametrize("kind", ["even", "clusters", "copies", "line", "far"])
+def test_cells_of_a_broadcast_side(spark, monkeypatch, kind):
+    """Through cells as by the whole scan and by the shuffled grid, ties to the smaller id."""
+    rng = np.random.default_rng(3)
+    pts = {
+        "even": rng.random((600, 3)), "clusters": np.r_[rng.normal(size=(500, 3)) * 1e-3, rng.normal(size=(100, 3)) * 50], "copies": np.repeat(rng.random((60, 3)), 10, axis=0),
+        "line": np.c_[np.arange(600.0), np.zeros(600), np.zeros(600)], "far": rng.random((600, 3)) + 1e3,
+    }[kind]
+    q = np.r_[pts[:40], rng.normal(size=(20, 3)) * 10]
+    queries, points = cloud_of(spark, q), cloud_of(spark, pts)
+    for k, skip in ((1, False), (5, True)):
+        want = sorted(map(tuple, nn.k_nearest(queries, points, k, "broadcast", skip).collect()))
+        monkeypatch.setattr(nn, "BRUTE", 10)
+        monkeypatch.setattr(nn, "PAIRS", 3000)
+        assert sorted(map(tuple, nn.k_nearest(queries, points, k, "broadcast", skip).collect())) == want
+        monkeypatch.undo()
+        assert sorted(map(tuple, nn.k_nearest(queries, points, k, "grid", skip).collect())) == want and len(want) == 60 * k
+
+
+def test_components_finished_in_rounds_or_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(k, k + 1) for k in range(200, 260)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    want = {x: root(x) for x in parent}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for bound in (10**6, 15, 0):
+        monkeypatch.setattr(graph, "LOCAL_EDGES", bound)
+        assert {r.node: r.component for r in graph.components(df).collect()} == want
+    assert graph.components(df.limit(0)).count() == 0
