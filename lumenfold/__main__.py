@@ -24,6 +24,10 @@ COMMANDS = {
         "keyframes of a clip given as a table of frames",
         {"frames": {}, "--out": NEEDED, "--target-frames": {"type": int, "default": 60}, "--stride": {"type": int, "default": 1}, "--blur-threshold": {"type": float, "default": 0.6}},
     ),
+    "mesh": (
+        "surface of a point file",
+        {"--ply": NEEDED, "--out": NEEDED, "--density-quantile": {"type": float, "default": 0.04}, "--voxel": {"type": float, "default": 0.0}, "--target-tris": {"type": int, "default": 250_000}},
+    ),
     "reconstruct": ("what reconstruction needs", {}),
     "viz": ("mesh within a triangle budget", {"--in": NEEDED | {"dest": "src"}, "--out": NEEDED, "--tris": {"type": int, "default": 300_000}}),
 }
@@ -57,6 +61,10 @@ def run_ingest(spark, a):
     return api.run_ingest(spark, spark.read.parquet(a.frames), a.out, cfg, video=a.frames)
 
 
+def run_mesh(spark, a):
+    return api.mesh_points(spark, a.ply, a.out, a.density_quantile, a.voxel, a.target_tris)
+
+
 def run_viz(spark, a):
     return api.decimate(spark, a.src, a.out, a.tris)
 

@@ -85,13 +85,14 @@ def gravity_align(df: DataFrame, cameras: DataFrame, axis: str = "y") -> DataFra
     return cloud.floor_drop(out, axis)
 
 
-def estimate_normals(df: DataFrame, k: int = 30, strategy: str = "auto", toward: Sequence[float] | None = None) -> DataFrame:
+def estimate_normals(df: DataFrame, k: int = 30, strategy: str = "auto", toward: Sequence[float] | None = None, radius: float | None = None) -> DataFrame:
     """Points with ``nx, ny, nz``: the direction of least spread of the ``k`` nearest points (itself
-    included). Covariances are plain aggregates; only the 3 x 3 eigenvectors are NumPy. Signs look
+    included), of those within ``radius`` if that is given. Covariances are plain aggregates; only the 3 x 3 eigenvectors are NumPy. Signs look
     ``toward`` a place, or make the largest component positive."""
     import pyarrow as pa
 
-    near = nn.k_nearest(df, df, k, strategy).select("qid", "pid").join(df.select("pid", *XYZ), "pid")
+    near = nn.k_nearest(df, df, k, strategy)
+    near = (near if radius is None else near.where(F.col("dist") <= radius)).select("qid", "pid").join(df.select("pid", *XYZ), "pid")
     pairs = [(x, y) for i, x in enumerate(XYZ) for y in XYZ[i:]]
     cov = near.groupBy("qid").agg(*(F.covar_pop(x, y).alias(x + y) for x, y in pairs))
     rows = df.drop("nx", "ny", "nz").join(cov.withColumnRenamed("qid", "pid"), "pid")

@@ -11,30 +11,31 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUT = "video long, frame_idx long, i long, sharpness double, motion double, cum_motion double"
-STATE = "signal double, n long, cum double, last long"
+OUT = "video long, frame_idx long, i long, sharpness double, motion double, cum_motion double, late long"
+STATE = "signal double, n long, cum double, last long, late long"
 
 
 def score_stream(frames: DataFrame, fps_timeout_ms: int | None = None) -> DataFrame:
     """``frames`` has ``video, frame_idx, sharpness, signal``; frames of a batch are put in order, and frames
-    that are not after the last one seen are left out."""
+    that are not after the last one seen are not scored but counted: ``late`` is their number so far."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, parts, state: GroupState) -> Iterator:
         import pandas as pd
 
-        signal, n, cum, last = state.get if state.exists else (None, 0, 0.0, -1)
+        signal, n, cum, last, late = state.get if state.exists else (None, 0, 0.0, -1, 0)
         rows = pd.concat(list(parts)).sort_values("frame_idx", kind="stable")
         out = []
         for idx, sharp, value in rows[["frame_idx", "sharpness", "signal"]].itertuples(index=False):
             if idx <= last:
+                late += 1
                 continue
             motion = 0.0 if signal is None else abs(value - signal)
             cum += motion
-            out.append((key[0], int(idx), n, float(sharp), float(motion), float(cum)))
+            out.append((key[0], int(idx), n, float(sharp), float(motion), float(cum), late))
             signal, n, last = float(value), n + 1, int(idx)
-        state.update((signal, n, cum, last))
-        yield pd.DataFrame(out, columns=["video", "frame_idx", "i", "sharpness", "motion", "cum_motion"])
+        state.update((signal, n, cum, last, late))
+        yield pd.DataFrame(out, columns=["video", "frame_idx", "i", "sharpness", "motion", "cum_motion", "late"])
 
     src = frames.select(F.col("video").cast("long").alias("video"), F.col("frame_idx").cast("long").alias("frame_idx"), F.col("sharpness").cast("double").alias("sharpness"), F.col("signal").cast("double").alias("signal"))
     return src.groupBy("video").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -218,3 +218,19 @@ def test_other_sinks(spark, tmp_path):
         sinks.mesh_arrays(v.where("vid < 2"), t)
     with pytest.raises(ValueError):
         sinks.mesh_arrays(v, t, 2)
+
+
+def test_points_to_a_mesh(spark, tmp_path):
+    """A hollow ball of points becomes a mesh near it, through the command line."""
+    rng = np.random.default_rng(2)
+    n = rng.normal(size=(2500, 3))
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    kind = [(c, "<f4") for c in "xyz"]
+    a = np.zeros(len(n), dtype=kind)
+    for i, c in enumerate("xyz"):
+        a[c] = n[:, i]
+    (tmp_path / "p.ply").write_bytes(ply.header_of([(c, "float") for c in "xyz"], len(n), 0) + a.tobytes())
+    out = cli.main(["mesh", "--ply", f"{tmp_path}/p.ply", "--out", f"{tmp_path}/m.glb", "--voxel", "0.12", "--target-tris", "900"])
+    v, t = sinks.glb_arrays((tmp_path / "m.glb").read_bytes())
+    assert 100 < out["out_tris"] == len(t) <= 900 and out["thinned"] < 2500 and abs(np.linalg.norm(v, axis=1) - 1).max() < 0.15
+    assert spark.read.text(f"{tmp_path}/m.obj").where("value like 'f %'").count() == len(t)
