@@ -138,6 +138,10 @@ def _shape_kinds(value: str) -> int:
     return mask
 
 
+#: ``_shape_kinds`` of a value of so many digits and nothing else.
+_PLAIN_KINDS = [_shape_kinds("0" * n) for n in range(RUN_DIGITS[1] + 1)]
+
+
 def _word(text: str) -> str:
     """A word of a pattern: without case and with digits alike; a long one as its hash."""
     word = re.sub("[0-9]", "0", text.lower())
@@ -226,7 +230,7 @@ def run_occurrences(text: str, run: list[tuple[int, int]], around: Contexts) ->
     """Occurrences of what can be a number of two to ``RUN_GROUPS`` successive groups: the whole run with its
     patterns, its parts without."""
     out = []
-    digits = [re.sub("[^0-9]", "", text[a:b]) for a, b in run]
+    digits = [text[a:b] if b - a == 1 else re.sub("[^0-9]", "", text[a:b]) for a, b in run]
     for i in range(len(run) - 1):
         value = digits[i]
         for j in range(i + 1, min(len(run), i + RUN_GROUPS)):
@@ -235,7 +239,7 @@ def run_occurrences(text: str, run: list[tuple[int, int]], around: Contexts) ->
                 break
             if len(value) >= RUN_DIGITS[0]:
                 a, b = run[i][0], run[j][1]
-                out.append((a, b, value, -1, _shape_kinds(value), around.at(a, b) if j - i == len(run) - 1 else []))
+                out.append((a, b, value, -1, _PLAIN_KINDS[len(value)], around.at(a, b) if j - i == len(run) - 1 else []))
     return out
 
 
