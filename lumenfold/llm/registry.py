@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, lines, minhash, packing, pii, sharding, substring, toxicity
+from . import ann, bpe, decontam, langid, lines, minhash, packing, pii, resampling, sharding, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": ann.op8_nearest_neighbours,
     "op9_language_id": langid.op9_language_id,
     "op10_pii": pii.op10_pii,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_byte_bpe": bpe.op12_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_near_dedup": minhash.OP6_SQL,
     "op7_benchmark_decontamination": decontam.OP7_SQL,
     "op8_nearest_neighbours": ann.OP8_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
 }
