@@ -40,7 +40,12 @@ STEPS = 700
 BATCH = 64
 SEED = 11
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of ``text`` is a letter; numbers written as signs (², ½, ①) are none."""
+    return _LATIN.search(text) is not None or not text.isascii() and any(map(str.isalpha, text))
 
 
 def _alphabet() -> np.ndarray:
@@ -285,7 +290,7 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 texts = part.column(2).to_pylist()
-                ok = [k for k, t in enumerate(texts) if net and t and _LETTER.search(t)]
+                ok = [k for k, t in enumerate(texts) if net and t and has_letter(t)]
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
                 if ok:
                     p = np.exp(classify([texts[k].encode() for k in ok], tables))

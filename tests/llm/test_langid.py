@@ -140,3 +140,10 @@ def test_scripts_of_three_byte_letters_are_told_apart(spark):
     docs = frame(spark, texts, langs=langs)
     got = [r.lang_pred == langs[r.doc_id] for r in L.identify(docs, L.fit(docs)).collect() if r.held_out]
     assert len(got) > 30 and np.mean(got) > 0.97
+
+
+def test_number_signs_are_no_letters():
+    for text in ("²", "½ ①", "12 ³", "!?", "", "①" * 1000, "٣"):
+        assert not L.has_letter(text), text
+    for text in ("a", "² é", "①Z", "中", "ª"):
+        assert L.has_letter(text), text
