@@ -13,7 +13,8 @@ row per task; only runs known to repeat are joined back.
 
 Defined results: null text stays null and is untouched, as are texts shorter than a run; a document is
 an id with a text, so rows that share both are treated alike, and texts that share an id are documents of
-their own; a null id comes before all others; an empty table gives no rows; extra columns are ignored.
+their own; a null id comes before all others; an empty table gives no rows; extra columns are ignored. Texts and runs
+are told apart by hashes of 128 bits. A repeated passage of fewer than ``MIN_WORDS`` words, or ``RUN`` sentences, stays.
 """
 
 from __future__ import annotations
@@ -104,17 +105,35 @@ def runs(words: np.ndarray, run: int = RUN, min_words: int = MIN_WORDS) -> tuple
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def run_hashes(units: list[bytes], first: np.ndarray, last: np.ndarray, memo: WordHashes) -> np.ndarray:
-    """64-bit hashes of runs of units, from hashes of their white-space-normalised texts."""
-    h = np.fromiter(map(memo.__getitem__, units), dtype=np.uint64, count=len(units))
-    out = (last - first + 1).astype(np.uint64)
+_Q = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class UnitHashes(WordHashes):
+    """Memo of 128-bit hashes of units, as two numbers."""
+
+    def __missing__(self, unit: bytes) -> tuple[int, int]:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        h = xxhash.xxh3_128_intdigest(unit)
+        self[unit] = pair = (h >> 64, h & 0xFFFFFFFFFFFFFFFF)
+        return pair
+
+
+def run_hashes(units: list[bytes], first: np.ndarray, last: np.ndarray, memo: UnitHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of hash of each run of units, from two of their white-space-normalised texts; either word is made
+    from words of its own alone, so that runs agree in both by chance once in 2^128 pairs."""
+    h = np.array([memo[u] for u in units], dtype=np.uint64).reshape(-1, 2)
+    out = [(last - first + 1).astype(np.uint64) for _ in (0, 1)]
     step = 0
     live = np.arange(len(first))
     while len(live):
-        out[live] = mix64((out[live] ^ h[first[live] + step]) * _P + np.uint64(step))
+        for k, factor in enumerate((_P, _Q)):
+            out[k][live] = mix64((out[k][live] ^ h[first[live] + step, k]) * factor + np.uint64(step))
         step += 1
         live = live[first[live] + step <= last[live]]
-    return out
+    return out[0], out[1]
 
 
 def _normal(piece: str) -> bytes:
@@ -122,29 +141,28 @@ def _normal(piece: str) -> bytes:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, t`` (hash of the text) and ``text``: the first two tell documents apart."""
+    """``doc_id, t, u`` (two words of the text's hash) and ``text``: the first three tell documents apart."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("t"), text.alias("text"))
+    # The second word has another seed, the hash of the number before the text.
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u"), text.alias("text"))
 
 
 def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``h, doc_id, t, first, last``: every run of every document."""
+    """``h, g`` (two words of hash), ``doc_id, t, u, first, last``: every run of every document."""
 
     text_batches(docs.sparkSession)
     def go(batches) -> Iterator:
         import pyarrow as pa
 
-        memo = WordHashes()
+        memo = UnitHashes()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            hs, rows, fs, ls, held = [], [], [], [], 0
+            texts = batch.column(3).to_pylist()
+            held: list[list[np.ndarray]] = []
+            count = 0
 
             def flush():
-                own = pa.array(np.concatenate(rows))  # noqa: B023
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hs)), *(batch.column(i).take(own) for i in (0, 1)), *(pa.array(np.concatenate(c)) for c in (fs, ls))],  # noqa: B023
-                    ["h", "doc_id", "t", "first", "last"],
-                )
+                h, g, rows, fs, ls = (pa.array(np.concatenate(c)) for c in zip(*held))  # noqa: B023
+                return pa.RecordBatch.from_arrays([h, g, *(batch.column(i).take(rows) for i in range(3)), fs, ls], ["h", "g", "doc_id", "t", "u", "first", "last"])  # noqa: B023
 
             for row, text in enumerate(texts):
                 if not text:
@@ -153,36 +171,34 @@ def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> D
                 first, last = runs(np.array([u[2] for u in units], dtype=np.int64), run, min_words)
                 if len(first) == 0:
                     continue
-                h = run_hashes([_normal(text[a:b]) for a, b, _ in units], first, last, memo)
-                hs.append(h.view(np.int64))
-                rows.append(np.full(len(h), row))
-                fs.append(first.astype(np.int32))
-                ls.append(last.astype(np.int32))
-                held += len(h)
-                if held > 200_000:
+                h, g = run_hashes([_normal(text[a:b]) for a, b, _ in units], first, last, memo)
+                held.append([h.view(np.int64), g.view(np.int64), np.full(len(h), row), first.astype(np.int32), last.astype(np.int32)])
+                count += len(h)
+                if count > 200_000:
                     yield flush()
-                    hs, rows, fs, ls, held = [], [], [], [], 0
-            if held:
+                    held, count = [], 0
+            if count:
                 yield flush()
 
-    return _documents(docs).mapInArrow(tidied(go), "h long, doc_id long, t int, first int, last int")
+    return _documents(docs).mapInArrow(tidied(go), "h long, g long, doc_id long, t long, u long, first int, last int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, t, spans``: merged unit spans (end exclusive) that non-first occurrences cover."""
+    """``doc_id, t, u, spans``: merged unit spans (end exclusive) that non-first occurrences cover."""
     spans = materialize(span_table(docs), "spans")
-    # Counting needs no more than the hash. Written, so that the join shuffles both sides itself and adaptive
-    # execution can split a hot run; the same holds for the second join.
+    # Every run is shuffled twice: one word of its hash to count it, then all of it to those that repeat. Written, so
+    # that the join shuffles both sides itself and adaptive execution can split a hot run; the same holds for the
+    # second join. Both words count from here on.
     again = materialize(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
     places = materialize(spans.join(again, "h"), "places")
-    firsts = places.groupBy("h").agg(F.min(F.struct("doc_id", "t", "first")).alias("best"))
-    firsts = materialize(firsts.select("h", F.col("best.doc_id").alias("d0"), F.col("best.t").alias("t0"), F.col("best.first").alias("f0")), "firsts")
-    covered = places.join(firsts, "h").where("not (doc_id <=> d0 and t = t0 and first = f0)").select("doc_id", "t", "first", "last")
+    firsts = places.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "u", "first")).alias("best")).where("n > 1")
+    firsts = materialize(firsts.select("h", "g", *(F.col(f"best.{c}").alias(f"__{c}") for c in ("doc_id", "t", "u", "first"))), "firsts")
+    covered = places.join(firsts, ["h", "g"]).where("not (doc_id <=> __doc_id and t = __t and u = __u and first = __first)").select("doc_id", "t", "u", "first", "last")
     # Bounded by the document's own number of units.
-    grouped = covered.groupBy("doc_id", "t").agg(
+    grouped = covered.groupBy("doc_id", "t", "u").agg(
         F.array_sort(F.collect_set(F.struct("first", (F.col("last") + 1).alias("end")))).alias("spans")
     )
-    return grouped.mapInArrow(tidied(_merge), "doc_id long, t int, spans array<struct<first:int,end:int>>")
+    return grouped.mapInArrow(tidied(_merge), "doc_id long, t long, u long, spans array<struct<first:int,end:int>>")
 
 
 def _merge(batches) -> Iterator:
@@ -192,7 +208,7 @@ def _merge(batches) -> Iterator:
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         out = []
-        for spans in batch.column(2).to_pylist():
+        for spans in batch.column(3).to_pylist():
             row: list[dict] = []
             for s in spans:
                 if row and s["first"] <= row[-1]["end"]:
@@ -200,7 +216,7 @@ def _merge(batches) -> Iterator:
                 else:
                     row.append(dict(s))
             out.append(row)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["doc_id", "t", "spans"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, kind)], ["doc_id", "t", "u", "spans"])
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -208,11 +224,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     hits = materialize(repeated_spans(docs), "hits")
-    held = hits.agg(F.coalesce(F.sum(F.size("spans") + 3), F.lit(0))).first()[0]
+    held = hits.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0]
     if held <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
-    src, hits = _documents(docs), hits.withColumnsRenamed({"doc_id": "__d", "t": "__t"})
-    joined = src.join(hits, src["doc_id"].eqNullSafe(hits["__d"]) & (src["t"] == hits["__t"]), "left").select("doc_id", "text", "spans")
+    src, hits = _documents(docs), hits.withColumnsRenamed({c: f"__{c}" for c in ("doc_id", "t", "u")})
+    same = src["doc_id"].eqNullSafe(hits["__doc_id"]) & (src["t"] == hits["__t"]) & (src["u"] == hits["__u"])
+    joined = src.join(hits, same, "left").select("doc_id", "text", "spans")
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches) -> Iterator:

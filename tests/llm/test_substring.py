@@ -138,3 +138,36 @@ def test_texts_of_one_id_and_null_ids_are_documents(spark):
         by[r.doc_id].append(r)
     assert by[1][0].text == a and sorted(r.text for r in by[2]) == ["", ""]  # b stays in the row without an id, the first
     assert by[3][0].text == "" and {r.n_removed for r in by[None]} == {0}
+
+
+def test_texts_are_told_apart_by_more_than_32_bits(spark):
+    """Texts of one id, or of none, whose 32-bit hashes are the same: only what repeats goes."""
+    rng = random.Random(21)
+    base, seen, pair = prose(rng, 5), {}, None
+    tails = [f"{base} tail{n}" for n in range(150_000)]
+    hashes = spark.createDataFrame([(t,) for t in tails], "t string").selectExpr("t", "hash(t) as h").collect()
+    for r in hashes:
+        if r.h in seen:
+            pair = (seen[r.h], r.t)
+            break
+        seen[r.h] = r.t
+    assert pair, "no collision among the texts"
+    other = prose(rng, 6)
+    lone = {n: f"{prose(random.Random(100 + n), 6)} {n}" for n in range(3)}
+    for ids in ((1, 1), (None, None)):
+        rows = [(0, "head. " + pair[0]), (ids[0], pair[0]), (ids[1], other), *((None, t) for t in lone.values())]
+        out = {(r.doc_id, r.text) for r in S.dedup_substrings(frame(spark, rows)).collect()}
+        assert (ids[1], other) in out and {(None, t) for t in lone.values()} <= out
+        assert (ids[0], pair[0]) not in out or ids[0] is None
+    # Two texts with one hash of 32 bits share their runs but for the last: neither loses its own end.
+    out = [r.text for r in S.dedup_substrings(frame(spark, [(5, pair[0]), (5, pair[1])])).collect()]
+    assert any(t.endswith(pair[1].rsplit(" ", 1)[1]) for t in out) and any(t.endswith(pair[0].rsplit(" ", 1)[1]) for t in out)
+
+
+def test_run_hashes_have_two_words_of_their_own():
+    units = [f"unit {n}".encode() for n in range(40)]
+    first, last = np.arange(0, 30), np.arange(5, 35)
+    h, g = S.run_hashes(units, first, last, S.UnitHashes())
+    assert len(set(h.tolist())) == len(set(g.tolist())) == 30 and not set(h.tolist()) & set(g.tolist())
+    again = S.run_hashes(units[10:], first[:5], last[:5], S.UnitHashes(most=3))
+    assert (again[0] == h[10:15]).all() and (again[1] == g[10:15]).all()
