@@ -353,14 +353,19 @@ def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Documents that stand for their group; columns as given."""
+    """Documents that stand for their group; columns as given. Rows go, texts of a document that stays don't: rows
+    that share an id are one document, of which every distinct text stays, once. Of rows with the same id and
+    text the least in the other columns, as JSON, stays. Rows without an id are no copies of one another."""
     result = materialize(near_duplicates(docs), "near")
     drop = materialize(result.where("not kept").select("doc_id").distinct(), "drop")
     out = docs.join(maybe_broadcast(drop), "doc_id", "left_anti")
-    if not result.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        # Rows without an id are no copies of one another.
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    again = materialize(result.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.isEmpty():
+        ids = maybe_broadcast(again)
+        row, order = F.struct(*out.columns), F.to_json(F.struct(F.lit(0), *(c for c in out.columns if c not in ("doc_id", "text"))))
+        least = out.join(ids, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, order).alias("__row"))
+        out = out.join(ids, "doc_id", "left_anti").unionByName(least.select("__row.*"))
+    return out.select(*docs.columns)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import minhash as M
 from lumenfold.llm.common import WordHashes, connected_components
@@ -135,6 +136,22 @@ def test_rows_without_an_id_stay_beside_a_repeated_id(spark):
     assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == {(1, t): 1} | {(None, x): 1 for x in lone}
 
 
+def test_stage_keeps_every_text_of_a_kept_id(spark):
+    """Whatever the rows' order; of rows alike in id and text the least in the other columns stays."""
+    rng = random.Random(13)
+    x, y, z = (prose(rng, 7) for _ in range(3))
+    rows = [(7, x), (7, y), (7, x), (8, edit(rng, z, 1)), (3, z), (9, None), (9, ""), (9, y)]
+    want = {(7, x): 1, (7, y): 1, (3, z): 1, (9, None): 1, (9, ""): 1, (9, y): 1}
+    for order in (rows, rows[::-1]):
+        docs = frame(spark, order).withColumn("source", F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string")))
+        kept = M.keep_one_of_each_group(docs.coalesce(1))
+        assert kept.columns == docs.columns
+        kept = kept.collect()
+        assert collections.Counter((r.doc_id, r.text) for r in kept) == want
+        same = [d.source for d in docs.collect() if (d.doc_id, d.text) == (7, x)]
+        assert [r.source for r in kept if (r.doc_id, r.text) == (7, x)] == [min(same)]
+
+
 def test_different_texts_of_one_id_are_one_set(spark):
     """As in the SQL, a document's set is the union of its rows', in signature and confirmation alike."""
     rng = random.Random(12)
