@@ -24,6 +24,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import materialize, read, text_batches, tidied
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 MIN_SUPPORT = 3  # known distinct instances of a confident pattern
 PATTERN_CONFIDENCE = 0.6
 ACCEPT = 0.8
@@ -114,11 +114,11 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
 _TOKEN = re.compile(r"[^\s\"'<>\[\]{}|,;=]+")
 _BRACKETS = re.compile(r" ?([\"'<>\[\]{}|,;=]+)")
 _MARKED = re.compile("[0-9@]")
-_EDGE = ".,;:!?()"
+_EDGE, _HEX_EDGE = ".,;:!?()", ".,;!?()"
 _GROUP = re.compile(r"[0-9](?:[0-9().-]*[0-9])?")
 RUN_DIGITS = (7, 19)  # of a phone or card number
-RUN_GROUPS = 8  # with blanks between them, that a number can have
-LEAST = 5  # characters of a token that can be an identifier
+LEAST = 5  # characters from which a token counts as an instance of a pattern even if its form allows no kind
+HELD = 50_000  # occurrences in the memory of a task
 LONG = 64  # characters from which a word of a pattern is held as its hash
 
 
@@ -185,17 +185,18 @@ class Contexts:
         return out
 
 
-def occurrences(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int, int, str, int, int, list[str]]]:
-    """(start, end, value, seed kind or -1, mask of possible kinds, patterns) of every identifier, of
-    every other token of ``LEAST`` or more characters with a digit or an @, and of runs of digit groups and their parts."""
-    out, taken = [], []
+def occurrences(text: str, base: list[list[tuple[int, int]]]) -> Iterator[tuple[int, int, str, int, int, list[str]]]:
+    """(start, end, value, seed kind or -1, mask of possible kinds, patterns) of every identifier, of every other
+    token with a digit or an @ whose form allows a kind or that has ``LEAST`` characters, and of runs of digit groups
+    and their parts. """
+    taken = []
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     around = Contexts(text, tokens)
     seeds = sorted((a, b, k) for k, spans in enumerate(base) for a, b in spans)
     done = 0
     for n, (a, b, k) in enumerate(seeds):
         value = re.sub("[^0-9]", "", text[a:b]) if k >= 2 else text[a:b].lower()
-        out.append((a, b, value, k, 1 << k, around.at(a, b, min(done, a), seeds[n + 1][0] if n + 1 < len(seeds) else None)))
+        yield a, b, value, k, 1 << k, around.at(a, b, min(done, a), seeds[n + 1][0] if n + 1 < len(seeds) else None)
         taken.append((a, b))
         done = max(done, b)
     i = 0
@@ -210,37 +211,43 @@ def occurrences(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int,
             continue
         token = text[a:b]
         before = a
-        a += len(token) - len(token.lstrip(_EDGE))
-        token = token.strip(_EDGE)
+        edge = _EDGE
+        if "::" in token and (bare := token.strip(_HEX_EDGE)).startswith("::") | bare.endswith("::"):
+            edge = _HEX_EDGE  # two colons stand for a part of an address
+        a += len(token) - len(token.lstrip(edge))
+        token = token.strip(edge)
         group = _GROUP.fullmatch(token) is not None
         if not (group and run and before == blank + 1 and text[blank] == " " and text[before:a] in ("", "(")):
-            out += run_occurrences(text, run, around)
+            yield from run_occurrences(text, run, around)
             run = []
         if group:
             run.append((a, a + len(token)))
         blank = b if text[a + len(token) : b] in ("", ")") and b < len(text) else -1
-        if len(token) >= LEAST:
-            mask = _shape_kinds(token)
+        if (mask := _shape_kinds(token)) or len(token) >= LEAST:
             value = re.sub("[^0-9]", "", token) if mask & 12 and not mask & 2 else token.lower()
-            out.append((a, a + len(token), value, -1, mask, around.at(a, a + len(token))))
-    return out + run_occurrences(text, run, around)
-
-
-def run_occurrences(text: str, run: list[tuple[int, int]], around: Contexts) -> list[tuple[int, int, str, int, int, list[str]]]:
-    """Occurrences of what can be a number of two to ``RUN_GROUPS`` successive groups: the whole run with its
-    patterns, its parts without."""
-    out = []
-    digits = [text[a:b] if b - a == 1 else re.sub("[^0-9]", "", text[a:b]) for a, b in run]
-    for i in range(len(run) - 1):
-        value = digits[i]
-        for j in range(i + 1, min(len(run), i + RUN_GROUPS)):
-            value += digits[j]
-            if len(value) > RUN_DIGITS[1]:
+            yield a, a + len(token), value, -1, mask, around.at(a, a + len(token))
+    yield from run_occurrences(text, run, around)
+
+
+def run_occurrences(text: str, run: list[tuple[int, int]], around: Contexts) -> Iterator[tuple[int, int, str, int, int, list[str]]]:
+    """Occurrences of what can be a number of two or more successive groups, as many as the digits of a number can
+    make: the whole run with its patterns, its parts without."""
+    n = len(run)
+    if n < 2:
+        return
+    groups = [text[a:b] if b - a == 1 else re.sub("[^0-9]", "", text[a:b]) for a, b in run]
+    digits = "".join(groups)
+    edge = [0, *accumulate(map(len, groups))]  # of the groups in ``digits``
+    least, most = RUN_DIGITS
+    none: list[str] = []
+    for i, (a, _) in enumerate(run):
+        start = edge[i]
+        for j in range(max(i + 2, bisect_left(edge, start + least, i, min(n + 1, i + least + 1))), n + 1):
+            count = edge[j] - start
+            if count > most:
                 break
-            if len(value) >= RUN_DIGITS[0]:
-                a, b = run[i][0], run[j][1]
-                out.append((a, b, value, -1, _PLAIN_KINDS[len(value)], around.at(a, b) if j - i == len(run) - 1 else []))
-    return out
+            b = run[j - 1][1]
+            yield a, b, digits[start : edge[j]], -1, _PLAIN_KINDS[count], around.at(a, b) if j - i == n else none
 
 
 # ---------------------------------------------------------------- the operator
@@ -250,7 +257,8 @@ SCANNED = f"doc_id long, uid long, base array<array<struct<a:int,b:int>>>, occ a
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and occurrences of every whole text."""
+    """Base spans and occurrences of every whole text: a row with the base spans, and further ones without while
+    there are more than ``HELD`` occurrences."""
     import pyarrow as pa
 
     span = pa.struct([("a", pa.int32()), ("b", pa.int32())])
@@ -261,33 +269,51 @@ def scan(docs: DataFrame) -> DataFrame:
 
     text_batches(docs.sparkSession)
     def run(batches) -> Iterator:
+        def block(batch, rows, base, found):
+            own = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(own), batch.column(1).take(own), pa.array(base, pa.list_(pa.list_(span))), pa.array(found, pa.list_(occ))],
+                ["doc_id", "uid", "base", "occ"],
+            )
+
         for batch in batches:
-            base, found = [], []
-            for text in batch.column(2).to_pylist():
+            rows, base, found, held = [], [], [], 0
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 b = base_spans(text)
-                base.append([[{"a": x, "b": y} for x, y in k] for k in b])
                 interesting = text and (any(b) or "@" in text or _DIGIT.search(text))
-                found.append([dict(zip(names, o)) for o in occurrences(text, b)] if interesting else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(base, pa.list_(pa.list_(span))), pa.array(found, pa.list_(occ))],
-                ["doc_id", "uid", "base", "occ"],
-            )
+                every = iter(occurrences(text, b)) if interesting else iter(())
+                spans = [[{"a": x, "b": y} for x, y in k] for k in b]
+                for part in chain([list(islice(every, HELD))], iter(lambda: list(islice(every, HELD)), [])):  # noqa: B023
+                    rows.append(row)
+                    base.append(spans)
+                    found.append([dict(zip(names, o)) for o in part])
+                    spans, held = None, held + len(part)
+                    if held >= HELD:
+                        yield block(batch, rows, base, found)
+                        rows, base, found, held = [], [], [], 0
+            if rows:
+                yield block(batch, rows, base, found)
 
     text = F.col("text").cast("string")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("uid"), text.alias("text"))
     return src.mapInArrow(tidied(run), SCANNED)
 
 
-def bootstrap(occ: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, pattern_confidence: float = PATTERN_CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
+def bootstrap(occ: DataFrame, rounds: int | None = None, min_support: int = MIN_SUPPORT, pattern_confidence: float = PATTERN_CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
     """``i, kind`` of the known values, seeds or discovered by the graph's confident patterns, that occur in
     place of a base rule too. ``occ`` has a value hash ``i``, a seed kind, a mask of possible kinds and
-    patterns."""
+    patterns. Rounds go on, up to ``rounds`` if given, until one accepts nothing new: patterns depend on what is
+    accepted alone, and that only grows, so no further round could."""
     kinds = range(len(KINDS))
     edges = materialize(occ.select("i", F.explode("patterns").alias("pattern")).select("i", F.xxhash64("pattern").alias("p")).distinct(), "edges")
     start = occ.groupBy("i").agg(F.max("seed").alias("seed"), F.bit_or("mask").alias("mask"), (F.min("seed") < 0).alias("bare"))
     known = start.select("i", "seed", "mask", "bare", *(F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(f"c{k}") for k in kinds))
     known = materialize(known, "known")
-    for _ in range(rounds):
+    best = F.greatest(*(F.col(f"c{k}") for k in kinds))
+    accepted = known.where(best >= accept).count()
+    turn = 0
+    while rounds is None or turn < rounds:
+        turn += 1
         total = edges.join(known, "i").groupBy("p").agg(
             F.count(F.lit(1)).alias("n"), *(F.sum(F.when(F.col(f"c{k}") >= accept, 1).otherwise(0)).alias(f"s{k}") for k in kinds)
         )
@@ -307,7 +333,9 @@ def bootstrap(occ: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPO
             ),
             "known",
         )
-    best = F.greatest(*(F.col(f"c{k}") for k in kinds))
+        before, accepted = accepted, known.where(best >= accept).count()
+        if accepted == before:
+            break
     kind = F.coalesce(*(F.when(F.col(f"c{k}") == best, F.lit(k)) for k in kinds))
     return known.where(F.col("bare") & (best >= accept)).select("i", kind.alias("kind"))
 
@@ -324,15 +352,16 @@ def outermost(spans):
 def find_identifiers(docs: DataFrame) -> DataFrame:
     """``doc_id, base, extra``: spans of the base rules by kind, and those the bootstrap adds."""
     scanned = materialize(scan(docs), "scanned")
-    occ = scanned.select("uid", F.explode("occ").alias("o")).select("uid", "o.*")
+    occ = scanned.select("doc_id", "uid", F.explode("occ").alias("o")).select("doc_id", "uid", "o.*")
     occ = occ.withColumn("i", F.xxhash64("value"))
     found = materialize(bootstrap(occ), "found")
     extra = (
-        occ.where("seed < 0").join(found, "i").groupBy("uid").agg(F.collect_set(F.struct("kind", "start", "end")).alias("extra"))
+        occ.where("seed < 0").join(found, "i").groupBy("doc_id", "uid").agg(F.collect_set(F.struct("kind", "start", "end")).alias("extra"))
     )
     apart = F.udf(outermost, "array<struct<kind:int,start:int,end:int>>")
-    extra = materialize(extra.withColumn("extra", apart("extra")), "extra")
-    return scanned.select("doc_id", "uid", "base").join(extra, "uid", "left").select("doc_id", "base", "extra")
+    extra = materialize(extra.select(F.col("doc_id").alias("__doc_id"), F.col("uid").alias("__uid"), apart("extra").alias("extra")), "extra")
+    own = scanned.where("base is not null").select("doc_id", "uid", "base")
+    return own.join(extra, own["doc_id"].eqNullSafe(extra["__doc_id"]) & (own["uid"] == extra["__uid"]), "left").select("doc_id", "base", "extra")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
