@@ -13,8 +13,8 @@ row per task; only runs known to repeat are joined back.
 
 Defined results: null text stays null and is untouched, as are texts shorter than a run; a document is
 an id with a text, so rows that share both are treated alike, and texts that share an id are documents of
-their own; a null id comes before all others; an empty table gives no rows; extra columns are ignored. Texts and runs
-are told apart by hashes of 128 bits. A repeated passage of fewer than ``MIN_WORDS`` words, or ``RUN`` sentences, stays.
+their own; a null id comes before all others; an empty table gives no rows; extra columns are ignored. Texts of
+one id are told apart by hashes of 128 bits, runs by 96. A repeated passage of fewer than ``MIN_WORDS`` words, or ``RUN`` sentences, stays.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHashes, materialize, mix64, read, text_batches, tidied
+from .common import BROADCAST_ROWS, WordHashes, materialize, maybe_broadcast, mix64, read, text_batches, tidied
 
 RUN = 3
 MIN_WORDS = 16
@@ -109,46 +109,60 @@ _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class UnitHashes(WordHashes):
-    """Memo of 128-bit hashes of units, as two numbers."""
+    """Memo of 128-bit hashes of units, as bytes."""
 
-    def __missing__(self, unit: bytes) -> tuple[int, int]:
+    def __missing__(self, unit: bytes) -> bytes:
         import xxhash
 
         if len(self) >= self.most:
             self.clear()
-        h = xxhash.xxh3_128_intdigest(unit)
-        self[unit] = pair = (h >> 64, h & 0xFFFFFFFFFFFFFFFF)
-        return pair
+        self[unit] = h = xxhash.xxh3_128_digest(unit)
+        return h
 
 
 def run_hashes(units: list[bytes], first: np.ndarray, last: np.ndarray, memo: UnitHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Two words of hash of each run of units, from two of their white-space-normalised texts; either word is made
-    from words of its own alone, so that runs agree in both by chance once in 2^128 pairs."""
-    h = np.array([memo[u] for u in units], dtype=np.uint64).reshape(-1, 2)
-    out = [(last - first + 1).astype(np.uint64) for _ in (0, 1)]
+    """Hashes of 64 and of 32 bits of each run of units, each made from its own half of the hashes of their
+    white-space-normalised texts: runs agree in both by chance once in 2^96 pairs."""
+    h = np.frombuffer(b"".join(map(memo.__getitem__, units)), dtype="<u8").reshape(-1, 2)
+    own, other = np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
+    out, more = (last - first + 1).astype(np.uint64), np.zeros(len(first), np.uint64)
     step = 0
     live = np.arange(len(first))
     while len(live):
-        for k, factor in enumerate((_P, _Q)):
-            out[k][live] = mix64((out[k][live] ^ h[first[live] + step, k]) * factor + np.uint64(step))
+        at = first[live] + step
+        out[live] = mix64((out[live] ^ own[at]) * _P + np.uint64(step))
+        more[live] = (more[live] + other[at]) * _Q
         step += 1
         live = live[first[live] + step <= last[live]]
-    return out[0], out[1]
+    return out.view(np.int64), (more >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _normal(piece: str) -> bytes:
     return " ".join(piece.split()).encode()
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, t, u`` (two words of the text's hash) and ``text``: the first three tell documents apart."""
+def _shared_ids(docs: DataFrame) -> DataFrame:
+    """Ids that several rows have."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    return materialize(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared")
+
+
+def _documents(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """``doc_id, t, u`` and ``text``: the first three tell documents apart. ``t`` and ``u`` are two words of hash of the
+    text, and 0 where the id is one row's alone, so that they take no room in what is shuffled."""
     text = F.col("text").cast("string")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    alone = F.col("doc_id").isNotNull()
+    if not shared.isEmpty():
+        src = src.join(maybe_broadcast(shared.select(F.col("doc_id").alias("__shared"))), F.col("doc_id") == F.col("__shared"), "left")
+        alone &= F.col("__shared").isNull()
     # The second word has another seed, the hash of the number before the text.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u"), text.alias("text"))
+    words = (F.when(alone, 0).otherwise(w).cast("long") for w in (F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))
+    return src.select("doc_id", *(w.alias(c) for w, c in zip(words, "tu")), "text")
 
 
 def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``h, g`` (two words of hash), ``doc_id, t, u, first, last``: every run of every document."""
+    """``h, g`` (hash of 96 bits), ``doc_id, t, u, first, last``: every run of every of the ``_documents``."""
 
     text_batches(docs.sparkSession)
     def go(batches) -> Iterator:
@@ -172,7 +186,7 @@ def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> D
                 if len(first) == 0:
                     continue
                 h, g = run_hashes([_normal(text[a:b]) for a, b, _ in units], first, last, memo)
-                held.append([h.view(np.int64), g.view(np.int64), np.full(len(h), row), first.astype(np.int32), last.astype(np.int32)])
+                held.append([h, g, np.full(len(h), row), first.astype(np.int32), last.astype(np.int32)])
                 count += len(h)
                 if count > 200_000:
                     yield flush()
@@ -180,15 +194,15 @@ def span_table(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> D
             if count:
                 yield flush()
 
-    return _documents(docs).mapInArrow(tidied(go), "h long, g long, doc_id long, t long, u long, first int, last int")
+    return docs.mapInArrow(tidied(go), "h long, g int, doc_id long, t long, u long, first int, last int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, t, u, spans``: merged unit spans (end exclusive) that non-first occurrences cover."""
+    """``doc_id, t, u, spans`` of ``_documents``: merged unit spans (end exclusive) that non-first occurrences cover."""
     spans = materialize(span_table(docs), "spans")
-    # Every run is shuffled twice: one word of its hash to count it, then all of it to those that repeat. Written, so
+    # Every run is shuffled twice: most of its hash to count it, then all of it to those that repeat. Written, so
     # that the join shuffles both sides itself and adaptive execution can split a hot run; the same holds for the
-    # second join. Both words count from here on.
+    # second join. All of it counts from here on.
     again = materialize(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
     places = materialize(spans.join(again, "h"), "places")
     firsts = places.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "u", "first")).alias("best")).where("n > 1")
@@ -223,11 +237,12 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """``doc_id, n_units, n_removed, removed`` (character spans, end exclusive) and ``text`` without them."""
     import pyarrow as pa
 
-    hits = materialize(repeated_spans(docs), "hits")
+    src = _documents(docs, _shared_ids(docs))
+    hits = materialize(repeated_spans(src), "hits")
     held = hits.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0]
     if held <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
-    src, hits = _documents(docs), hits.withColumnsRenamed({c: f"__{c}" for c in ("doc_id", "t", "u")})
+    hits = hits.withColumnsRenamed({c: f"__{c}" for c in ("doc_id", "t", "u")})
     same = src["doc_id"].eqNullSafe(hits["__doc_id"]) & (src["t"] == hits["__t"]) & (src["u"] == hits["__u"])
     joined = src.join(hits, same, "left").select("doc_id", "text", "spans")
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -164,7 +164,7 @@ def test_texts_are_told_apart_by_more_than_32_bits(spark):
     assert any(t.endswith(pair[1].rsplit(" ", 1)[1]) for t in out) and any(t.endswith(pair[0].rsplit(" ", 1)[1]) for t in out)
 
 
-def test_run_hashes_have_two_words_of_their_own():
+def test_run_hashes_have_two_parts_of_their_own():
     units = [f"unit {n}".encode() for n in range(40)]
     first, last = np.arange(0, 30), np.arange(5, 35)
     h, g = S.run_hashes(units, first, last, S.UnitHashes())
