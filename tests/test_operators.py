@@ -22,19 +22,18 @@ def cloud_of(spark, xyz, first=0, **more):
 
 
 def choose(sharp, motion, target):
-    """Keyframes of one clip, restated on arrays."""
-    n = len(sharp)
-    target = max(1, min(target, n))
-    total = motion.sum()
-    if total > 1e-6 and target < n:
-        cum, half = np.cumsum(motion), max(1, int(0.5 * n / target))
-        out = set()
-        for k in range(target):
-            c = min(int(np.searchsorted(cum, (k + 0.5) * (total / target))), n - 1)
-            lo = max(0, c - half)
-            out.add(lo + int(np.argmax(sharp[lo : min(n, c + half + 1)])))
-        return out
-    return set(np.linspace(0, n - 1, target).astype(int).tolist())
+    """Keyframes of one clip from the rule: each slot of equal motion takes, of the frames around the first one whose
+    running motion reaches the slot's middle, the one that sorts first by falling sharpness and rising place."""
+    count = len(sharp)
+    wanted = min(max(target, 1), count)
+    if motion.sum() <= 1e-6 or wanted == count:
+        return set(np.linspace(0, count - 1, wanted).astype(int).tolist())
+    running = pd.Series(motion).cumsum()
+    middles = (pd.Series(range(wanted)) + 0.5) * (motion.sum() / wanted)
+    slots = pd.DataFrame({"slot": range(wanted), "centre": [min((running < m).sum(), count - 1) for m in middles]})
+    pairs = slots.merge(pd.DataFrame({"frame": range(count), "sharp": sharp}), how="cross")
+    near = pairs[(pairs["frame"] - pairs["centre"]).abs() <= max(1, count // (2 * wanted))]
+    return set(near.sort_values(["slot", "sharp", "frame"], ascending=[True, False, True]).groupby("slot")["frame"].first().tolist())
 
 
 @settings(**SLOW)
