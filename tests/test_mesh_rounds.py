@@ -141,6 +141,14 @@ def test_flat_sheet_keeps_its_border(spark):
     assert np.isclose(area, 25, rtol=0.02) and np.abs(v["z"]).max() < 1e-9
 
 
+def test_refused_edges_wait_where_not_every_edge_is_asked(spark, monkeypatch):
+    """With the bound for few edges at 0: chosen edges alone are asked, and the refused ones wait."""
+    monkeypatch.setattr(collapse, "FEW", 0)
+    vertices, triangles = mesh_of(spark, *sphere(5, 6))
+    small, _ = collapse.collapse_edges(triangles, vertices, 40)
+    assert 37 < small.count() <= 40 and mesh.watertight(small).first()["watertight"]
+
+
 def test_budgets(spark):
     vertices, triangles = mesh_of(spark, *sheet(4))
     for target in (0, 18, 100):
