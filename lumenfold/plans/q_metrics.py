@@ -40,25 +40,26 @@ SELECT scene, method, count(*) AS files, count(k) AS parsed, round(avg(k), 6) AS
 """
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _facts(spark: SparkSession, sf_dir: str, scene: str = "l_returnflag", method: str = "l_linestatus") -> DataFrame:
     """Scene and method means of line items in the role of metric files; one cell lacks a metric."""
-    cells = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("scene"), F.col("l_linestatus").alias("method")).agg(
+    cells = read(spark, sf_dir, "lineitem").groupBy(F.expr(scene).alias("scene"), F.expr(method).alias("method")).agg(
         F.avg(F.col("l_discount") / 10).alias("Acc"), F.avg(F.col("l_tax") / 10).alias("Comp"), F.avg((F.col("l_discount") + F.col("l_tax")) / 20).alias("C-L1"),
         F.avg(F.col("l_quantity") / 50).alias("NC"), F.avg(F.col("l_extendedprice") / 110000).alias("F-score"),
     )
     long = cells.unpivot(["scene", "method"], ["Acc", "Comp", "C-L1", "NC", "F-score"], "metric", "value")
-    return long.where("not (scene = 'A' and method = 'O' and metric = 'NC')")
+    return long.where("not (scene in ('A', 's1') and method in ('O', 'm1') and metric = 'NC')")
 
 
-_FACTS = """
+def _facts_sql(scene: str, method: str) -> str:
+    return f"""
 cells AS (
-  SELECT l_returnflag AS scene, l_linestatus AS method, avg(l_discount / 10) AS "Acc", avg(l_tax / 10) AS "Comp",
+  SELECT {scene} AS scene, {method} AS method, avg(l_discount / 10) AS "Acc", avg(l_tax / 10) AS "Comp",
          avg((l_discount + l_tax) / 20) AS "C-L1", avg(l_quantity / 50) AS "NC", avg(l_extendedprice / 110000) AS "F-score"
   FROM lineitem GROUP BY 1, 2
 ),
 long AS (
   SELECT * FROM (UNPIVOT cells ON "Acc", "Comp", "C-L1", "NC", "F-score" INTO NAME metric VALUE value)
-  WHERE NOT (scene = 'A' AND method = 'O' AND metric = 'NC')
+  WHERE NOT (scene IN ('A', 's1') AND method IN ('O', 'm1') AND metric = 'NC')
 ),
 d AS (SELECT * FROM (VALUES ('Acc', 100.0, false), ('Comp', 100.0, false), ('C-L1', 100.0, false), ('NC', 1.0, true), ('F-score', 1.0, true)) t(metric, scale, higher)),
 allm AS (
@@ -70,6 +71,9 @@ allm AS (
 """
 
 
+_FACTS = _facts_sql("l_returnflag", "l_linestatus")
+
+
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metrics.in_display_units(metrics.macro_average(_facts(spark, sf_dir)))
     return m.select("scene", "method", "metric", F.round("shown", 6).alias("shown"), "is_total")

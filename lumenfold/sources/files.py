@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK = 1 << 24
 
@@ -32,6 +34,38 @@ def write(spark: SparkSession, path: str, data: bytes | str | Iterable[bytes]) -
     return size
 
 
+def write_many(documents: DataFrame, folder: str) -> int:
+    """One file under ``folder`` for each row of ``name`` (a relative path) and ``content`` (text or bytes), written by
+    the tasks that hold the rows. Each appears under its name at once and whole, so a task that runs again leaves the
+    same. Returns their number. ``folder`` is a path or URI of a store that all executors reach."""
+    root = folder.rstrip("/")
+    root = re.sub("^file:/+", "/", root) if root.startswith("file:") else root
+
+    def run(batches) -> Iterator:
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        made, n = set(), 0
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parent, _, last = f"{base}/{name}".rpartition("/")
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                hidden = f"{parent}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden) as out:
+                    out.write(content)
+                store.move(hidden, f"{parent}/{last}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows = documents.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read(spark: SparkSession, path: str) -> bytes:
     """A bounded file as a whole."""
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])

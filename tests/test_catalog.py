@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("region", "nation", "orders", "lineitem", "events", "embeddings"):
+    for t in ("region", "nation", "supplier", "orders", "lineitem", "events", "embeddings"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 

@@ -234,3 +234,32 @@ def test_points_to_a_mesh(spark, tmp_path):
     v, t = sinks.glb_arrays((tmp_path / "m.glb").read_bytes())
     assert 100 < out["out_tris"] == len(t) <= 900 and out["thinned"] < 2500 and abs(np.linalg.norm(v, axis=1) - 1).max() < 0.15
     assert spark.read.text(f"{tmp_path}/m.obj").where("value like 'f %'").count() == len(t)
+
+
+def test_files_written_by_tasks_and_read_by_pattern(spark, tmp_path):
+    """Names hold, whole contents too, again and in deep folders; readers keep captures apart."""
+    from lumenfold.sources import files
+
+    rows = [(f"c{k}/deep/frame_{n:04d}.jpg", bytes([k, n, 255])) for k in range(3) for n in range(k + 1)]
+    rows += [(f"c{k}/report.json", f'{{"frames": [{{"index": {10 * k + 4}, "selected": true}}, {{"index": {10 * k}, "selected": true}}, {{"index": 1, "selected": false}}]}}'.encode()) for k in range(3)]
+    df = spark.createDataFrame(rows, "name string, content binary")
+    for _ in range(2):
+        assert files.write_many(df.repartition(4), f"file://{tmp_path}/many") == len(rows)
+    found = sorted(str(p.relative_to(tmp_path / "many")) for p in (tmp_path / "many").rglob("*") if p.is_file())
+    assert found == sorted(n for n, _ in rows) and (tmp_path / "many" / "c2" / "deep" / "frame_0001.jpg").read_bytes() == bytes([2, 1, 255])
+    assert files.write_many(df.limit(0), f"{tmp_path}/none") == 0
+    images = captures.image_files(spark, f"{tmp_path}/many/*/deep", True)
+    assert {(r.capture, r["count"]) for r in images.groupBy("capture").count().collect()} == {("c0", 1), ("c1", 2), ("c2", 3)}
+    order = captures.keyframe_sources(spark, f"{tmp_path}/many/*/report.json", True).collect()
+    assert {(r.capture, r.ordinal, r["index"]) for r in order} == {(f"c{k}", n, 10 * k + 4 * n) for k in range(3) for n in range(2)}
+
+
+def test_camera_documents_by_capture(spark, tmp_path):
+    from lumenfold.sources import files
+
+    eye = [[1.0, 0.0, 0.0, 0.0]] * 4
+    cams = spark.createDataFrame([(c, n, f"{c}{n}", eye[:3], eye) for c in "ab" for n in (2, 0, 1)], "capture string, view_id int, image string, K array<array<double>>, c2w array<array<double>>")
+    docs = sinks.camera_documents(cams)
+    files.write_many(docs.selectExpr("concat(capture, '/cameras.json') as name", "value as content"), str(tmp_path))
+    got = {(r.capture, r.view_id): (r.image, r.c2w) for r in captures.cameras(spark, f"{tmp_path}/*/cameras.json", True).collect()}
+    assert got == {(c, n): (f"{c}{n}", eye) for c in "ab" for n in range(3)}
