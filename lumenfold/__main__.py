@@ -21,8 +21,8 @@ COMMANDS = {
         {"--backbone": NEEDED, "--donor": NEEDED, "--out": NEEDED, "--tau": {"type": float, "default": 0.05}, "--depth": {"type": int, "default": 11}, "--donor-from-recon": FLAG},
     ),
     "ingest": (
-        "keyframes of a clip given as a table of frames",
-        {"frames": {}, "--out": NEEDED, "--target-frames": {"type": int, "default": 60}, "--stride": {"type": int, "default": 1}, "--blur-threshold": {"type": float, "default": 0.6}},
+        "keyframes of a clip given as a table of frames, or with --images as a folder of frame images",
+        {"frames": {}, "--out": NEEDED, "--images": FLAG, "--target-frames": {"type": int, "default": 60}, "--stride": {"type": int, "default": 1}, "--blur-threshold": {"type": float, "default": 0.6}},
     ),
     "mesh": (
         "surface of a point file",
@@ -58,7 +58,7 @@ def run_fuse(spark, a):
 
 def run_ingest(spark, a):
     cfg = IngestConfig(target_frames=a.target_frames, sample_stride=a.stride, blur_rel_threshold=a.blur_threshold)
-    return api.run_ingest(spark, spark.read.parquet(a.frames), a.out, cfg, video=a.frames)
+    return api.run_ingest(spark, a.frames if a.images else spark.read.parquet(a.frames), a.out, cfg, video=a.frames)
 
 
 def run_mesh(spark, a):
