@@ -30,6 +30,7 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, WordHashes, connected_components, materialize, maybe_broadcast, mix64, read, text_batches, text_bytes, tidied
@@ -172,9 +173,40 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return joined.mapInArrow(tidied(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, far: int = FAR) -> DataFrame:
+def prefix_keys(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``node, key`` by which all pairs of at least ``percent`` similarity meet, without signatures: of sets A and B
+    that are that similar at least that share of A is in B, so with all shingles in one order, the rarest first,
+    a common one is among the first |A| - ceil(percent |A|) + 1 of A, and likewise of B. Every shingle is shuffled."""
+    text_batches(docs.sparkSession)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        memo = WordHashes()
+        for batch in batches:
+            for row, text in enumerate(text_bytes(batch.column(1))):
+                h = shingle_hashes(text, memo).view(np.int64)
+                own = batch.column(0).slice(row, 1)
+                for lo in range(0, len(h), 100_000):
+                    part = h[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(np.zeros(len(part), np.int64))), pa.array(part)], ["node", "key"])
+
+    texts = _texts(docs, nodes.select(F.col("node").alias("doc_id")))
+    held = materialize(texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(tidied(run), "node long, key long"), "shingles")
+    often = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "often")
+    # A shingle of one document alone links nothing, but has its place in the order.
+    order = W.partitionBy("node").orderBy("n", "key")
+    placed = held.join(often, "key").withColumn("at", F.row_number().over(order)).join(nodes.select("node", "size"), "node")
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return placed.where((F.col("at") <= first) & (F.col("n") > 1)).select("node", "key")
+
+
+def near_duplicates(docs: DataFrame, far: int = FAR, exact: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``. With ``far=COMPONENTS`` every pair that
-    shares an index key is confirmed, however far its signatures."""
+    shares an index key is confirmed, however far its signatures. ``exact`` finds candidates by ``prefix_keys`` in place
+    of the signatures, so that no link can be missed; it shuffles many times as much."""
+    if exact:
+        far = COMPONENTS
     rows, docs = _one_set_each(materialize(signatures(docs), "signatures"), _bytes(docs))
     # Equal sets are one class; an id has one set and so is in one class.
     classes = (
@@ -185,12 +217,13 @@ def near_duplicates(docs: DataFrame, far: int = FAR) -> DataFrame:
     classes = materialize(classes, "classes")
     nodes = classes.select("node", "size", "sig")
     # Each bucket's members next to its least one, its hub.
-    shares = materialize(_hubs(nodes), "shares")
+    keys = prefix_keys(docs, nodes) if exact else nodes.select("node", F.explode(F.array(*chunk_keys())).alias("key"))
+    shares = materialize(_hubs(keys), "shares")
 
     # First members against their hubs, then what is still apart around a hub.
     pairs = shares.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     first = connected_components(confirm(close_pairs(pairs, nodes, far), docs))
-    later = materialize(_links_apart(shares, first, nodes, docs, far), "apart")
+    later = materialize(_links_apart(shares, first, nodes, docs, far, keyed=not exact), "apart")
     whole = _joined_further(first, later)
 
     # A class goes where its node, its least id, goes.
@@ -215,11 +248,10 @@ def _joined_further(first: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(new), "components")
 
 
-def _hubs(nodes: DataFrame) -> DataFrame:
+def _hubs(keys: DataFrame) -> DataFrame:
     """Distinct (hub, node) over the buckets that two or more nodes share, the hub being the bucket's
     least node and among its own. Keys are counted with a combine before the shuffle and only
     shared ones are joined back."""
-    keys = nodes.select("node", F.explode(F.array(*chunk_keys())).alias("key"))
     many = (
         keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("key", "hub")
     )
@@ -234,10 +266,10 @@ def _agreeing() -> np.ndarray:
     return (bits.sum(axis=2) >= WIDTH - ERRORS).any(axis=1)
 
 
-def link_group(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray, texts, left: np.ndarray, right: np.ndarray, far: int, percent: int, memo: WordHashes):
+def link_group(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray, texts, left: np.ndarray, right: np.ndarray, far: int, percent: int, memo: WordHashes, keyed: bool = True):
     """Confirmed links between members ``left`` and ``right`` (row numbers) around one hub, but none
-    between members that are connected already. Looked at are pairs that share an index key, are at
-    most ``far`` apart and have sizes that allow the similarity."""
+    between members that are connected already. Looked at are pairs that share an index key of their signatures
+    (unless not ``keyed``), are at most ``far`` apart and have sizes that allow the similarity."""
     comp = comp.copy()
     table = _agreeing()
     sets: dict[int, np.ndarray] = {}
@@ -257,7 +289,7 @@ def link_group(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.nda
         same = sig[cand] == sig[p]
         near = COMPONENTS - same.sum(axis=1) <= far
         cand, same = cand[near], same[near]
-        cand = cand[table[np.packbits(same, axis=1)].any(axis=1)]
+        cand = cand[table[np.packbits(same, axis=1)].any(axis=1)] if keyed else cand
         if len(cand) == 0:
             continue
         own = shingles(p)
@@ -278,7 +310,7 @@ def link_group(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.nda
     return out
 
 
-def _links_apart(shares: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, far: int = FAR, percent: int = PERCENT) -> DataFrame:
+def _links_apart(shares: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, far: int = FAR, percent: int = PERCENT, keyed: bool = True) -> DataFrame:
     """Links between different components around the hubs. What shares a hub is cut into hash blocks of
     bounded size and each pair of blocks is one group; several small hubs make one group. A group
     reports at most one link less than members."""
@@ -317,7 +349,7 @@ def _links_apart(shares: DataFrame, found: DataFrame, nodes: DataFrame, docs: Da
         for a, b in zip(edges[:-1], edges[1:]):
             if len(np.unique(comp[a:b])) > 1:
                 left, right = np.flatnonzero(own[a:b] == i), np.flatnonzero(own[a:b] == j)
-                out += link_group(node[a:b], comp[a:b], size[a:b], sig[a:b], text[a:b], left, right, far, percent, memo)
+                out += link_group(node[a:b], comp[a:b], size[a:b], sig[a:b], text[a:b], left, right, far, percent, memo, keyed)
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return rows.groupBy("g", "i", "j").applyInArrow(run, "a long, b long")

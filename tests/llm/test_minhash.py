@@ -233,3 +233,46 @@ def test_batch_settings_are_put_back(spark):
     finally:
         common.restore_batches(spark)
     assert {k: spark.conf.get(k) for k in before} == before
+
+
+def test_exact_candidates_against_all_pairs(spark, monkeypatch):
+    """Pairs at and around the bound, with the signatures' keys made useless: the prefix order alone finds all."""
+    rng = random.Random(31)
+    texts = {}
+    for i in range(0, 300, 3):
+        t = prose(rng, rng.randrange(1, 7))
+        words = t.split()
+        texts |= {i: t, i + 1: edit(rng, t, rng.randrange(1, 4)), i + 2: " ".join(words[: max(1, int(len(words) * rng.uniform(0.7, 0.9)))])}
+    texts |= {1000: None, 1001: "", 1002: "a b c", 1003: "A b c", 1004: "a b c d"}
+    sets = {i: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4)) if w} for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for a, b in ((a, b) for a in texts for b in texts if a < b and sets[a] and sets[b]):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            links += 1
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    want = {(i, len(sets[i]), find(i)) for i in texts}
+    assert links > 30
+    # Without any key in common a search by signatures finds no pair.
+    monkeypatch.setattr(M, "chunk_keys", lambda *_: [F.xxhash64("node")])
+    got = M.near_duplicates(frame(spark, texts).repartition(5), exact=True).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want and len(got) == len(texts)
+
+
+def test_exact_candidates_of_a_shared_passage(spark):
+    """A passage that all documents share comes last in the order and makes no pairs of its own."""
+    rng = random.Random(32)
+    passage = prose(rng, 6)
+    texts = {i: f"{prose(rng, 9)} {passage}" for i in range(60)}
+    docs = frame(spark, texts)
+    nodes = M.signatures(M._bytes(docs)).selectExpr("doc_id as node", "n_shingles as size")
+    keys = M.prefix_keys(M._bytes(docs), nodes)
+    assert keys.groupBy("key").count().where("count > 30").isEmpty()
+    assert all(r.component_id == r.doc_id for r in M.near_duplicates(docs, exact=True).collect())

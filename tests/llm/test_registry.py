@@ -13,12 +13,12 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    got = registry.QUERIES[name](spark, DATA).toPandas()
-    want = con.sql(registry.ORACLE_SQL[name]).df()
+    got = registry.QUERIES[name](spark, DATA)
+    want = con.sql(registry.ORACLE_SQL[name])
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    rows = lambda df: sorted(map(repr, df[cols].itertuples(index=False, name=None)))
-    assert rows(got) == rows(want)
+    rows = lambda names, found: sorted(repr([dict(zip(names, r))[c] for c in cols]) for r in found)
+    assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
 
 
 def test_one_query_for_each_operator():
