@@ -6,10 +6,12 @@ and a list is a pair of both). What is left after subtracting the centroid is ro
 orthogonal matrix and reduced to the signs of its coordinates, packed 64 to a word. With two correction
 scalars a code (its residual's norm and the product of the unit residual with the code's own direction)
 the inner product with a rotated query is estimated without bias, and the estimate's error exceeds
-``EPSILON`` deviations only rarely. A query scans the codes of as many of its nearest lists as hold
+``EPSILON`` deviations only rarely. A query first scans the codes of as many of its nearest lists as hold
 ``FOUND_IN`` of the true neighbours of sample queries that the centroids were not fitted on; the best
 estimates, scored exactly, give a bar, and a vector is reranked exactly, on the original components,
-if its upper bound reaches the bar.
+if its upper bound reaches the bar. Then every further list is scanned whose own bound can still beat the query's
+last score: its centroid's product plus as many deviations of its farthest residual's as ``BEATEN_IN`` of those
+sample queries' neighbours need. So a query whose neighbours lie in many or far lists scans more of them.
 
 Every vector is indexed. Lists near one another make a group of about ``BLOCK`` rows, which one task
 scans, so a query travels once to each group that holds any of its lists; a list or group that is larger,
@@ -44,6 +46,7 @@ SECOND_LISTS = 1_024
 BLOCK = 8_192
 QUERY_BLOCK = 8_192
 FOUND_IN = 0.95  # share of true neighbours in the scanned lists, measured on held-out sample rows
+BEATEN_IN = 0.98  # share of true neighbours, measured there too, whose list's bound reaches the query's last score
 HELD_OUT = 256
 CHUNK = 64  # queries whose estimates are held at once
 EPSILON = 2.4  # deviations of the estimate's error bound
@@ -129,6 +132,27 @@ def calibrate(index: Index, base: np.ndarray, queries: np.ndarray, k: int, share
     return int(np.quantile(np.concatenate(ranks), share, method="higher")) + 1
 
 
+def reach(index: Index, base: np.ndarray, queries: np.ndarray, k: int, share: float = BEATEN_IN) -> float:
+    """The deviations that a list's bound needs, so that it reaches the score of the last of the ``k`` nearest rows
+    of ``base`` for ``share`` of the neighbours. A deviation is the product's of a random direction with
+    the list's farthest residual."""
+    if index.lists == 1 or len(base) == 0 or len(queries) == 0:
+        return np.inf
+    place = index.place(base)
+    used, own = np.unique(place, return_inverse=True)
+    centroids = np.stack([index.centroid(int(c)) for c in used])
+    far = np.zeros(len(used))
+    np.maximum.at(far, own, np.linalg.norm(base - centroids[own], axis=1))
+    near = min(k, len(base))
+    needed = []
+    for q in queries:
+        score = base @ q
+        best = np.argpartition(-score, near - 1)[:near]
+        short = score[best].min() - centroids[own[best]] @ q
+        needed.append(short / np.maximum(np.linalg.norm(q) * far[own[best]] / np.sqrt(base.shape[1]), 1e-300))
+    return float(np.quantile(np.concatenate(needed), share, method="higher"))
+
+
 def groups_of(index: Index, rows: np.ndarray, block: int) -> np.ndarray:
     """The group of each list: neighbouring lists together, about ``block`` rows a group."""
     order = np.arange(index.lists)
@@ -328,7 +352,7 @@ def sample_of(rows: DataFrame, total: int, dim: int) -> np.ndarray:
     return x[order[:most]]
 
 
-def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, found_in: float = FOUND_IN, epsilon: float = EPSILON) -> DataFrame:
+def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, found_in: float = FOUND_IN, epsilon: float = EPSILON, beaten_in: float = BEATEN_IN) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every`` its ``k``
     nearest others by inner product."""
     import pyarrow as pa
@@ -343,6 +367,7 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, foun
     held = len(sample) - min(HELD_OUT, len(sample) // 8)
     index = fit(sample[:held], 1 if total <= BLOCK else round(total**0.5))
     probes = calibrate(index, sample[:held], sample[held:], k, found_in)
+    margin = reach(index, sample[:held], sample[held:], k, beaten_in) if probes < index.lists else 0.0
     indexed = spark.sparkContext.broadcast(index)
     kind = rows.schema["v"].dataType.simpleString()
 
@@ -350,42 +375,91 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, foun
         index = indexed.value
         for batch in batches:
             if batch.num_rows:
-                near = index.place(_matrix(batch.column(1))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], ["vec_id", "v", "list"])
+                x = _matrix(batch.column(1))
+                near = index.place(x)
+                held, own = np.unique(near, return_inverse=True)
+                far = np.linalg.norm(x - np.stack([index.centroid(int(c)) for c in held])[own], axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(far)], ["vec_id", "v", "list", "far"])
+
+    placed = materialize(rows.mapInArrow(assign, f"vec_id long, v {kind}, list int, far double"), "placed")
+    per_list = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).toPandas()  # a few numbers a list
+    held_by, far = np.zeros(index.lists, dtype=np.int64), np.full(index.lists, -np.inf)
+    held_by[per_list["list"]], far[per_list["list"]] = per_list["n"], per_list["far"]
+    group = groups_of(index, held_by, BLOCK)
 
-    def nearest_lists(batches) -> Iterator:
-        """Batches with the probed lists of their queries."""
-        index = indexed.value
-        step = max(1, 4_000_000 // index.lists)
+    def parts_of(batches) -> Iterator:
+        step = max(1, 4_000_000 // indexed.value.lists)
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
-                at = index.products(_matrix(part.column(1)))
-                yield part, np.sort(np.argpartition(-at, probes - 1, axis=1)[:, :probes], axis=1)
+                q = _matrix(part.column(1))
+                yield part, q, indexed.value.products(q)
+
+    def nearest_lists(batches) -> Iterator:
+        """Parts of batches with the first lists of their queries, as (row, list) in order."""
+        for part, _, at in parts_of(batches):
+            lists = np.sort(np.argpartition(-at, probes - 1, axis=1)[:, :probes], axis=1)
+            yield part, np.repeat(np.arange(len(lists)), probes), lists.ravel()
+
+    def further_lists(batches) -> Iterator:
+        """The same with the lists beyond the first whose bound reaches the query's last score."""
+        for part, q, at in parts_of(batches):
+            norm = np.linalg.norm(q, axis=1, keepdims=True)
+            bound = at + norm * (margin / np.sqrt(q.shape[1])) * far
+            # Between the last of the first lists and the next; a tie is scanned twice and counts once.
+            edge = -np.partition(-at, (probes - 1, probes), axis=1)[:, probes - 1 : probes + 1].mean(axis=1, keepdims=True)
+            bar = part.column(2).to_numpy(zero_copy_only=False)[:, None]
+            yield part, *np.nonzero((at <= edge + 1e-12 * np.abs(at).max(axis=1, keepdims=True)) & (bound >= bar - 1e-9 * np.abs(bar)) & (held_by > 0))
 
-    placed = materialize(rows.mapInArrow(assign, f"vec_id long, v {kind}, list int"), "placed")
     queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    per_list = placed.groupBy("list").count().toPandas()  # a few numbers a list
-    held_by = np.zeros(index.lists, dtype=np.int64)
-    held_by[per_list["list"]] = per_list["count"]
-    group = groups_of(index, held_by, BLOCK)
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def best(found: DataFrame) -> DataFrame:
+        # At most k rows a query and block, brought together by query once: for an id's best score and the rank.
+        found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = best(_scan(placed.select("vec_id", "v", "list"), queries, indexed, group, held_by, nearest_lists, k, epsilon))
+    if probes == index.lists:
+        return found
+    found = materialize(found, "found")
+    last = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bar"))
+    barred = queries.join(last, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
+    barred = materialize(barred, "barred")
+    more = _scan(placed.select("vec_id", "v", "list"), barred, indexed, group, held_by, further_lists, k, epsilon)
+    return best(found.drop("rank").unionByName(more))
+
+
+def _scan(placed: DataFrame, queries: DataFrame, indexed, group: np.ndarray, held_by: np.ndarray, lists_of, k: int, epsilon: float) -> DataFrame:
+    """``query_id, vec_id, score``: the best ``k`` of each block for each of ``queries`` (``vec_id, v``, more) in the lists that
+    ``lists_of`` gives it; a vector goes only where some query asks."""
+    import pyarrow as pa
+
+    spark, kind = placed.sparkSession, placed.schema["v"].dataType.simpleString()
     n_groups = int(group.max()) + 1
     blocks = np.maximum(1, np.rint(np.bincount(group, held_by, n_groups) / BLOCK)).astype(np.int64)
-    grouped = spark.sparkContext.broadcast((group, blocks))
+    grouped = spark.sparkContext.broadcast(group)
+
+    def by_group(batches) -> Iterator:
+        """Batches with (row, group) in order, where the lists of each start, and the lists."""
+        for batch, row, lists in lists_of(batches):
+            g = grouped.value[lists]
+            order = np.lexsort((lists, g, row))
+            row, g, lists = row[order], g[order], lists[order]
+            start = np.flatnonzero(np.r_[np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (g[1:] != g[:-1])])
+            yield batch, row[start], g[start], np.r_[start, len(lists)], lists
 
     def count_asked(batches) -> Iterator:
-        group, _ = grouped.value
         n = np.zeros(n_groups, dtype=np.int64)
-        for _, lists in nearest_lists(batches):
-            g = np.sort(group[lists], axis=1)
-            n += np.bincount(g[np.c_[np.ones(len(g), bool), g[:, 1:] != g[:, :-1]]], minlength=n_groups)
+        for _, _, g, _, _ in by_group(batches):
+            n += np.bincount(g, minlength=n_groups)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["g", "n"])
 
     asked = queries.mapInArrow(count_asked, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
     parts = np.zeros(n_groups, dtype=np.int64)
     parts[asked["g"]] = -(-asked["n"] // QUERY_BLOCK)
-    dealt = spark.sparkContext.broadcast((group, blocks, parts))
+    dealt = spark.sparkContext.broadcast((blocks, parts))
 
     def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, 0 to n - 1) for each row as often as n says."""
@@ -394,10 +468,10 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, foun
 
     def store(batches) -> Iterator:
         """Each vector in its block, once for every part of the group's queries."""
-        group, blocks, parts = dealt.value
+        blocks, parts = dealt.value
         for batch in batches:
             ids, lists = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            g = group[lists]
+            g = grouped.value[lists]
             row, part = spread(parts[g])
             block = (mix64(ids.view(np.uint64)) % blocks[g].astype(np.uint64)).astype(np.int32)
             some = batch.take(pa.array(row))
@@ -407,24 +481,15 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, foun
 
     def ask(batches) -> Iterator:
         """Each query with its lists of a group, once for every block of the group."""
-        group, blocks, parts = dealt.value
-        for batch, lists in nearest_lists(batches):
+        blocks, parts = dealt.value
+        for batch, owner, g, ends, lists in by_group(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            g = group[lists]
-            order = np.argsort(g, axis=1, kind="stable")
-            g, lists = np.take_along_axis(g, order, 1), np.take_along_axis(lists, order, 1)
-            turn = np.c_[np.ones(len(g), bool), g[:, 1:] != g[:, :-1]]
-            owner, at = np.nonzero(turn)
-            start = owner * g.shape[1] + at
-            ends = np.r_[start[1:], g.size]
-            own_group = g.ravel()[start]
-            row, block = spread(blocks[own_group])
-            flat = lists.ravel()
-            held = pa.array([flat[a:b] for a, b in zip(start, ends)], pa.list_(pa.int32())).take(pa.array(row))
-            part = mix64(ids[owner[row]].view(np.uint64) + np.uint64(SEED)) % np.maximum(parts[own_group[row]], 1).astype(np.uint64)
+            row, block = spread(blocks[g])
+            held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(lists.astype(np.int32))).take(pa.array(row))
+            part = mix64(ids[owner[row]].view(np.uint64) + np.uint64(SEED)) % np.maximum(parts[g[row]], 1).astype(np.uint64)
             some = batch.take(pa.array(owner[row]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own_group[row].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), *some.columns, held], ["g", "block", "part", "vec_id", "v", "lists"]
+                [pa.array(g[row].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), *some.columns[:2], held], ["g", "block", "part", "vec_id", "v", "lists"]
             )
 
     left = placed.mapInArrow(store, f"g int, block int, part int, vec_id long, v {kind}, list int")
@@ -443,11 +508,7 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, foun
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, out))))
 
     keys = ("g", "block", "part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
-    # At most k rows a query and block, brought together by query once: for an id's best score and the rank.
-    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
