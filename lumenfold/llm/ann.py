@@ -279,8 +279,8 @@ class Block:
         own = np.repeat(np.arange(len(at)), n)
         return self.ids[self.first[at][own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], own
 
-    def search(self, index: Index, q_ids: np.ndarray, q: np.ndarray, probed: list[np.ndarray], k: int, epsilon: float = EPSILON) -> Iterator:
-        """(query, ids, scores) of the best ``k`` for each query among its probed lists."""
+    def search(self, index: Index, q_ids: np.ndarray, q: np.ndarray, probed: list[np.ndarray], bars: np.ndarray, k: int, epsilon: float = EPSILON) -> Iterator:
+        """(query, ids, scores) of the best ``k`` for each query among its probed lists; scores under its bar may be missing."""
         n, dim = self.x.shape
         centroids = np.stack([index.centroid(int(c)) for c in self.names])
         codes = [Codes.of(self.x[a:b], c, index.rotation) for c, a, b in zip(centroids, self.edges[:-1], self.edges[1:])]
@@ -300,19 +300,19 @@ class Block:
                     est[at, a:b], err = estimate(codes[j], planes, at, shift[at, j], dim, epsilon)
                     high[at, a:b] = est[at, a:b] + err
             for i, v in enumerate(part):
-                bar = -np.inf
-                if n > 2 * top:
+                bar = bars[lo + i]
+                if bar == -np.inf and n > 2 * top:
                     best = np.argpartition(est[i], n - 2 * top)[n - 2 * top :]
                     best = best[est[i, best] > -np.inf]
                     if len(best) >= top:
                         bar = np.partition(self.x[best] @ v, len(best) - top)[len(best) - top]
-                pick = np.flatnonzero((high[i] >= bar - 1e-6 * abs(bar)) & (high[i] > -np.inf)) if bar > -np.inf else np.flatnonzero(high[i] > -np.inf)
+                pick = np.flatnonzero((high[i] >= (bar - 1e-6 * abs(bar) if bar > -np.inf else bar)) & (high[i] > -np.inf))
                 if len(pick) > top:
                     about = self.x[pick] @ v
                     pick = pick[about >= np.partition(about, len(about) - top)[len(about) - top] - slack * float(np.linalg.norm(v))]
                 cand, own = self.ids_of(pick)
                 score = exact(self.x[pick], v)[own]
-                other = cand != q_ids[lo + i]
+                other = (cand != q_ids[lo + i]) & (score >= bars[lo + i])
                 cand, score = cand[other], score[other]
                 order = np.lexsort((cand, -score))
                 if self.most > 1:
@@ -411,7 +411,7 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, foun
             bar = part.column(2).to_numpy(zero_copy_only=False)[:, None]
             yield part, *np.nonzero((at <= edge + 1e-12 * np.abs(at).max(axis=1, keepdims=True)) & (bound >= bar - 1e-9 * np.abs(bar)) & (held_by > 0))
 
-    queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v")
+    queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.lit(float("-inf")).alias("bar"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def best(found: DataFrame) -> DataFrame:
@@ -424,15 +424,15 @@ def nearest_neighbours(df: DataFrame, k: int = K, every: int = QUERY_EVERY, foun
         return found
     found = materialize(found, "found")
     last = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bar"))
-    barred = queries.join(last, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
+    barred = queries.drop("bar").join(last, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
     barred = materialize(barred, "barred")
     more = _scan(placed.select("vec_id", "v", "list"), barred, indexed, group, held_by, further_lists, k, epsilon)
     return best(found.drop("rank").unionByName(more))
 
 
 def _scan(placed: DataFrame, queries: DataFrame, indexed, group: np.ndarray, held_by: np.ndarray, lists_of, k: int, epsilon: float) -> DataFrame:
-    """``query_id, vec_id, score``: the best ``k`` of each block for each of ``queries`` (``vec_id, v``, more) in the lists that
-    ``lists_of`` gives it; a vector goes only where some query asks."""
+    """``query_id, vec_id, score``: the best ``k`` of each block for each of ``queries`` (``vec_id, v, bar``) in the lists that
+    ``lists_of`` gives it, without scores under the bar; a vector goes only where some query asks."""
     import pyarrow as pa
 
     spark, kind = placed.sparkSession, placed.schema["v"].dataType.simpleString()
@@ -489,11 +489,11 @@ def _scan(placed: DataFrame, queries: DataFrame, indexed, group: np.ndarray, hel
             part = mix64(ids[owner[row]].view(np.uint64) + np.uint64(SEED)) % np.maximum(parts[g[row]], 1).astype(np.uint64)
             some = batch.take(pa.array(owner[row]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g[row].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), *some.columns[:2], held], ["g", "block", "part", "vec_id", "v", "lists"]
+                [pa.array(g[row].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(part.astype(np.int32)), *some.columns, held], ["g", "block", "part", "vec_id", "v", "bar", "lists"]
             )
 
     left = placed.mapInArrow(store, f"g int, block int, part int, vec_id long, v {kind}, list int")
-    right = queries.mapInArrow(ask, f"g int, block int, part int, vec_id long, v {kind}, lists array<int>")
+    right = queries.mapInArrow(ask, f"g int, block int, part int, vec_id long, v {kind}, bar double, lists array<int>")
 
     def scan(key, a, b):
         out: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
@@ -502,7 +502,7 @@ def _scan(placed: DataFrame, queries: DataFrame, indexed, group: np.ndarray, hel
             held = b.column("lists").combine_chunks()
             at, flat = held.offsets.to_numpy(), held.values.to_numpy()
             probed = [np.sort(flat[s:e]) for s, e in zip(at[:-1], at[1:])]
-            for query, ids, score in block.search(indexed.value, b.column("vec_id").to_numpy(), _matrix(b.column("v")), probed, k, epsilon):
+            for query, ids, score in block.search(indexed.value, b.column("vec_id").to_numpy(), _matrix(b.column("v")), probed, b.column("bar").to_numpy(), k, epsilon):
                 for column, values in zip(out, (np.full(len(ids), query), ids, score)):
                     column.append(values)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, out))))
