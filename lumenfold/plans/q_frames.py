@@ -147,29 +147,70 @@ FROM j
 """
 
 
+def _stream(spark: SparkSession, base: str, scored: DataFrame) -> DataFrame:
+    """A stream run until nothing new is left, and all it wrote."""
+    from lumenfold.streaming import scorer
+
+    with scorer.state_store(spark):
+        q = (
+            scored.writeStream.format("parquet").option("checkpointLocation", f"{base}/ck").option("path", f"{base}/out")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incremental scorer over the same frames, run to its end and read back."""
-    import uuid
-
     from lumenfold import scratch
     from lumenfold.streaming.scorer import score_stream
 
-    base = f"{scratch.root(spark)}/lumenfold/stream-{uuid.uuid4().hex}"
+    base = scratch.folder(spark, "stream")
     rows = clip(spark, sf_dir)
     rows.write.parquet(f"{base}/in")
-    q = (
-        score_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
-        .writeStream.format("parquet").option("checkpointLocation", f"{base}/ck").option("path", f"{base}/out")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
+    out = _stream(spark, base, score_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in")))
     return out.select("video", "i", F.round("motion", 6).alias("motion"), F.round("cum_motion", 4).alias("cum_motion"))
 
 
 STREAM_SQL = f"WITH {_STATS} SELECT video, i, round(motion, 6) AS motion, round(cum_motion, 4) AS cum_motion FROM c"
 
 
+IDLE, DELAY = 6, 24  # hours
+
+
+def stream_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips that ended in a stream of two runs. Every fifth event of the last day but one comes in the second,
+    with what is newer: those of clips that went on meanwhile are late. A clip ends six hours after its last frame."""
+    from lumenfold import scratch
+    from lumenfold.streaming.scorer import score_stream
+
+    base = scratch.folder(spark, "ends")
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("frame_idx"), F.col("value").alias("sharpness"), F.col("value").alias("signal"), F.col("ts").cast("timestamp").alias("ts"))
+    newest = F.broadcast(e.agg(F.max("ts").alias("newest")))
+    kept = F.col("ts") <= F.col("newest") - F.expr("interval 24 hours")
+    held_back = (F.col("ts") > F.col("newest") - F.expr("interval 48 hours")) & (F.col("frame_idx") % 5 == 0)
+    dealt = scratch.table(e.crossJoin(newest).withColumn("second", ~kept | held_back).drop("newest"), "dealt")
+    for second in (False, True):
+        dealt.where(F.col("second") == second).drop("second").write.mode("append").parquet(f"{base}/in")
+        frames_in = spark.readStream.schema(dealt.drop("second").schema).parquet(f"{base}/in").withWatermark("ts", f"{DELAY} hours")
+        out = _stream(spark, base, score_stream(frames_in, "ts", IDLE * 3_600_000))
+    return out.where("event = 'end'").select("video", "frame_idx", F.col("i").alias("n_frames"), F.round("cum_motion", 4).alias("motion"), F.col("late").alias("n_late"))
+
+
+STREAM_ENDS_SQL = f"""
+WITH t AS (SELECT user_id AS video, event_id AS frame_idx, value, ts, max(ts) OVER () AS newest FROM events),
+d AS (SELECT *, ts > newest - INTERVAL 24 HOUR OR (ts > newest - INTERVAL 48 HOUR AND frame_idx % 5 = 0) AS second FROM t),
+f AS (SELECT video, max(ts) + INTERVAL {IDLE} HOUR < (SELECT max(ts) FROM d WHERE NOT second) - INTERVAL {DELAY} HOUR AS over FROM d WHERE NOT second GROUP BY video),
+c AS (SELECT d.*, coalesce(f.over, FALSE) AND second AS anew, coalesce(f.over, FALSE) AND NOT second AS over FROM d LEFT JOIN f USING (video)),
+l AS (SELECT *, coalesce(second AND frame_idx < max(CASE WHEN NOT second THEN frame_idx END) OVER (PARTITION BY video, anew), FALSE) AS late FROM c),
+m AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY video, anew ORDER BY frame_idx)) AS motion FROM l WHERE NOT late),
+s AS (SELECT video, anew, max(frame_idx) AS frame_idx, count(*) AS n_frames, round(coalesce(sum(motion), 0), 4) AS motion FROM m GROUP BY video, anew),
+a AS (SELECT video, anew, bool_or(over) AS over, max(ts) AS last, max(newest) AS newest, count(*) FILTER (WHERE late) AS n_late FROM l GROUP BY video, anew)
+SELECT s.video, s.frame_idx, s.n_frames, s.motion, a.n_late FROM s JOIN a USING (video, anew)
+WHERE a.over OR a.last + INTERVAL {IDLE} HOUR < a.newest - INTERVAL {DELAY} HOUR
+"""
+
+
 QUERIES = {
     "q01_frame_stats": frame_stats,
     "q02_keyframe_selection": keyframes,
@@ -178,6 +219,7 @@ QUERIES = {
     "q04_keyframe_fallback": fallback,
     "q29_pose_join": pose_join,
     "q32_stream_frame_stats": stream_stats,
+    "q78_stream_clip_ends": stream_ends,
 }
 ORACLE_SQL = {
     "q01_frame_stats": FRAME_STATS_SQL,
@@ -187,4 +229,5 @@ ORACLE_SQL = {
     "q04_keyframe_fallback": FALLBACK_SQL,
     "q29_pose_join": POSE_JOIN_SQL,
     "q32_stream_frame_stats": STREAM_SQL,
+    "q78_stream_clip_ends": STREAM_ENDS_SQL,
 }
