@@ -60,18 +60,19 @@ def tsdf(points: DataFrame, voxel: float, trunc: float, colours=("r", "g", "b"))
 
 
 CAMERAS = 2_000  # that travel in one broadcast row
+UNPRUNED = 16  # cameras that every point may be tested with
 CELLS = 64  # of the longest extent, for pruning by frustum
 
 
 def project_points(points: DataFrame, cameras: DataFrame) -> DataFrame:
     """``view, pid, u, v, depth`` of the points in front of each camera and inside its image.
 
-    Cameras are counted. Up to ``CAMERAS`` they are one array in one broadcast row, so a point meets them in
-    its own task and nothing is shuffled. More go in such groups, and a group meets the occupied cells of
-    the cloud first: only points of cells that a frustum may touch meet that camera."""
+    Cameras are counted. A handful (``UNPRUNED``) are one array in one broadcast row, so a point meets them in its own
+    task and nothing is shuffled. More meet the occupied cells of the cloud first, in groups of ``CAMERAS``: only
+    points of cells that a frustum may touch meet that camera."""
     fields = ["view", "fx", "fy", "cx", "cy", "width", "height", "w2c"]
     n = cameras.count()
-    if n <= CAMERAS:
+    if n <= UNPRUNED:
         all_ = cameras.select(F.struct(*fields).alias("cam")).agg(F.collect_list("cam").alias("cams"))
         return _in_image(points.join(F.broadcast(all_), F.lit(True)).select("pid", *XYZ, F.explode("cams").alias("c")))
     box = points.agg(*(f(c).alias(f"{k}{c}") for c in XYZ for f, k in ((F.min, "lo"), (F.max, "hi")))).first()

@@ -18,6 +18,14 @@ def _at(spark: SparkSession, path: str):
     return fs, at
 
 
+def store_of(path: str):
+    """The store that executors' Python reaches, and the path in it."""
+    from pyarrow import fs
+
+    path = re.sub("^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def write(spark: SparkSession, path: str, data: bytes | str | Iterable[bytes]) -> int:
     """Create or replace ``path``; ``data`` may come in pieces. Returns the size."""
     fs, at = _at(spark, path)
@@ -39,15 +47,13 @@ def write_many(documents: DataFrame, folder: str) -> int:
     the tasks that hold the rows. Each appears under its name at once and whole, so a task that runs again leaves the
     same. Returns their number. ``folder`` is a path or URI of a store that all executors reach."""
     root = folder.rstrip("/")
-    root = re.sub("^file:/+", "/", root) if root.startswith("file:") else root
 
     def run(batches) -> Iterator:
         import uuid
 
         import pyarrow as pa
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        store, base = store_of(root)
         made, n = set(), 0
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -23,14 +23,6 @@ PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 FRAME_FILE = re.compile(r"(?:(?:^|/)[^/]*?(\d+)/)?frame_(\d+)\.png$")
 
 
-def _store(path: str):
-    """The store that executors' Python reaches, and the path in it."""
-    from pyarrow import fs
-
-    path = re.sub("^file:/+", "/", path)
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 class _Files(InputPartition):
     def __init__(self, found: list[tuple[int, int, str]]):
         super().__init__(None)
@@ -76,7 +68,7 @@ class _FrameReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        store, root = _store(self.path)
+        store, root = files.store_of(self.path)
         kept = []
         for info in store.get_file_info(fs.FileSelector(root, recursive=True)):
             m = FRAME_FILE.search(info.path[len(root) :]) if info.is_file else None
@@ -97,7 +89,7 @@ class _FrameReader(DataSourceReader):
     def read(self, part):
         import pyarrow as pa
 
-        store, _ = _store(self.path)
+        store, _ = files.store_of(self.path)
         for video, idx, path in part.found:
             with store.open_input_file(path) as f:
                 image = png.decode(f.read())

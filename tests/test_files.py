@@ -81,6 +81,28 @@ def test_sparse_model(spark, tmp_path):
     assert [r.pid for r in rows] == list(range(9)) and rows[4].x == 4.0 and rows[4].r == 4 and rows[4].track == 3
 
 
+def test_sparse_points_in_ranges(spark, tmp_path):
+    """Tracks of any length, none and long ones among them, are kept, and points are read in many stretches."""
+    rng = np.random.default_rng(3)
+    views = [[(int(i), int(p)) for i, p in rng.integers(0, 99, (n, 2))] for n in [0, 0, 3, 3, 3, 700, 1, 2, *rng.integers(0, 9, 300).tolist()]]
+    rows = [(k, k * 0.5, 0.0, -1.0, k % 256, 0, 9, v) for k, v in enumerate(views)]
+    pts = spark.createDataFrame(rows, f"pid long, x double, y double, z double, r int, g int, b int, views {colmap.VIEWS}")
+    none = pts.select("pid", "pid").limit(0)
+    cams = none.selectExpr("1 as camera_id", "1L as width", "1L as height", "1d as fx", "1d as fy", "1d as cx", "1d as cy")
+    imgs = none.selectExpr("1L as image_id", "array(1d) as q", "array(1d) as t", "1L as camera_id", "'' as name")
+    colmap.write_model(str(tmp_path), cams, imgs, pts.repartition(3))
+    for size in (1, 1000, 1 << 25):
+        got = colmap.read_model(spark, str(tmp_path), size)[2]
+        assert got.rdd.getNumPartitions() > (100 if size == 1 else 10) if size < 9999 else got.rdd.getNumPartitions() == 1
+        assert [(r.pid, r.x, r.r, r.track, [tuple(v) for v in r.views]) for r in got.orderBy("pid").collect()] == [(k, k * 0.5, k % 256, len(v), v) for k, v in enumerate(views)]
+    blob = (tmp_path / "points3D.bin").read_bytes()
+    (tmp_path / "points3D.bin").write_bytes(blob[:-30])
+    with pytest.raises(Exception, match="missing"):
+        colmap.read_model(spark, str(tmp_path), 1000)
+    colmap.write_model(str(tmp_path), cams, imgs, pts.limit(0))
+    assert colmap.read_model(spark, str(tmp_path))[2].count() == 0
+
+
 def test_capture_files(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"summary": {"video": "v"}, "frames": [{"index": i, "time_s": i / 30, "sharpness": 1.0, "motion": 0.0, "selected": i % 2 == 1, "reason": "", "path": None, "thumb": None} for i in range(6)]}))
     (tmp_path / "p.json").write_text(json.dumps({"intrinsics": [1.0, 2.0, 3.0, 4.0], "frames": [{"cameraPose": [float(k + i) for k in range(16)]} for i in range(6)]}))
