@@ -34,6 +34,24 @@ def test_points_round_trip(spark, tmp_path):
     assert (tmp_path / "b.ply").read_bytes() == (tmp_path / "a.ply").read_bytes()
 
 
+def test_point_files_by_uri_and_after_failures(spark, tmp_path):
+    """Paths may be URIs; what exists stays without overwriting; a write that fails leaves nothing."""
+    ply.register(spark)
+    v, at = points_file(tmp_path / "a.ply", 25), f"file://{tmp_path}"
+    df = spark.read.format("plypoints").option("path", f"{at}/a.ply").option("rowsPerSplit", 7).load()
+    df.write.format("plypoints").option("path", f"{at}/b.ply").mode("append").save()
+    assert (tmp_path / "b.ply").read_bytes() == (tmp_path / "a.ply").read_bytes() and len(v) == 25
+    with pytest.raises(Exception, match="b.ply"):
+        df.where("pid < 3").write.format("plypoints").option("path", f"{at}/b.ply").mode("append").save()
+    bad = df.withColumn("x", F.expr("if(pid = 20, raise_error('bad row'), x)"))
+    with pytest.raises(Exception, match="bad row"):
+        bad.write.format("plypoints").option("path", f"{at}/b.ply").mode("overwrite").save()
+    assert (tmp_path / "b.ply").read_bytes() == (tmp_path / "a.ply").read_bytes()
+    df.limit(0).write.format("plypoints").option("path", f"{at}/none.ply").mode("append").save()
+    assert ply.Header((tmp_path / "none.ply").read_bytes()).vertices == 0
+    assert sorted(f.name for f in tmp_path.iterdir() if not f.name.startswith(".")) == ["a.ply", "b.ply", "none.ply"]
+
+
 def test_splat_layout(spark, tmp_path):
     ply.register(spark)
     cols = [*ply.SPLAT_FIXED, "f_rest_0", "f_rest_1", *ply.SPLAT_LAST]
