@@ -47,7 +47,8 @@ def keyframe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch.folder(spark, "keyframes")
     frames = pictures.frame_files(spark, _put_frames(spark, sf_dir))
     pictures.write_keyframes(frames, frames.where("frame_idx % 5 = 0"), at, 4)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path", "content")
+    with files.listing(spark):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path", "content")
     part = lambda k: F.element_at(F.split("path", "/"), k)
     size = F.conv(F.hex(F.substring("content", 17, 8)), 16, 10)  # width and height, four bytes each
     back = pictures.frame_files(spark, at).groupBy("video").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.length("pixels")).alias("bytes"))
