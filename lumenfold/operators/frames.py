@@ -52,8 +52,9 @@ def frame_stats(frames: DataFrame, fps: float = 30.0, stride: int = 1) -> DataFr
 
 def clip_totals(stats: DataFrame, cfg: IngestConfig) -> DataFrame:
     t = F.greatest(F.lit(1), F.least(F.lit(cfg.target_frames), F.count(F.lit(1)))).cast("long")
+    # The last cumulated motion: a sum of its own might be added in another order and differ from it in its last bits.
     out = stats.groupBy("video").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("motion").alias("total"), F.median("sharpness").alias("median_sharpness"), t.alias("target")
+        F.count(F.lit(1)).alias("n"), F.max_by("cum_motion", "i").alias("total"), F.median("sharpness").alias("median_sharpness"), t.alias("target")
     )
     return out.withColumn("blur_threshold", F.col("median_sharpness") * F.lit(float(cfg.blur_rel_threshold)))
 

@@ -19,25 +19,42 @@ def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("video", "i", F.round("time_s", 6).alias("time_s"), F.round("motion", 6).alias("motion"), F.round("cum_motion", 4).alias("cum_motion"))
 
 
-_STATS = f"""
+_SCORED = f"""
 f AS ({FRAMES_SQL}),
 s AS (
   SELECT video, frame_idx AS i, sharpness, signal, frame_idx / CAST(30 AS DOUBLE) AS time_s,
          coalesce(abs(signal - lag(signal) OVER (PARTITION BY video ORDER BY frame_idx)), CAST(0 AS DOUBLE)) AS motion FROM f
-),
+)"""
+_STATS = f"""{_SCORED},
 c AS (SELECT *, sum(motion) OVER (PARTITION BY video ORDER BY i ROWS UNBOUNDED PRECEDING) AS cum_motion FROM s)
 """
 
+# Motion added frame by frame, as the selection does. A window's sum is added in an order of the engine's own, and where
+# a slot's centre is just a frame's cumulated motion, the last bit of the sums decides. Blocks of a clip's frames are
+# taken one after the other, each from the sum of those before. For WITH RECURSIVE.
+_BLOCK = 64
+_SUMS = "list_reduce({}, lambda sums, x: sums || [sums[-1] + x[1]])"
+_ORDERED = f"""{_SCORED},
+b AS MATERIALIZED (SELECT video, i // {_BLOCK} AS block, list([motion] ORDER BY i) AS motions FROM s GROUP BY video, block),
+run AS (
+  SELECT video, block, {_SUMS.format("motions")} AS sums FROM b WHERE block = 0
+  UNION ALL
+  SELECT b.video, b.block, {_SUMS.format("[[run.sums[-1]]] || b.motions")}[2:] FROM run JOIN b ON b.video = run.video AND b.block = run.block + 1
+),
+c AS (SELECT s.*, run.sums[s.i % {_BLOCK} + 1] AS cum_motion FROM s JOIN run ON run.video = s.video AND run.block = s.i // {_BLOCK})
+"""
+_ORDERED_TOTAL = "sum(motion ORDER BY i)"
+
 FRAME_STATS_SQL = f"""
 WITH {_STATS}
 SELECT video, i, round(time_s, 6) AS time_s, round(motion, 6) AS motion, round(cum_motion, 4) AS cum_motion FROM c
 """
 
 
-def _selection_sql(target: int) -> str:
+def _selection_sql(target: int, total: str = "sum(motion)") -> str:
     return f"""
 t AS (
-  SELECT video, count(*) AS n, sum(motion) AS total, median(sharpness) AS med, greatest(1, least({target}, count(*))) AS target
+  SELECT video, count(*) AS n, {total} AS total, median(sharpness) AS med, greatest(1, least({target}, count(*))) AS target
   FROM c GROUP BY video
 ),
 k AS (
@@ -79,14 +96,14 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.select_keyframes(clip(spark, sf_dir), CFG).select("video", "i", "selected", "reason")
 
 
-KEYFRAMES_SQL = f"WITH {_STATS}, {_selection_sql(12)} SELECT video, i, selected, reason FROM lab"
+KEYFRAMES_SQL = f"WITH RECURSIVE {_ORDERED}, {_selection_sql(12, _ORDERED_TOTAL)} SELECT video, i, selected, reason FROM lab"
 
 
 def keyframes_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.select_keyframes(clip(spark, sf_dir), fr.IngestConfig()).where("selected").select("video", "i")
 
 
-KEYFRAMES_DEFAULT_SQL = f"WITH {_STATS}, {_selection_sql(60)} SELECT video, i FROM lab WHERE selected"
+KEYFRAMES_DEFAULT_SQL = f"WITH RECURSIVE {_ORDERED}, {_selection_sql(60, _ORDERED_TOTAL)} SELECT video, i FROM lab WHERE selected"
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +115,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUMMARY_SQL = f"""
-WITH {_STATS}, {_selection_sql(12)}
+WITH RECURSIVE {_ORDERED}, {_selection_sql(12, _ORDERED_TOTAL)}
 SELECT video, count(*) AS analysed_frames, count(CASE WHEN selected THEN 1 END) AS selected_frames,
        count(CASE WHEN NOT selected AND reason LIKE '%sharpness%' THEN 1 END) AS dropped_blur,
        count(CASE WHEN NOT selected AND reason LIKE '%redundant%' THEN 1 END) AS dropped_redundant,
@@ -114,7 +131,7 @@ def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FALLBACK_SQL = f"""
-WITH {_STATS.replace("value AS signal FROM", "CASE WHEN user_id % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE value END AS signal FROM")}, {_selection_sql(12)}
+WITH RECURSIVE {_ORDERED.replace("value AS signal FROM", "CASE WHEN user_id % 3 = 0 THEN CAST(1 AS DOUBLE) ELSE value END AS signal FROM")}, {_selection_sql(12, _ORDERED_TOTAL)}
 SELECT video, i, reason FROM lab WHERE selected
 """
 
@@ -134,7 +151,7 @@ def pose_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POSE_JOIN_SQL = f"""
-WITH {_STATS}, {_selection_sql(12)},
+WITH RECURSIVE {_ORDERED}, {_selection_sql(12, _ORDERED_TOTAL)},
 kf AS (SELECT video, i AS frame_idx, row_number() OVER (PARTITION BY video ORDER BY i) - 1 AS ordinal FROM lab WHERE selected),
 o AS (SELECT o_custkey AS video, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal,
              o_orderkey, o_orderstatus, o_orderpriority FROM orders),
